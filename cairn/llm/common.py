@@ -111,3 +111,33 @@ def minimise(fun: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarra
         if done:
             break
     return x
+
+
+def text_udf(schema: str, work: Callable[[list], dict | list]):
+    """A Column function over one text column, run on Arrow batches in passes of bounded size.
+
+    ``work`` gets a list of texts (None for null) and returns one list of values, or for a struct a dict of lists.
+    The frame's other columns never leave the JVM, so extra or clashing names don't matter.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    target = _parse_datatype_string(schema)
+    if isinstance(target, StructType) and ":" not in schema and "struct<" not in schema and " " not in schema.strip():
+        target = target.fields[0].dataType
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kind = to_arrow_type(target)
+        for batch in batches:
+            texts, parts = batch.to_pylist(), []
+            for a, b in textops.passes(texts):
+                out = work(texts[a:b])
+                if isinstance(out, dict):
+                    fields = [out[f.name] for f in kind]
+                    parts.append(pa.StructArray.from_arrays([x.cast(f.type) if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(fields, kind)], fields=list(kind)))
+                else:
+                    parts.append(out.cast(kind) if isinstance(out, pa.Array) else pa.array(out, kind))
+            yield pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, target)

@@ -145,3 +145,21 @@ def char_grams(texts: list[str | None], sizes: tuple[int, ...], dims: int, lette
             idx = np.arange(where[-1]) - np.repeat(where[:-1] - begins, lens)
             out.append((buckets[idx], where))
     return out
+
+
+def salted(h: np.ndarray, salt: int) -> np.ndarray:
+    """Another family of hashes made of the first."""
+    return mix(h ^ np.uint64(salt * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+
+
+def word_features(texts: list[str | None], prefixes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of every word and of the longer words' prefixes, and the number of the text that each stands in."""
+    c, offs = codes(texts)
+    starts, ends = runs(_table("alnum")[c])
+    doc = np.searchsorted(offs, starts, side="right") - 1
+    hashes, docs = [span_hashes(c, starts, ends)], [doc]
+    for n in prefixes:
+        longer = np.flatnonzero(ends - starts > n)
+        hashes.append(salted(span_hashes(c, starts[longer], starts[longer] + n), n))
+        docs.append(doc[longer])
+    return np.concatenate(hashes), np.concatenate(docs)

@@ -141,3 +141,33 @@ def text_udf(schema: str, work: Callable[[list], dict | list]):
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, target)
+
+
+#: Ids are broadcast up to this number (about 64 MB with their hash table); beyond it a shuffled join does the same.
+BROADCAST_IDS = 2_000_000
+
+
+def by_ids(df: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
+    """``df`` semi or anti joined with the stored frame ``ids``; it is broadcast only if its counted size allows."""
+    ids = ids.select(F.col(ids.columns[0]).alias(key))
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, how)
+
+
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
+    """(node, root) of the nodes of the edges (u, v): root is the least node of the connected component.
+
+    Alternates large-star and small-star steps; every round is a written table, so lineage stays short.
+    """
+    now = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), name)
+    last = None
+    while True:
+        both = now.union(now.select("v", "u")).withColumn("m", F.least(F.expr("min(v) over (partition by u)"), "u"))
+        large = both.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.withColumn("m", F.expr("min(v) over (partition by u)"))
+        small = small.select("v", "m").union(small.select("u", "m")).toDF("u", "v").where("u != v").distinct()
+        now = stored(small, name)
+        state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if state == last:
+            roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            return roots.union(now.select("v", "v").distinct())
+        last = state

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,21 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import textops
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or in its absence (tests) a new one."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cairn-"))
-    return sc.getCheckpointDir()
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The frame written to the shared folder and read again: it is computed once and survives lost executors."""
-    path = os.path.join(shared_dir(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from cairn.session import shared_dir, stored  # noqa: F401
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 
 from cairn.llm import common, textops
 
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5)
 #: Rows of each class that the lexicon and the classifier are fitted on, at most.
-SAMPLE_PER_CLASS = 3000
+SAMPLE_PER_CLASS = 1500
 #: Most voters that are induced; how often each toxic row of the sample is to be covered.
 INDUCED, COVERS = 96, 4
 DIMS = 1 << 18
@@ -60,8 +60,8 @@ def induce(docs: list[np.ndarray], toxic: np.ndarray, most: int = INDUCED, cover
     n1, n0 = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
     if not toxic.any():
         return np.zeros(0, np.uint64)
-    row = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    h = np.concatenate(docs) if len(docs) else np.zeros(0, np.uint64)
+    row = np.repeat(np.arange(len(docs), dtype=np.int32), [len(d) for d in docs])
+    h = np.concatenate(docs)
     values, inverse = np.unique(h, return_inverse=True)
     in1 = np.bincount(inverse, toxic[row], len(values))
     in0 = np.bincount(inverse, ~toxic[row], len(values))
@@ -97,7 +97,12 @@ class Voters:
         self.hashes, self.owner = hashes[order], np.array(owner, np.int64)[order]
         self.n = len(built_in) + len(induced) + len(PATTERNS)
 
-    def fired(self, texts: list[str | None], hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    @staticmethod
+    def patterns(text: str | None) -> list[int]:
+        """Numbers of the patterns that a text has."""
+        return [k for k, p in enumerate(PATTERNS.values()) if text and p.search(text)]
+
+    def fired(self, patterns: list[list[int]], hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct (document, voter) pairs that fire."""
         found = [np.zeros(0, np.int64)]
         at = np.searchsorted(self.hashes, hashes)
@@ -108,8 +113,7 @@ class Voters:
             found.append(d * self.n + self.owner[at])
             more = np.flatnonzero((at + 1 < len(self.hashes)) & (self.hashes[np.minimum(at + 1, len(self.hashes) - 1)] == self.hashes[at]))
             at, d = at[more] + 1, d[more]
-        for k, p in enumerate(PATTERNS.values()):
-            found.append(np.array([i for i, t in enumerate(texts) if t and p.search(t)], np.int64) * self.n + self.n - len(PATTERNS) + k)
+        found.append(np.array([i * self.n + self.n - len(PATTERNS) + k for i, ks in enumerate(patterns) for k in ks], np.int64))
         keys = np.unique(np.concatenate(found))
         return keys // self.n, keys % self.n
 
@@ -168,8 +172,7 @@ def train(docs: list[np.ndarray], target: np.ndarray, l2: float = 0.02) -> np.nd
     if not len(docs) or target.max(initial=0) < 0.5:
         return weights
     row = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    b = np.concatenate([np.zeros(0, np.uint64), *docs]) & np.uint64(DIMS - 1)
-    key = np.unique(row.astype(np.int64) * DIMS + b.astype(np.int64))
+    key = np.unique(row * DIMS + (np.concatenate(docs) & np.uint64(DIMS - 1)).astype(np.int64))
     row, b = key // DIMS, key % DIMS
     n, n1 = len(docs), target.sum()
     df, d1 = np.bincount(b, minlength=DIMS), np.bincount(b, target[row], DIMS)
@@ -205,9 +208,10 @@ def fit(docs: DataFrame, labels: DataFrame | None, text: str = "text", key: str
         def features(texts: list) -> dict:
             h, d = _pairs(*textops.word_features(texts, PREFIXES))
             cut = np.searchsorted(d, np.arange(len(texts) + 1))
-            return {"h": [h[cut[i] : cut[i + 1]].tobytes() for i in range(len(texts))]}
+            return {"h": [h[cut[i] : cut[i + 1]].tobytes() for i in range(len(texts))], "p": [Voters.patterns(t) for t in texts]}
 
-        rows = both.select("__l", "toxic", common.text_udf("h binary", features)("__t")["h"].alias("h"), F.md5("__t").alias("m"), F.col(key).alias("k"), F.when(F.length("__t") < 200_000, F.col("__t")).alias("t")).dropDuplicates(["m"]).collect()
+        rows = both.select("__l", "toxic", common.text_udf("h binary, p array<int>", features)("__t").alias("x"), F.md5("__t").alias("m"), F.col(key).alias("k"))
+        rows = rows.dropDuplicates(["m"]).select("__l", "toxic", "k", "x.*").collect()
         rows.sort(key=lambda r: r.k)
     feats = [np.frombuffer(r.h, np.uint64) for r in rows]
     gold = np.array([r.toxic == 1 for r in rows], bool)
@@ -217,12 +221,12 @@ def fit(docs: DataFrame, labels: DataFrame | None, text: str = "text", key: str
     # votes of the sample
     fires = np.zeros((len(rows), v))
     for i, r in enumerate(rows):
-        _, hit = voters.fired([r.t], feats[i], np.zeros(len(feats[i]), np.int64))
+        _, hit = voters.fired([r.p], feats[i], np.zeros(len(feats[i]), np.int64))
         fires[i, hit] = 1
     precision = (fires[gold].sum(0) + 0.5) / (fires.sum(0) + 1) if len(rows) else np.full(v, 0.5)
 
     def votes(texts: list) -> dict:
-        d, w = voters.fired(texts, *textops.word_features(texts, PREFIXES))
+        d, w = voters.fired([Voters.patterns(t) for t in texts], *textops.word_features(texts, PREFIXES))
         cut = np.searchsorted(d, np.arange(len(texts) + 1))
         return {"v": [w[cut[i] : cut[i + 1]].tolist() for i in range(len(texts))]}
 

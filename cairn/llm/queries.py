@@ -6,9 +6,14 @@ import importlib
 
 _MODULES = {
     "op1_language_id": "langid",
+    "op2_html_extraction": "htmltext",
+    "op3_quality": "quality",
     "op4_sentencepiece": "sptok",
     "op5_mixing": "mixing",
     "op6_toxicity": "toxicity",
+    "op7_media": "media",
+    "op8_url_filter": "urls",
+    "op9_licenses": "licenses",
     "op10_ngram_jaccard": "njaccard",
 }
 

@@ -29,6 +29,8 @@ from cairn.llm import common, textops
 N, THRESHOLD = 2, 0.75
 #: Counters of the sketch; records of an index bucket on average; records that a task holds before it writes them.
 SKETCH, BUCKET, HELD = 1 << 19, 250_000, 2_000_000
+#: Sets in a cell in which candidates are verified.
+CELL = 1024
 #: Segments beyond the needed ones, as a share; share of segments that have one-deletion neighbourhoods.
 SLACK, DELETIONS = 0.1, 0.03
 _RECORD = np.dtype([("key", "<u4"), ("meta", "<u4"), ("sig", "<u8")])
@@ -72,6 +74,28 @@ def signatures(g: np.ndarray, at: np.ndarray) -> np.ndarray:
     return s
 
 
+def parity_maps(g: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """A bitmap of each set: whether an odd number of its elements falls on a bit. It has 1.5 bits an element or more.
+
+    Each element in which two sets differ flips one bit, so maps never differ in more bits than the sets do in elements.
+    """
+    out = []
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+        bits = 1 << max(8, min(20, int(1.5 * (b - a)).bit_length()))
+        out.append(np.packbits(np.bincount((g[a:b] & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes())
+    return out
+
+
+def parity_difference(x: bytes, y: bytes) -> int:
+    """Bits in which the maps differ, after the longer one is folded to the shorter one's length."""
+    if len(x) < len(y):
+        x, y = y, x
+    v = int.from_bytes(y, "little")
+    for i in range(0, len(x), len(y)):
+        v ^= int.from_bytes(x[i : i + len(y)], "little")
+    return v.bit_count()
+
+
 class Schemes:
     """Bands of set sizes and their numbers of segments."""
 
@@ -231,24 +255,24 @@ def _profile(docs: DataFrame, n: int, threshold: float, largest: int) -> tuple[D
     schemes, width = Schemes(threshold, largest), 1 << 14
 
     def run(batches):
-        schema = pa.schema([("id", pa.int64()), ("sig", pa.int64()), ("size", pa.int32()), ("part", pa.int32()), ("counts", pa.binary())])
+        schema = pa.schema([("id", pa.int64()), ("sig", pa.int64()), ("size", pa.int32()), ("map", pa.binary()), ("part", pa.int32()), ("counts", pa.binary())])
         sketch = np.zeros(SKETCH, np.int64)
         for batch in batches:
             texts, ids = batch.column(1).to_pylist(), batch.column(0)
             for a, b in textops.passes(texts):
                 g, at = gram_sets(texts[a:b], n)
-                sig, size = signatures(g, at), np.diff(at)
+                sig, size, maps = signatures(g, at), np.diff(at), parity_maps(g, at)
                 rows = np.unique(sig, return_index=True)[1]
                 rows = np.sort(rows[size[rows] > 0])
                 if len(rows):
                     sketch += np.bincount(short_keys(schemes.segments(g, at, rows, schemes.band(size[rows])))[1], minlength=SKETCH)
                 has = np.flatnonzero(size > 0)
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a).take(pa.array(has)), pa.array(sig[has].view(np.int64)), pa.array(size[has], pa.int32()), pa.nulls(len(has), pa.int32()), pa.nulls(len(has), pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a).take(pa.array(has)), pa.array(sig[has].view(np.int64)), pa.array(size[has], pa.int32()), pa.array([maps[i] for i in has.tolist()], pa.binary()), pa.nulls(len(has), pa.int32()), pa.nulls(len(has), pa.binary())], schema=schema)
         filled = [i for i in range(SKETCH // width) if sketch[i * width : (i + 1) * width].any()]
         k = len(filled)
-        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.array(filled, pa.int32()), pa.array([np.minimum(sketch[i * width : (i + 1) * width], 2**31 - 1).astype(np.int32).tobytes() for i in filled], pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.array(filled, pa.int32()), pa.array([np.minimum(sketch[i * width : (i + 1) * width], 2**31 - 1).astype(np.int32).tobytes() for i in filled], pa.binary())], schema=schema)
 
-    made = common.stored(docs.select("id", "text").mapInArrow(run, "id long, sig long, size int, part int, counts binary"), "sets")
+    made = common.stored(docs.select("id", "text").mapInArrow(run, "id long, sig long, size int, map binary, part int, counts binary"), "sets")
 
     def add(table: pa.Table) -> pa.Table:
         total = sum((np.frombuffer(x, np.int32).astype(np.int64) for x in table.column("counts").to_pylist()), np.zeros(width, np.int64))
@@ -257,7 +281,7 @@ def _profile(docs: DataFrame, n: int, threshold: float, largest: int) -> tuple[D
     sketch = np.zeros(SKETCH, np.int64)
     for r in made.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(add, "part int, counts binary").collect():  # SKETCH counters in all
         sketch[r.part * width : (r.part + 1) * width] = np.frombuffer(r.counts, np.int32)
-    return made.where("sig is not null").select("id", "sig", "size"), sketch
+    return made.where("sig is not null").select("id", "sig", "size", "map"), sketch
 
 
 def signature_pairs(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -314,33 +338,52 @@ def signature_pairs(docs: DataFrame, n: int, threshold: float) -> tuple[DataFram
         return pa.table({"a": a, "b": b}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
     candidates = docs.select("text").mapInArrow(emit, "bucket int, records binary").groupBy("bucket").applyInArrow(join, "a long, b long")
-    candidates = common.stored(candidates.distinct(), "candidates")
-    ends = candidates.select(F.col("a").alias("sig")).union(candidates.select("b")).distinct()
+    # parity maps refute almost every pair that isn't similar, for a few bytes each
+    maps = sets.groupBy("sig").agg(F.first("size").alias("size"), F.first("map").alias("map"))
+
+    def plausible(a: pa.Array, b: pa.Array, na: pa.Array, nb: pa.Array) -> pa.Array:
+        return pa.array([parity_difference(x, y) <= schemes.c * (m + k) + 1e-9 for x, y, m, k in zip(a.to_pylist(), b.to_pylist(), na.to_pylist(), nb.to_pylist())], pa.bool_())
+
+    plausible.__annotations__ = dict.fromkeys(("a", "b", "na", "nb", "return"), pa.Array)
+    mapped = candidates.distinct().join(maps.toDF("a", "na", "ma"), "a").join(maps.toDF("b", "nb", "mb"), "b")
+    candidates = common.stored(mapped.where(F.arrow_udf(plausible, "boolean")("ma", "mb", "na", "nb")).select("a", "b"), "candidates")
+    ends = common.stored(candidates.select(F.col("a").alias("sig")).union(candidates.select("b")).distinct(), "ends")
     first = common.stored(sets.groupBy("sig").agg(F.min("id").alias("id")).join(ends, "sig", "left_semi").where("id is not null"), "firsts")
 
     def grams(texts: list) -> dict:
         g, at = gram_sets(texts, n)
         return {"sig": signatures(g, at).view(np.int64), "grams": [g[at[i] : at[i + 1]].tobytes() for i in range(len(texts))]}
 
-    of = common.by_ids(docs, first.select("id"), "id", "left_semi").select(common.text_udf("sig long, grams binary", grams)("text").alias("x")).select("x.*").dropDuplicates(["sig"])
-    of = common.stored(of.join(ends, "sig", "left_semi"), "grams")
-    pairs = candidates.join(of.toDF("b", "gb"), "b").join(of.toDF("a", "ga"), "a")
-
-    def verify(batches):
+    of = common.by_ids(docs, first.select("id"), "id", "left_semi").select(common.text_udf("sig long, grams binary", grams)("text").alias("x")).select("x.*").join(ends, "sig", "left_semi").dropDuplicates(["sig"])
+    # Pairs are verified in cells: all of a component of candidates is in one, and components share cells; a component of more than
+    # CELL sets is cut into a grid. A set is sent once to each cell that needs it, not once for each of its pairs.
+    root = common.components(candidates.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    sizes = root.groupBy("root").agg(F.count("*").alias("n"))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    grid = F.ceil(F.col("n") / CELL).cast("int")
+    side = lambda c: F.when(F.col("p") > 1, F.pmod(F.xxhash64(F.col(c)), F.col("p"))).otherwise(F.lit(0))
+    in_root = candidates.join(root.toDF("a", "root"), "a").join(sizes, "root").withColumn("p", grid)
+    cell = F.when(F.col("p") > 1, F.xxhash64("root", side("a"), side("b"))).otherwise(F.pmod(F.xxhash64("root"), F.lit(max(1, total // CELL))))
+    placed = common.stored(in_root.select(cell.alias("cell"), "a", "b"), "placed")
+    needed = placed.select(F.col("cell").alias("at"), F.col("a").alias("sig")).union(placed.select("cell", "b")).distinct().join(of, "sig")
+
+    def verify(left: pa.Table, right: pa.Table) -> pa.Table:
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("jaccard", pa.float64())])
-        for batch in batches:
-            j = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        g = {k: np.frombuffer(v, np.uint64) for k, v in zip(right.column("sig").to_pylist(), right.column("grams").to_pylist())}
+        rows = []
+        for a, b in zip(left.column("a").to_pylist(), left.column("b").to_pylist()):
+            if a in g and b in g:
+                x, y = g[a], g[b]
                 at = np.searchsorted(x, y)
                 at[at == len(x)] = 0
                 same = int((x[at] == y).sum())
-                j.append(same / (len(x) + len(y) - same))
-            j = np.array(j)
-            ok = np.flatnonzero(j >= threshold - 1e-12)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ok)), batch.column(1).take(pa.array(ok)), pa.array(np.round(j[ok], 6))], schema=schema)
+                j = same / (len(x) + len(y) - same)
+                if j >= threshold - 1e-12:
+                    rows.append((a, b, round(j, 6)))
+        return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
-    return sets, common.stored(pairs.select("a", "b", "ga", "gb").mapInArrow(verify, "a long, b long, jaccard double"), "pairs")
+    pairs = placed.groupBy("cell").cogroup(needed.groupBy("at")).applyInArrow(verify, "a long, b long, jaccard double")
+    return sets, common.stored(pairs, "pairs")
 
 
 def _as_input(docs: DataFrame, key: str, text: str) -> DataFrame:

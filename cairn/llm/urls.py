@@ -35,11 +35,11 @@ SEEDS = {
         malware phishing virus crack warez torrent pirate keygen serial hack hacks cheats
         payday loan loans quick cash fast money make money easy money get rich crypto doubler replica watches fake rolex
         spam mail bulk mail free gift free iphone winner prize sweepstakes""",
-    "good": """news blog mail shop store school university library museum research science journal paper docs wiki forum community support help
+    "good": """news school university library museum research science journal paper docs wiki community support help
         city county government health hospital clinic bank finance weather travel hotel food recipe garden home house family kids
         music film book books art photo video game sport football tennis running bike car auto tech software code developer cloud data
-        open source project group team world daily times post press review guide learn study course language history nature
-        energy water climate animal plant space online web site page free cheap track farm win link cash education""",
+        open project group team world daily times post press review guide learn study course language history nature
+        energy water climate animal plant space free cheap track farm win link cash mail weight loss easy quick online education""",
 }
 WORDS = """the and of to in for on with by from at as is be this that it are was or an you we our your my one two day time year people way man
     woman child life world hand part place work week case point company number group problem fact new good first last long great little own other old
@@ -53,8 +53,8 @@ def host_of(url: Column) -> Column:
 
 
 def path_of(url: Column) -> Column:
-    """Path and query of a URL in lower case."""
-    return F.lower(F.regexp_extract(F.trim(url.cast("string")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*([^#]*)", 1))
+    """Path of a URL in lower case; queries hold parameters' names rather than words."""
+    return F.lower(F.regexp_extract(F.trim(url.cast("string")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*([^?#]*)", 1))
 
 
 def labels_of(host: str) -> list[str]:

@@ -9,6 +9,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _PACKAGE = Path(__file__).resolve().parent
 _shipped: set[str] = set()
@@ -42,3 +43,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = os.path.join(shared_dir(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Ids are broadcast up to this number (about 64 MB with their hash table); beyond it a shuffled join does the same.
+BROADCAST_IDS = 2_000_000
+
+
+def by_ids(df: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
+    """``df`` semi or anti joined with the ids; they are broadcast only if their counted size allows."""
+    ids = ids.select(F.col(ids.columns[0]).alias(key))
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, how)
+
+
+def with_ordinals(df: DataFrame, order: list, column: str, first: int = 0) -> DataFrame:
+    """Number the rows from ``first`` in the given order without a window over all rows.
+
+    The rows are range-sorted and written once; each range is numbered for itself and shifted by the sizes of those before.
+    """
+    made = stored(df.orderBy(*order).withColumn("__m", F.monotonically_increasing_id()), "ordinals")
+    made = made.withColumn("__p", F.shiftright("__m", 33)).withColumn("__n", F.col("__m").bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = made.groupBy("__p").count().select("__p", F.expr("sum(count) over (order by __p) - count").alias("__o"))  # a row a partition
+    return made.join(F.broadcast(sizes), "__p").withColumn(column, (F.col("__o") + F.col("__n") + first).cast("long")).drop("__m", "__p", "__n", "__o")

@@ -10,41 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import textops
-from cairn.session import shared_dir, stored  # noqa: F401
+from cairn.session import BROADCAST_IDS, by_ids, stored  # noqa: F401
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def map_texts(df: DataFrame, columns: list[str], text: str, schema: str, work: Callable[[list[list], list], dict]) -> DataFrame:
-    """Apply ``work`` to Arrow batches cut into passes of bounded size.
-
-    ``work`` gets the values of ``columns`` as lists and the texts; it returns the columns of ``schema``.
-    Only the named columns are read, so others (clashing names included) never matter.
-    """
-    arrow = None
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nonlocal arrow
-        if arrow is None:
-            from pyspark.sql.pandas.types import to_arrow_schema
-            from pyspark.sql.types import _parse_datatype_string  # noqa: F401
-
-            arrow = to_arrow_schema(target)
-        for batch in batches:
-            texts = batch.column(len(columns)).to_pylist()
-            for a, b in textops.passes(texts):
-                part = batch.slice(a, b - a)
-                out = work([part.column(i).to_pylist() for i in range(len(columns))], texts[a:b])
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) if not isinstance(out[f.name], pa.Array) else out[f.name].cast(f.type) for f in arrow], schema=arrow)
-
-    from pyspark.sql.types import StructType
-
-    target = StructType.fromDDL(schema)
-    return df.select(*[F.col(c) for c in columns], F.col(text).cast("string").alias("__text")).mapInArrow(run, target)
-
-
 def sample_rows(df: DataFrame, key: str, bound: int, per: str | None = None) -> DataFrame:
     """At most ``bound`` rows (for each value of ``per``): those whose key has the least hash, so the same at any partitioning.
 
@@ -96,6 +68,18 @@ def minimise(fun: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarra
     return x
 
 
+#: Bytes of an Arrow batch. Rows can be very long, and a worker holds a batch several times over.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches() -> None:
+    """Make Arrow batches small in the active session, unless it was told to make them smaller."""
+    name, spark = "spark.sql.execution.arrow.maxBytesPerBatch", SparkSession.active()
+    now = spark.conf.get(name, "64m")
+    if now in ("64m", "64MB", "67108864", "67108864b", str((1 << 31) - 1)):
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def text_udf(schema: str, work: Callable[[list], dict | list]):
     """A Column function over one text column, run on Arrow batches in passes of bounded size.
 
@@ -105,8 +89,9 @@ def text_udf(schema: str, work: Callable[[list], dict | list]):
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import StructType, _parse_datatype_string
 
+    bounded_batches()
     target = _parse_datatype_string(schema)
-    if isinstance(target, StructType) and ":" not in schema and "struct<" not in schema and " " not in schema.strip():
+    if isinstance(target, StructType) and " " not in schema:  # one type, which the parser wraps
         target = target.fields[0].dataType
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -126,16 +111,6 @@ def text_udf(schema: str, work: Callable[[list], dict | list]):
     return F.arrow_udf(run, target)
 
 
-#: Ids are broadcast up to this number (about 64 MB with their hash table); beyond it a shuffled join does the same.
-BROADCAST_IDS = 2_000_000
-
-
-def by_ids(df: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
-    """``df`` semi or anti joined with the stored frame ``ids``; it is broadcast only if its counted size allows."""
-    ids = ids.select(F.col(ids.columns[0]).alias(key))
-    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, how)
-
-
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root) of the nodes of the edges (u, v): root is the least node of the connected component.
 

@@ -80,6 +80,7 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[int, np.n
                     df += (m > 0).sum(0)
         yield pa.RecordBatch.from_pydict({"n": [n], "df": [df.astype(np.int64).tolist()]}, schema=pa.schema([("n", pa.int64()), ("df", pa.list_(pa.int64()))]))
 
+    common.bounded_batches()
     parts = docs.select(F.col(text).cast("string")).mapInArrow(run, "n long, df array<long>")
     rows = parts.select("n", F.posexplode("df").alias("i", "c")).groupBy("i").agg(F.sum("n").alias("n"), F.sum("c").alias("c")).collect()
     df = np.zeros(DIMS, np.int64)

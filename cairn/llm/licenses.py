@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import textops
+from cairn.llm import common, textops
 
 MIN_MATCH, MAX_GAP = 3, 6
 #: Share of a template's tokens that a finding covers at least.
@@ -195,6 +195,7 @@ class Scanner:
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """(doc_id, license, first_token, end_token, covered, coverage) of every finding in every row."""
+    common.bounded_batches()
     schema = pa.schema([(key, pa.int64()), ("license", pa.string()), ("first_token", pa.int32()), ("end_token", pa.int32()), ("covered", pa.int32()), ("coverage", pa.float64())])
 
     def run(batches):

@@ -286,6 +286,7 @@ def _profile(docs: DataFrame, n: int, threshold: float, largest: int) -> tuple[D
 
 def signature_pairs(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
     """The sets (id, sig, size) of the frame (id, text), and the stored pairs (a, b, jaccard) of different sets, a < b."""
+    common.bounded_batches()
     largest = 1 << 31  # bands cost nothing until a set falls into them
     sets, sketch = _profile(docs, n, threshold, largest)
     total = sets.agg(F.sum("size")).first()[0] or 0

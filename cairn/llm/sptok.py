@@ -12,10 +12,10 @@ Nulls have null ids; the empty text has none and no tokens. Texts of any length
 
 from __future__ import annotations
 
-import itertools
 import os
 import re
 import struct
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -28,8 +28,8 @@ from cairn.llm import common
 #: The model file; a parameter of every function here.
 MODEL = os.environ.get("SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 MARK = "▁"
-#: Distinct words that a task keeps.
-KNOWN = 400_000
+#: Distinct words of a generation, of which a task keeps two; words that go to the back end at once.
+KNOWN, AT_ONCE = 100_000, 4_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -151,8 +151,9 @@ class Codec:
             from tokenizers import normalizers
 
             self.normaliser = normalizers.Precompiled(self.model["charsmap"])
-        self.table: dict[str, tuple[int, ...]] = {}
-        self.bad: set[str] = set()
+        self.table: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.bad: set[str] = set()  # words that don't come back; none is known
 
     def normalise(self, text: str) -> str:
         """As the model's normaliser does it: character map, spaces collapsed, marker in front, markers for spaces."""
@@ -165,14 +166,14 @@ class Codec:
         return text.replace(" ", MARK) if self.model["escape"] else text
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.table) + len(words) > KNOWN:
-            self.table.clear()
-            self.bad.clear()
-        for w, e in zip(words, self.back.encode_batch_fast(words, add_special_tokens=False)):
-            ids = tuple(e.ids)
-            self.table[w] = ids
-            if self._text(ids) != w:
-                self.bad.add(w)
+        piece = self.pieces.__getitem__
+        for i in range(0, len(words), AT_ONCE):
+            some = words[i : i + AT_ONCE]
+            for w, e in zip(some, self.back.encode_batch_fast(some, add_special_tokens=False)):
+                ids = e.ids
+                self.table[w] = array("i", ids).tobytes()
+                if "".join(map(piece, ids)) != w and self._text(ids) != w:  # byte pieces take the long way
+                    self.bad.add(w)
 
     def _text(self, ids) -> str:
         out, raw = [], bytearray()
@@ -192,14 +193,18 @@ class Codec:
     def encode(self, texts: list[str | None]) -> tuple[list, list]:
         """Ids of each text (null for null), and whether decoding them gives the normalised text back."""
         split = [None if t is None else (self.split.findall(self.normalise(t)) if self.split else [self.normalise(t)] if t else []) for t in texts]
+        if len(self.table) > KNOWN:
+            self.older, self.table = self.table, {}
         new = {w for ws in split if ws for w in ws if w not in self.table}
-        if len(self.table) + len(new) > KNOWN and self.table:
-            new = {w for ws in split if ws for w in ws}
+        if self.older:
+            seen = [w for w in new if w in self.older]
+            self.table.update((w, self.older[w]) for w in seen)
+            new.difference_update(seen)
         if new:
             self._learn(list(new))
         get, ids, ok = self.table.__getitem__, [], []
         for ws in split:
-            ids.append(None if ws is None else np.fromiter(itertools.chain.from_iterable(map(get, ws)), np.int32))
+            ids.append(None if ws is None else np.frombuffer(b"".join(map(get, ws)), np.int32))
             ok.append(None if ws is None else not self.bad or self.bad.isdisjoint(ws))
         return ids, ok
 

@@ -69,7 +69,7 @@ def minimise(fun: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarra
 
 
 #: Bytes of an Arrow batch. Rows can be very long, and a worker holds a batch several times over.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bounded_batches() -> None:
@@ -80,11 +80,11 @@ def bounded_batches() -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
-def text_udf(schema: str, work: Callable[[list], dict | list]):
+def text_udf(schema: str, work: Callable[[list], dict | list], after: Callable[[], None] | None = None):
     """A Column function over one text column, run on Arrow batches in passes of bounded size.
 
     ``work`` gets a list of texts (None for null) and returns one list of values, or for a struct a dict of lists.
-    The frame's other columns never leave the JVM, so extra or clashing names don't matter.
+    The frame's other columns never leave the JVM, so extra or clashing names don't matter. ``after`` runs at a task's end.
     """
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import StructType, _parse_datatype_string
@@ -105,7 +105,13 @@ def text_udf(schema: str, work: Callable[[list], dict | list]):
                     parts.append(pa.StructArray.from_arrays([x.cast(f.type) if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(fields, kind)], fields=list(kind)))
                 else:
                     parts.append(out.cast(kind) if isinstance(out, pa.Array) else pa.array(out, kind))
-            yield pa.concat_arrays(parts) if parts else pa.array([], kind)
+            out = pa.concat_arrays(parts) if parts else pa.array([], kind)
+            del texts, parts, batch
+            yield out
+            del out
+        if after:
+            after()
+        textops.tidy()
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, target)

@@ -26,7 +26,7 @@ SAMPLE_PER_LANGUAGE, CENTROIDS = 1000, 4
 #: A text is rejected beyond this quantile of the training distances (of texts of its length class) plus the margin.
 QUANTILE, MARGIN = 0.999, 0.15
 _CLASSES = np.array([0, 8, 32, 128, 512, 2048])
-_CELLS = 1 << 22
+_CELLS = 1 << 20
 
 
 def counts(texts: list[str | None]):

@@ -28,7 +28,7 @@ from cairn.llm import common, textops
 
 N, THRESHOLD = 2, 0.75
 #: Counters of the sketch; records of an index bucket on average; records that a task holds before it writes them.
-SKETCH, BUCKET, HELD = 1 << 19, 250_000, 2_000_000
+SKETCH, BUCKET, HELD = 1 << 19, 250_000, 500_000
 #: Sets in a cell in which candidates are verified.
 CELL = 1024
 #: Segments beyond the needed ones, as a share; share of segments that have one-deletion neighbourhoods.
@@ -332,6 +332,7 @@ def signature_pairs(docs: DataFrame, n: int, threshold: float) -> tuple[DataFram
                     yield from flush()
                     count = 0
         yield from flush()
+        textops.tidy()
 
     def join(table: pa.Table) -> pa.Table:
         r = np.frombuffer(b"".join(table.column("records").to_pylist()), _RECORD)

@@ -21,7 +21,7 @@ from cairn.llm import common, textops
 WORD_DIMS, CHAR_DIMS = 1 << 13, 1 << 14
 DIMS = WORD_DIMS + 2 * CHAR_DIMS
 #: Labelled rows of each class that are used, at most; the share of them that is held out for calibration.
-SAMPLE_PER_CLASS, HELD_OUT = 2500, 0.25
+SAMPLE_PER_CLASS, HELD_OUT = 1200, 0.25
 #: Fixed thresholds on the probability of good quality: from KEEP on a document is kept, under REJECT it is rejected.
 KEEP, REJECT = 0.5, 0.2
 
@@ -41,7 +41,7 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
         cols.append(buckets + WORD_DIMS + i * CHAR_DIMS)
     out = []
     row, col = np.concatenate(rows), np.concatenate(cols)
-    step = max(1, (1 << 23) // DIMS)  # counted in slices of bounded size
+    step = max(1, (1 << 21) // DIMS)  # counted in slices of bounded size
     order = np.argsort(row, kind="stable")
     row, col = row[order], col[order]
     cut = np.searchsorted(row, np.arange(0, len(texts) + step, step))
@@ -102,8 +102,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         return None
     n = np.array([len(r.f) // 2 for r in rows])
     row = np.repeat(np.arange(len(rows)), n)
-    f = np.concatenate([np.frombuffer(r.f, np.uint16) for r in rows]).astype(np.int64)
-    v = np.concatenate([np.frombuffer(r.v, np.float32) for r in rows]).astype(np.float64)
+    f = np.concatenate([np.frombuffer(r.f, np.uint16) for r in rows]).astype(np.int32)
+    v = np.concatenate([np.frombuffer(r.v, np.float32) for r in rows])
     out = textops.mix(np.array([r.k for r in rows], np.int64).view(np.uint64)) % np.uint64(1000) < np.uint64(1000 * HELD_OUT)
     if min(len(set(good[out].tolist())), len(set(good[~out].tolist()))) < 2:
         out = np.zeros(len(rows), bool)

@@ -165,6 +165,10 @@ class Codec:
             text = " " + text
         return text.replace(" ", MARK) if self.model["escape"] else text
 
+    def forget(self) -> None:
+        """Drop the words at a task's end; the next task may be of another kind."""
+        self.table, self.older = {}, {}
+
     def _learn(self, words: list[str]) -> None:
         piece = self.pieces.__getitem__
         for i in range(0, len(words), AT_ONCE):
@@ -248,7 +252,7 @@ def encode_column(path: str = MODEL):
         lists = pa.ListArray.from_arrays(pa.array(offs, mask=np.append(null, False)) if null.any() else pa.array(offs), pa.array(flat))
         return {"ids": lists, "n_tokens": pa.array(size.astype(np.int32), mask=null), "round_trip": ok}
 
-    return common.text_udf("ids array<int>, n_tokens int, round_trip boolean", work)
+    return common.text_udf("ids array<int>, n_tokens int, round_trip boolean", work, lambda: codec(path).forget())
 
 
 def decode_column(path: str = MODEL):

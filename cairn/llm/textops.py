@@ -8,16 +8,31 @@ always processed whole. ``None`` counts as the empty text.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
+import pyarrow as pa
 
 #: Characters per numpy pass; a longer text is a pass of its own.
-PASS_CHARS = 1_000_000
+PASS_CHARS = 250_000
 _LIMIT = 0x110000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_cache: dict[str, np.ndarray] = {}
+_cache: dict[str, Any] = {}
+
+
+def tidy() -> None:
+    """Give freed memory back to the system: a Python worker is used again for other tasks, beside the JVM's heap."""
+    pa.default_memory_pool().release_unused()
+    if "libc" not in _cache:
+        try:
+            _cache["libc"] = ctypes.CDLL("libc.so.6")
+        except OSError:
+            _cache["libc"] = None
+    if _cache["libc"] is not None and hasattr(_cache["libc"], "malloc_trim"):
+        _cache["libc"].malloc_trim(0)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -43,7 +58,7 @@ def _table(name: str) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if "powers" not in _cache or len(_cache["powers"]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 18)
         for name, base in (("powers", _BASE), ("inverse", _INVERSE)):
             p = np.full(size, base, np.uint64)
             p[0] = 1

@@ -19,7 +19,7 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are far from every language go; the others get the language found (a text without letters keeps its own)."""
-    found = langid.scorer(langid.fit(docs))(F.col("text").cast("string"))
+    found = langid.scorer(langid.fit(docs)).asNondeterministic()(F.col("text").cast("string"))  # computed once
     kept = docs.withColumn("__f", found).where(~F.col("__f.rejected"))
     return kept.withColumn("lang", F.coalesce("__f.language", "lang")).select(docs.columns)
 

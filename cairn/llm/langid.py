@@ -114,9 +114,11 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
         far = 1 - (x @ c.T).max(1)
         kind = np.searchsorted(_CLASSES, size, side="right") - 1
         limit = [min(1.0, float(np.quantile(far[kind == q], QUANTILE)) + MARGIN) if (kind == q).sum() >= 20 else np.nan for q in range(len(_CLASSES))]
-        for q in range(len(limit)):  # a class with few rows takes the limit of the next shorter one
+        longer = far[kind >= 2]
+        pooled = min(1.0, float(np.quantile(longer, QUANTILE)) + MARGIN) if len(longer) >= 10 else 1.0
+        for q in range(len(limit)):  # a class with few rows takes the limit of the next shorter one, else that of all but the shortest
             if np.isnan(limit[q]):
-                limit[q] = 1.0 if q == 0 else limit[q - 1]
+                limit[q] = 1.0 if q < 2 else limit[q - 1] if limit[q - 1] < 1 else pooled
         cs.append(c)
         owner += [j] * len(c)
         limits.append(np.maximum.accumulate(np.array(limit)[::-1])[::-1])

@@ -95,6 +95,7 @@ class Voters:
         hashes = np.array([h for words in built_in for h in words] + [int(x) for x in induced], np.uint64)
         order = np.argsort(hashes, kind="stable")
         self.hashes, self.owner = hashes[order], np.array(owner, np.int64)[order]
+        self.built_in = built_in
         self.n = len(built_in) + len(induced) + len(PATTERNS)
 
     @staticmethod
@@ -260,7 +261,16 @@ def fit(docs: DataFrame, labels: DataFrame | None, text: str = "text", key: str
         for h, o in zip(voters.hashes, voters.owner):
             weights[int(h) & (DIMS - 1)] = 2.0
     else:
-        weights = train(feats, target)
+        # the sample can't hold every word of the built-in lexicons: each stands three times as a text of its own, whose posterior is
+        # that of its voter's vote in the language in which it fires most
+        more, soft = [], []
+        for j, words in enumerate(voters.built_in):
+            l = max(models, key=lambda l: (single[l][j], l), default=None)
+            if l is not None and single[l][j] >= 3:
+                p = float(posterior(models[l], np.eye(v)[j]))
+                more += [np.array([h], np.uint64) for h in words for _ in range(3)]
+                soft += [p] * (3 * len(words))
+        weights = train(feats + more, np.append(target, soft))
     return {"voters": voters, "models": models, "weights": weights, "sample": (feats, gold, target, langs)}
 
 

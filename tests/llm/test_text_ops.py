@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import os
 import re
 
 import numpy as np
@@ -41,13 +42,16 @@ def test_char_grams_equal_a_loop():
 # -- 6 toxicity
 
 
-def test_toxicity_on_labels(spark, docs, labels):
+def test_toxicity_on_labels(spark, docs, labels, sf_dir):
+    larger = os.path.join(os.path.dirname(sf_dir), "sf0.1")  # the smallest table has eleven toxic rows
+    if os.path.isdir(larger):
+        docs, labels = (spark.read.parquet(f"{larger}/{t}.parquet") for t in ("documents", "labels"))
     got = by_id(toxicity.toxicity(docs, labels))
     assert len(got) == docs.count()
     rows = labels.collect()
     caught = [got[r.doc_id].toxic for r in rows if r.toxic == 1]
     clean = [got[r.doc_id].toxic for r in rows if r.toxic == 0]
-    assert np.mean(caught) >= 0.7 and np.mean(clean) <= 0.01
+    assert np.mean(caught) >= 0.9 and np.mean(clean) <= 0.01
 
 
 def test_label_model_finds_accuracies():

@@ -29,6 +29,8 @@ from cairn.llm import common, textops
 N, THRESHOLD = 2, 0.75
 #: Counters of the sketch; records of an index bucket on average; records that a task holds before it writes them.
 SKETCH, BUCKET, HELD = 1 << 19, 250_000, 500_000
+#: Pairs that a task holds before it drops those that occur again.
+PAIRS_HELD = 500_000
 #: Sets in a cell in which candidates are verified.
 CELL = 1024
 #: Segments beyond the needed ones, as a share; share of segments that have one-deletion neighbourhoods.
@@ -219,35 +221,45 @@ def records(schemes: Schemes, sketch: np.ndarray, g: np.ndarray, at: np.ndarray,
     return np.concatenate(keys), out
 
 
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new]
+
+
 def matches(r: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Distinct candidate pairs among the records of a bucket: an index and a probe entry with one key, sizes in reach."""
-    r = r[np.argsort(r["key"], kind="stable")]
+    r = r[np.lexsort((r["meta"], r["sig"], r["key"]))]
+    new = np.ones(len(r), bool)  # copies give equal records
+    new[1:] = (r["key"][1:] != r["key"][:-1]) | (r["sig"][1:] != r["sig"][:-1]) | (r["meta"][1:] != r["meta"][:-1])
+    r = r[new]
     start = np.flatnonzero(np.concatenate(([True], r["key"][1:] != r["key"][:-1])))
     length = np.diff(np.append(start, len(r)))
-    found_a, found_b = [], []
-
-    def pair(a: np.ndarray, b: np.ndarray) -> None:
-        na, nb = (r["meta"][a] >> 2).astype(np.float64), (r["meta"][b] >> 2).astype(np.float64)
-        ok = ((r["meta"][a] & INDEX) > 0) & ((r["meta"][b] & PROBE) > 0) | ((r["meta"][b] & INDEX) > 0) & ((r["meta"][a] & PROBE) > 0)
-        ok &= (np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-9) & (r["sig"][a] != r["sig"][b])
-        x, y = r["sig"][a[ok]].view(np.int64), r["sig"][b[ok]].view(np.int64)
-        found_a.append(np.minimum(x, y))
-        found_b.append(np.maximum(x, y))
-
-    # runs are shifted against themselves: one array operation for each distance that occurs
+    found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    held = 0
+    # runs of one key are shifted against themselves: one array operation for each distance that occurs
     distance, live = 1, np.flatnonzero(length > 1)
     begin, n = start[live], length[live]
     while len(begin):
         reps = n - distance
         a = np.repeat(begin, reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-        pair(a, a + distance)
+        b = a + distance
+        ma, mb = r["meta"][a], r["meta"][b]
+        ok = ((ma & INDEX) > 0) & ((mb & PROBE) > 0) | ((mb & INDEX) > 0) & ((ma & PROBE) > 0)
+        na, nb = (ma >> 2).astype(np.float64), (mb >> 2).astype(np.float64)
+        ok &= (np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-9) & (r["sig"][a] != r["sig"][b])
+        x, y = r["sig"][a[ok]].view(np.int64), r["sig"][b[ok]].view(np.int64)
+        found.append((np.minimum(x, y), np.maximum(x, y)))
+        held += len(x)
+        if held > PAIRS_HELD:
+            found = [_distinct(*(np.concatenate(c) for c in zip(*found)))]
+            held = 0
         distance += 1
         keep = n > distance
         begin, n = begin[keep], n[keep]
-    if not found_a:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    both = np.unique(np.stack((np.concatenate(found_a), np.concatenate(found_b)), 1), axis=0)
-    return both[:, 0], both[:, 1]
+    return _distinct(*(np.concatenate(c) for c in zip(*found)))
 
 
 def _profile(docs: DataFrame, n: int, threshold: float, largest: int) -> tuple[DataFrame, np.ndarray]:
@@ -312,13 +324,15 @@ def signature_pairs(docs: DataFrame, n: int, threshold: float) -> tuple[DataFram
             held.clear()
             at_bucket.clear()
 
-        count = 0
+        count, seen = 0, set()
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for a, b in textops.passes(texts):
                 g, at = gram_sets(texts[a:b], n)
                 sig = signatures(g, at)
-                rows = np.sort(np.unique(sig, return_index=True)[1])  # copies side by side need one entry
+                rows = np.sort(np.unique(sig, return_index=True)[1])  # copies in a task need one entry
+                rows = np.array([i for i in rows.tolist() if int(sig[i]) not in seen], np.int64)
+                seen.update(sig[rows].tolist())
                 if len(rows) < len(sig):
                     sizes = np.diff(at)[rows]
                     g = g[np.repeat(at[rows] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
@@ -337,6 +351,7 @@ def signature_pairs(docs: DataFrame, n: int, threshold: float) -> tuple[DataFram
     def join(table: pa.Table) -> pa.Table:
         r = np.frombuffer(b"".join(table.column("records").to_pylist()), _RECORD)
         a, b = matches(r, threshold)
+        textops.tidy()
         return pa.table({"a": a, "b": b}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
     candidates = docs.select("text").mapInArrow(emit, "bucket int, records binary").groupBy("bucket").applyInArrow(join, "a long, b long")

@@ -28,7 +28,7 @@ from cairn.llm import common, textops
 
 N, THRESHOLD = 2, 0.75
 #: Counters of the sketch; records of an index bucket on average; records that a task holds before it writes them.
-SKETCH, BUCKET, HELD = 1 << 19, 250_000, 500_000
+SKETCH, BUCKET, HELD = 1 << 21, 250_000, 500_000
 #: Pairs that a task holds before it drops those that occur again.
 PAIRS_HELD = 500_000
 #: Sets in a cell in which candidates are verified.
@@ -77,13 +77,13 @@ def signatures(g: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def parity_maps(g: np.ndarray, at: np.ndarray) -> list[bytes]:
-    """A bitmap of each set: whether an odd number of its elements falls on a bit. It has 1.5 bits an element or more.
+    """A bitmap of each set: whether an odd number of its elements falls on a bit. It has 0.75 bits an element or more.
 
     Each element in which two sets differ flips one bit, so maps never differ in more bits than the sets do in elements.
     """
     out = []
     for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
-        bits = 1 << max(8, min(20, int(1.5 * (b - a)).bit_length()))
+        bits = 1 << max(7, min(20, int(0.75 * (b - a)).bit_length()))
         out.append(np.packbits(np.bincount((g[a:b] & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes())
     return out
 

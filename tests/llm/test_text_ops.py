@@ -225,11 +225,11 @@ def test_media_store(spark):
     got = {r.id: r for r in media.media_chunks(df, "page_id", "html").collect()}
     assert got[1].new_bytes == len(a) and got[2].new_bytes == 0 and got[3].new_bytes < 30_000 and got[4].chunks == [] and got[5].chunks is None
     assert all(r.verified for r in got.values() if r.bytes is not None)
-    store, lists = media.chunk(df, "page_id", "html")
-    back = {r.id: bytes(r.payload) for r in media.reconstruct(store, lists).collect()}
+    store, lists, words = media.chunk(df, "page_id", "html")
+    back = {r.id: bytes(r.payload) for r in media.reconstruct(store, lists, words).collect()}
     assert back == {i: p for i, p in rows if p is not None}
     assert media.media_chunks(df.limit(0), "page_id", "html").count() == 0
-    lost = {r.id: r.verified for r in media.verified(store.limit(0), lists).collect()}
+    lost = {r.id: r.verified for r in media.verified(store.limit(0), lists, words).collect()}
     assert not lost[1] and lost[4]
 
 

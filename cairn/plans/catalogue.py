@@ -2,12 +2,18 @@
 
 The collection C is ``embeddings`` left joined with ``documents`` on the id; its metadata are label, lang, source and n_chars.
 Mutations are a derived log: insert all, delete ids that end in 3, upsert ids that end in 7 with the negated vector.
+
+Queries of many vectors that have SQL take the first ids of the table as query vectors, as their SQL does. Those named ``_all`` are
+the same plans with every row as a query; tests compare them with brute force.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cairn.functions import vector as V
 from cairn.functions.text import tokens
@@ -44,6 +50,11 @@ def first(df: DataFrame, n: int = 1) -> DataFrame:
     return df.where(F.col("id") < n).select("id", "vector")
 
 
+def asking(v: DataFrame, n: int | None) -> DataFrame:
+    """The query vectors: those of ids below n, or every row."""
+    return v.select("id", "vector") if n is None else first(v, n)
+
+
 def _hits(df: DataFrame, one: bool = True) -> DataFrame:
     return df.select(*([] if one else ["qid"]), F.col("id").alias("internal_id"), "score", "rank")
 
@@ -56,9 +67,9 @@ def normalize(spark, d):
     return v.select("id", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x"))
 
 
-def pairwise_distance(spark, d):
+def pairwise_distance(spark, d, n=20):
     v = scaled(spark, d)
-    return knn.pairwise(first(v, 20), v.select("id", "vector"), "l2").select("qid", F.col("id").alias("internal_id"), F.col("score").alias("distance"))
+    return knn.pairwise(asking(v, n), v.select("id", "vector"), "l2").select("qid", F.col("id").alias("internal_id"), F.col("score").alias("distance"))
 
 
 def _flat(metric):
@@ -340,13 +351,13 @@ def ivf_bucket_stats(spark, d):
     return s.select("n_buckets", "min_size", "max_size", F.round("mean_size", 6).alias("mean_size"))
 
 
-def _ivf(nprobe, pending=False):
+def _ivf(nprobe, pending=False, n=50):
     def query(spark, d):
         v, c = vectors(spark, d), label_centroids(spark, d)
         lists, extra = _lists(spark, d, c), None
         if pending:  # rows that no list has yet
             lists, extra = lists.where("id % 5 != 0"), v.where("id % 5 = 0").select("id", "vector")
-        return _hits(ivf.search(lists, c, v.where("id < 50").select("id", "vector"), K, nprobe, "l2", pending=extra), one=False)
+        return _hits(ivf.search(lists, c, asking(v, n), K, nprobe, "l2", pending=extra), one=False)
 
     return query
 
@@ -388,14 +399,14 @@ c{i + 1} AS (SELECT c.cid, coalesce(n.vector, c.vector) AS vector FROM c{i} c LE
 # -- quality
 
 
-def _retrieved(spark, d):
+def _retrieved(spark, d, n=50):
     v, c = vectors(spark, d), label_centroids(spark, d)
-    q = v.where("id < 50").select("id", "vector")
+    q = asking(v, n)
     return ivf.search(_lists(spark, d, c), c, q, K, 2, "l2"), knn.knn(v, q, K, "l2")
 
 
-def recall_at_k(spark, d):
-    return evaluate.recall_at_k(*_retrieved(spark, d), K).select("qid", F.round("recall", 6).alias("recall"))
+def recall_at_k(spark, d, n=50):
+    return evaluate.recall_at_k(*_retrieved(spark, d, n), K).select("qid", F.round("recall", 6).alias("recall"))
 
 
 def _relevant(spark, d):
@@ -412,6 +423,25 @@ def mrr_at_k(spark, d):
     return evaluate.mrr_at_k(_retrieved(spark, d)[0], _relevant(spark, d), K).select("qid", F.round("rr", 6).alias("rr"))
 
 
+def _relevant_all(spark, d, retrieved) -> DataFrame:
+    """Relevance of what was retrieved, and K relevant rows of each query for the ideal: all gains are 1, so others change nothing."""
+    v = vectors(spark, d).select("id", "label")
+    q = v.select(F.col("id").alias("qid"), "label")
+    hits = retrieved.select("qid", "id").join(v, "id").join(q, ["qid", "label"]).select("qid", "id")
+    some = v.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("id"))).where(F.col("r") <= K)
+    return hits.union(q.join(F.broadcast(some), "label").select("qid", "id")).distinct().withColumn("gain", F.lit(1.0))
+
+
+def ndcg_at_k_all(spark, d):
+    found = stored(_retrieved(spark, d, None)[0], "retrieved")
+    return evaluate.ndcg_at_k(found, _relevant_all(spark, d, found), K).select("qid", F.round("ndcg", 6).alias("ndcg"))
+
+
+def mrr_at_k_all(spark, d):
+    found = stored(_retrieved(spark, d, None)[0], "retrieved")
+    return evaluate.mrr_at_k(found, _relevant_all(spark, d, found), K).select("qid", F.round("rr", 6).alias("rr"))
+
+
 def latency_percentiles(spark, d):
     return evaluate.percentiles(table(spark, d, "events"), "value", [50, 95, 99, 99.9])
 
@@ -422,12 +452,12 @@ def pareto_front(spark, d):
     return evaluate.pareto_front(points, "qps", "recall").select("label", "qps", "recall")
 
 
-def hnsw_search(spark, d):
+def hnsw_search(spark, d, asked=20):
     """A beam as wide as the shard makes the walk of a connected graph exact."""
     v = vectors(spark, d)
     n = v.count()
     index = stored(hnsw.build(v, "cosine", 16, 64, shards=max(1, n // 500)), "graph")
-    return _hits(hnsw.search(index, v.where("id < 20").select("id", "vector"), K, "cosine", ef_search=n), one=False)
+    return _hits(hnsw.search(index, asking(v, asked), K, "cosine", ef_search=n), one=False)
 
 
 def hnsw_levels(spark, d):
@@ -520,5 +550,17 @@ _PAIRS: dict[str, tuple] = {
     "stream_ingest": (stream_ingest, "SELECT CAST(vec_id AS VARCHAR) AS id FROM embeddings"),
 }
 
-QUERIES = {name: q for name, (q, _) in _PAIRS.items()}
+#: Every row is a query.
+_ALL = {
+    "pairwise_distance_all": partial(pairwise_distance, n=None),
+    "ivf_search_all": _ivf(2, n=None),
+    "ivf_pending_all": _ivf(2, True, n=None),
+    "ivf_full_probe_all": _ivf(10_000, n=None),
+    "recall_at_k_all": partial(recall_at_k, n=None),
+    "ndcg_at_k_all": ndcg_at_k_all,
+    "mrr_at_k_all": mrr_at_k_all,
+    "hnsw_search_all": partial(hnsw_search, asked=None),
+}
+
+QUERIES = {name: q for name, (q, _) in _PAIRS.items()} | _ALL
 SQL = {name: s for name, (_, s) in _PAIRS.items() if s}

@@ -4,7 +4,12 @@ A schedule gives weights per source at knots of training time from 0 to 1; betwe
 each time they are taken in proportion to their sum over the sources. The integral of a source's weight up to a time is its
 cumulative demand (times the token budget). A source's documents stand in the order of a hash of their id; the demand,
 inverted at the middle of a document's span of the source's tokens, is its training position. Documents are range-sorted
-by position. The budget is the largest that no source falls short of; documents beyond their source's demand are left out.
+by position.
+
+There are two budgets. The common one (the query with SQL) is the largest that no source falls short of; documents beyond their
+source's demand are left out, so a scarce source removes most of the others. ``whole`` (``mix`` and the pipeline) gives each
+source a budget of its own, its tokens by its share: every document of a source with weight stands in the result once, what a
+scarce source can't supply is left to the others at every time, and each source's course over time is still its schedule's.
 
 A source without tokens gets no weight. Null sources are a source of their own (""). Nulls and empty texts count one
 token. Equal hashes (repeated rows, equal ids) are ordered by id, then length: such rows are interchangeable. A null id
@@ -14,6 +19,8 @@ never stands in one task.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,8 +60,8 @@ def pieces(schedule: dict[str, list[tuple[float, float]]]) -> list[tuple[str, fl
     return rows
 
 
-def assign(docs: DataFrame, schedule: dict[str, list[tuple[float, float]]] | None = None, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The chosen rows of ``docs`` with all their columns, and __tokens, __position: not sorted yet."""
+def assign(docs: DataFrame, schedule: dict[str, list[tuple[float, float]]] | None = None, key: str = "doc_id", text: str = "text", source: str = "source", whole: bool = False) -> DataFrame:
+    """(k, s, n, position) of the chosen rows of ``docs``, of all rows of the schedule's sources if ``whole``: not sorted yet."""
     spark = docs.sparkSession
     slim = docs.select(F.col(key).alias("k"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("s"), tokens(F.col(text).cast("string")).alias("n"))
     slim = slim.withColumn("h", F.md5(F.coalesce(F.col("k").cast("string"), F.lit(""))))
@@ -69,29 +76,35 @@ def assign(docs: DataFrame, schedule: dict[str, list[tuple[float, float]]] | Non
     for s, _, length, x, slope, before in rows:
         share[s] = before + x * length + slope * length * length / 2
     budget = min((supply[s] / share[s] for s in known if share[s] > 0), default=0.0)
-    table = spark.createDataFrame(rows or [("", 0.0, 0.0, 0.0, 0.0, 2.0)], "s string, a double, length double, x double, slope double, base double")
+    upto = [base + x * length + slope * length * length / 2 for _, _, length, x, slope, base in rows]
+    own = {s: budget if budget > 0 else 1.0 for s in known}
+    if whole:  # no demand is between two pieces or behind the last
+        some = [r for r, end in zip(rows, upto) if end > r[5]]
+        upto = [nxt[5] if nxt and nxt[0] == r[0] else math.inf for r, nxt in zip(some, [*some[1:], None])]
+        rows, own = some, {s: supply[s] / share[s] for s in known if share[s] > 0}
+    pieces_of = [(*r, end, own[r[0]]) for r, end in zip(rows, upto)]
+    table = spark.createDataFrame(pieces_of or [("", 0.0, 0.0, 0.0, 0.0, 2.0, 0.0, 1.0)], "s string, a double, length double, x double, slope double, base double, upto double, budget double")
     # each document's place among its source's tokens; the hash range's sum comes by a join, the rest by a window in it
     n, h = tokens(F.col(text).cast("string")), F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
     placed = slim.withColumn("g", bucket).withColumn("inside", F.expr("sum(n) over (partition by s, g order by h, k, n rows unbounded preceding)"))
     placed = placed.join(sums.select("s", "g", "before"), ["s", "g"]).withColumn("mid", F.col("before") + F.col("inside") - F.col("n") / 2.0)
-    placed = placed.withColumn("q", F.col("mid") / F.lit(budget if budget > 0 else 1.0))
     # the piece whose demand holds q
-    fits = placed.join(F.broadcast(table), "s").where((F.col("q") >= F.col("base")) & (F.col("q") < F.col("base") + F.col("x") * F.col("length") + F.col("slope") * F.col("length") * F.col("length") / 2))
+    fits = placed.join(F.broadcast(table), "s").withColumn("q", F.col("mid") / F.col("budget")).where((F.col("q") >= F.col("base")) & (F.col("q") < F.col("upto")))
     rest = F.col("q") - F.col("base")
     root = F.sqrt(F.greatest(F.lit(0.0), F.col("x") * F.col("x") + 2 * F.col("slope") * rest))
     position = F.col("a") + 2 * rest / (F.col("x") + root)
     return fits.select("k", "s", "n", F.round(position, 9).alias("position"))
 
 
-def positions(docs: DataFrame, schedule: dict[str, list[tuple[float, float]]] | None = None) -> DataFrame:
+def positions(docs: DataFrame, schedule: dict[str, list[tuple[float, float]]] | None = None, whole: bool = False) -> DataFrame:
     """(doc_id, source, tokens, position) of the chosen documents, range-sorted by position."""
-    p = assign(docs, schedule)
+    p = assign(docs, schedule, whole=whole)
     return p.select(F.col("k").alias("doc_id"), F.col("s").alias("source"), F.col("n").alias("tokens"), "position").orderBy("position", "doc_id")
 
 
 def mix(docs: DataFrame, schedule: dict[str, list[tuple[float, float]]] | None = None, key: str = "doc_id") -> DataFrame:
-    """The chosen rows with all their columns, range-sorted by position. Rows that share an id go together, at the first's place."""
-    p = common.stored(assign(docs, schedule, key).groupBy("k").agg(F.min("position").alias("__position")), "positions")
+    """All rows of the schedule's sources with all their columns, range-sorted by position. Rows that share an id go together, at the first's place."""
+    p = common.stored(assign(docs, schedule, key, whole=True).groupBy("k").agg(F.min("position").alias("__position")), "positions")
     few = p.count() <= common.BROADCAST_IDS
     joined = docs.join(F.broadcast(p) if few else p, docs[key].eqNullSafe(p["k"])) if few else docs.join(p, F.coalesce(docs[key].cast("string"), F.lit("")) == F.coalesce(p["k"].cast("string"), F.lit("")))
     return joined.orderBy("__position", F.col("k")).select(*[docs[c] for c in docs.columns])
@@ -101,6 +114,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positions(common.documents(spark, sf_dir))
 
 
+def whole_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return positions(common.documents(spark, sf_dir), whole=True)
+
+
 SQL = f"""
 WITH d AS (SELECT doc_id AS k, coalesce(source, '') AS s, greatest(1, CAST(ceil(coalesce(length(text), 0) / {CHARS_PER_TOKEN}.0) AS BIGINT)) AS n,
              md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),

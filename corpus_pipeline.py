@@ -30,7 +30,7 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the curriculum takes, in its order."""
+    """All documents, in the curriculum's order."""
     return mixing.mix(docs)
 
 

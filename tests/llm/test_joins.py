@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -149,6 +150,19 @@ def test_mixing_odd(odd, none):
     assert got.columns == odd.columns and 0 < got.count() <= odd.count()
 
 
+def test_scarce_source_removes_nothing(spark):
+    rows = [(i, "x" * 40, "big") for i in range(3000)] + [(3000 + i, "x" * 40, "mid") for i in range(1000)] + [(4000, "x", "stray"), (4001, "y", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert sorted(r.doc_id for r in mixing.mix(df).collect()) == list(range(4002))
+    got = mixing.positions(df, whole=True).collect()
+    assert sorted(r.doc_id for r in got) == list(range(4002)) and all(0 <= r.position <= 1 for r in got)
+    # each source's course over time is its schedule's
+    schedule = mixing.shares_schedule({s: sum(r.tokens for r in got if r.source == s) for s in {r.source for r in got}})
+    for s in ("big", "mid"):
+        first, second = (sum((a[1] + b[1]) / 2 * (b[0] - a[0]) for a, b in [schedule[s][i : i + 2]]) for i in (0, 1))
+        assert abs(np.mean([r.position < 0.5 for r in got if r.source == s]) - first / (first + second)) < 0.01
+
+
 # -- pipeline
 
 

@@ -1,11 +1,13 @@
 """Licence scan: matching statistics against a generalised suffix automaton of licence texts.
 
 The automaton holds every run of tokens (words in lower case) of all templates. A text is streamed through it: at each token
-the state is the longest run ending there that stands in some template, which are the matching statistics. Runs that can't be
-extended and have MIN_MATCH tokens or more are kept as matches with all their places; for each template matches that
+the state is the longest run ending there that stands in some template, which are the matching statistics. Its suffix links lead to
+the shorter runs that stand in other places; at each place the longest run that the template can't extend on either side is a match
+if it has MIN_MATCH tokens or more. For each template matches that
 follow each other, with gaps of at most MAX_GAP tokens on either side, are chained by dynamic programming over covered
-tokens. A chain that covers enough of the template is a finding. Of findings that overlap in the text the one of more covered
-tokens stays; equal ones go to the template's name.
+tokens. A chain that covers enough of the template is a finding. Of findings that overlap in the text the one stays
+whose covered tokens exceed its template's missing ones by more (a notice that is whole goes before a longer one in pieces); equal
+ones go to the more covered tokens, then to the template's name.
 
 Only stretches of tokens that all stand in the templates' vocabulary can hold a match; they are found by whole-array operations, and only they
 are streamed. Null and empty texts have no findings, so they give no rows; texts of any length are scanned whole. Repeated rows give
@@ -138,6 +140,8 @@ class Scanner:
         tokens = [np.searchsorted(self.vocabulary, h).tolist() for h in hashes]
         self.sizes, self.least, self.gap, self.coverage = [len(t) for t in tokens], least, gap, coverage
         self.automaton = Automaton(tokens)
+        self.tokens = tokens
+        self.shorter: dict[int, list[tuple[int, int, int]]] = {}
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """Token numbers, -1 for tokens of no template."""
@@ -145,22 +149,43 @@ class Scanner:
         at[at == len(self.vocabulary)] = 0
         return np.where(self.vocabulary[at] == hashes, at, -1)
 
+    def _shorter(self, s: int) -> list[tuple[int, int, int]]:
+        """(template, end, length) of the places that the state's own runs lack, from the states down its suffix links."""
+        if s not in self.shorter:
+            a, out = self.automaton, []
+            p, q = s, a.link[s]
+            while q > 0 and a.length[q] >= self.least:
+                lacking = set(a.ends[q]).difference(a.ends[p])
+                out += [(t, end, a.length[q]) for t, end in sorted(lacking)]
+                p, q = q, a.link[q]
+            self.shorter[s] = out
+        return self.shorter[s]
+
+    def matches(self, tokens: list[int]) -> list[tuple[int, int, int, int]]:
+        """(template, begin in the text, begin in the template, length) of all runs that can't be extended on either side."""
+        a, out = self.automaton, []
+        for i, (n, s) in enumerate(a.statistics(tokens)):
+            if n < self.least:
+                continue
+            nxt = tokens[i + 1] if i + 1 < len(tokens) else -1
+            for t, end, k in [*((t, end, n) for t, end in a.ends[s]), *self._shorter(s)]:
+                if end == self.sizes[t] or self.tokens[t][end] != nxt:
+                    out.append((t, i + 1 - k, end - k, k))
+        return out
+
     def findings(self, numbers: np.ndarray) -> list[tuple[str, int, int, int]]:
         """(template, first token, end, covered tokens) of one text's token numbers."""
         flags = numbers >= 0
         starts, ends = textops.runs(flags)
         long = ends - starts >= self.least
         by: dict[int, list[tuple[int, int, int]]] = {}
-        a = self.automaton
         for b, e in zip(starts[long].tolist(), ends[long].tolist()):
-            stats = a.statistics(numbers[b:e].tolist())
-            for i, (n, s) in enumerate(stats):
-                if n >= self.least and (i + 1 == len(stats) or stats[i + 1][0] <= n):
-                    for t, end in a.ends[s]:
-                        by.setdefault(t, []).append((b + i + 1 - n, end - n, n))
+            for t, x, y, n in self.matches(numbers[b:e].tolist()):
+                by.setdefault(t, []).append((b + x, y, n))
         found = [f for t, m in by.items() for f in self._chains(t, m)]
-        # overlapping findings: most covered tokens first
-        found.sort(key=lambda f: (-f[3], f[0], f[1]))
+        # overlapping findings: most covered tokens, less the template's others, first
+        size = dict(zip(self.names, self.sizes))
+        found.sort(key=lambda f: (size[f[0]] - 2 * f[3], -f[3], f[0], f[1]))
         kept: list[tuple[str, int, int, int]] = []
         taken: list[tuple[int, int]] = []
         for f in found:

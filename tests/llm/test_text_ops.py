@@ -278,6 +278,35 @@ def test_statistics_equal_brute_force():
                 assert set(a.ends[s]) == places
 
 
+def test_matches_equal_brute_force():
+    """Every place where a run stands that its template can't extend, also if a longer run of another template ends there."""
+    rng = np.random.default_rng(8)
+    for least in (1, 2, 3):
+        texts = [" ".join(rng.choice(list("abcd"), n)) for n in (12, 9, 20, 9)]
+        s = licenses.Scanner({str(i): t for i, t in enumerate(texts)}, least)
+        for _ in range(30):
+            text = rng.integers(-1, len(s.vocabulary), 40).tolist()
+            want = set()
+            for t, x in enumerate(s.tokens):
+                for i in range(len(text)):
+                    for j in range(len(x)):
+                        if text[i] != x[j] or (i and j and text[i - 1] == x[j - 1]):
+                            continue
+                        n = 1
+                        while i + n < len(text) and j + n < len(x) and text[i + n] == x[j + n]:
+                            n += 1
+                        if n >= least:
+                            want.add((t, i, j, n))
+            got = s.matches(text)
+            assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_scan_finds_edited_notices(spark):
+    rows = [(1, "This work is licensed under the terms of Apache License, Version 2.0", "l"), (2, "This work is licensed under the permissive BSD 3-Clause License", "l")]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, license string")).collect()
+    assert sorted((r.doc_id, r.license) for r in got) == [(1, "Apache-2.0-notice"), (2, "BSD-notice")]
+
+
 def test_scan_finds_all_notices(spark, docs):
     phrases = {"GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3", "MIT-notice": "Released under the MIT License", "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0", "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0"}
     got = licenses.scan(docs).collect()

@@ -6,7 +6,8 @@ least cost, a word costs minus the logarithm of its probability, an unknown stre
 Naive Bayes is trained on built-in seed words of unwanted and of ordinary hosts; words of both lists decide nothing.
 
 Null, empty and malformed URLs have no host: null words and score, not blocked. Equal URLs get equal results; hosts are
-compared in lower case without port, user and leading "www". Other columns aren't read. Each distinct host is segmented once.
+compared in lower case without port, user and leading "www". Other columns aren't read. Each distinct label is segmented once.
+All counted labels are words, however many there are: each label is joined with the counts of its substrings.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from cairn.llm import common
 THRESHOLD = 0.7
 #: How many observations a seed word stands for.
 SEED_WEIGHT = 10
-#: Cost of an unknown stretch, and of each of its letters, in nats; longest word; counted words that the model keeps.
-UNKNOWN, LETTER, LONGEST, KEPT = 9.0, 2.2, 24, 50_000
+#: Cost of an unknown stretch, and of each of its letters, in nats; longest word.
+UNKNOWN, LETTER, LONGEST = 9.0, 2.2, 24
 
 SEEDS = {
     "bad": """casino win jackpot slots poker roulette blackjack bets bet betting bookmaker gamble gambling lottery bingo free bets casino bonus
@@ -67,24 +68,34 @@ def path_tokens(path: str | None) -> list[str]:
     return [x for x in re.findall(r"[^\W\d_]+", path or "")]
 
 
+def parts_of(label: str) -> set[str]:
+    """The substrings of a label that can be words."""
+    return {label[i:j] for i in range(len(label)) for j in range(i + 1, min(len(label), i + LONGEST) + 1)}
+
+
 class Segmenter:
     """Unigram Viterbi over a table of words and counts."""
 
-    def __init__(self, counts: dict[str, float]):
-        total = sum(counts.values()) + len(counts) + 1
+    def __init__(self, counts: dict[str, float], more: tuple[int, int] = (0, 0)):
+        """``more``: the sum and the number of the counts that ``split`` gets a label's share of."""
+        total = self.total = sum(counts.values()) + more[0] + len(counts) + more[1] + 1
         self.cost = {w: -math.log((c + 1) / total) for w, c in counts.items()}
-        self.longest = min(LONGEST, max(map(len, counts), default=1))
+        self.longest = LONGEST if more[1] else min(LONGEST, max(map(len, counts), default=1))
         self.known: dict[str, list[str]] = {}
 
-    def split(self, label: str) -> list[str]:
-        """Words of one concatenated label; equal costs go to the longer last word."""
-        if label in self.known:
+    def split(self, label: str, counts: dict[str, int] | None = None) -> list[str]:
+        """Words of one concatenated label; equal costs go to the longer last word. ``counts``: further words."""
+        if not counts and label in self.known:
             return self.known[label]
+        cost = self.cost
+        if counts:
+            cost = {w: -math.log((c + 1) / self.total) for w, c in counts.items()}
+            cost.update((w, self.cost[w]) for w in parts_of(label) if w in self.cost)
         n = len(label)
         best, back, odd = [0.0] + [math.inf] * n, [0] * (n + 1), [False] * (n + 1)
         for i in range(1, n + 1):
             for j in range(max(0, i - self.longest), i):
-                c = self.cost.get(label[j:i])
+                c = cost.get(label[j:i])
                 if c is not None and best[j] + c < best[i]:
                     best[i], back[i], odd[i] = best[j] + c, j, False
             # an unknown stretch grows by one letter, or begins here
@@ -97,7 +108,7 @@ class Segmenter:
             out.append(label[back[i] : i])
             i = back[i]
         out.reverse()
-        if len(self.known) < 200_000:
+        if not counts and len(self.known) < 200_000:
             self.known[label] = out
         return out
 
@@ -117,48 +128,67 @@ class Bayes:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
-def fit(urls: DataFrame, url: str = "url") -> tuple[Segmenter, Bayes]:
-    """The segmenter from words counted over all URLs, and naive Bayes from the seeds."""
-    u = urls.select(host_of(F.col(url)).alias("h"), path_of(F.col(url)).alias("p")).where("h is not null")
-    label = F.explode(F.expr(r"regexp_extract_all(regexp_replace(h, '[.][^.]*$', ''), '(\\p{L}+)', 1)"))
-    hosts = u.groupBy("h").count()
-    # counts over all distinct hosts; what comes back is bounded by KEPT
-    seen = hosts.select(label.alias("w")).groupBy("w").count().where("count > 1 or length(w) <= 12").orderBy(F.desc("count"), "w").limit(KEPT).collect()
-    counts = Counter({w: 1000 for w in (WORDS + " " + SEEDS["good"] + " " + SEEDS["bad"]).split()})
-    whole = Counter({r.w: r["count"] for r in seen})
-    segmenter = Segmenter(counts)
-    for w, c in whole.items():  # a label that known words make up is a concatenation, not a word
-        parts = segmenter.split(w)
-        if any(p not in counts for p in parts):
-            counts[w] += c
-    segmenter = Segmenter(counts)
-    return segmenter, Bayes(*(Counter({w: SEED_WEIGHT * c for w, c in Counter(SEEDS[k].split()).items()}) for k in ("bad", "good")))
-
-
-def scorer(segmenter: Segmenter, bayes: Bayes):
-    """Column function "host<tab>path" -> struct(words, score)."""
-
-    def work(texts: list) -> dict:
-        words, scores = [], []
+def bayes() -> Bayes:
+    """Naive Bayes from the seeds."""
+    return Bayes(*(Counter({w: SEED_WEIGHT * c for w, c in Counter(SEEDS[k].split()).items()}) for k in ("bad", "good")))
+
+
+def split_labels(labels: DataFrame) -> DataFrame:
+    """(w, words) of every distinct label (w, c), c being how often the hosts have it."""
+    built_in = Counter({w: 1000 for w in (WORDS + " " + SEEDS["good"] + " " + SEEDS["bad"]).split()})
+    plain = Segmenter(built_in)
+
+    # a label that known words make up is a concatenation, not a word
+    def is_word(texts: list) -> list:
+        return [any(p not in built_in for p in plain.split(t)) for t in texts]
+
+    words = common.stored(labels.where(common.text_udf("boolean", is_word)(F.col("w"))), "words")
+    size = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    segmenter = Segmenter(built_in, (int(size[0]), int(size[1])))
+    part = F.explode(common.text_udf("array<string>", lambda texts: [sorted(parts_of(t)) for t in texts])(F.col("w"))).alias("part")
+    found = labels.select("w", part).join(words.select(F.col("w").alias("part"), "c"), "part")
+    found = found.groupBy("w").agg(F.concat_ws(",", F.collect_list(F.concat("part", F.lit(" "), F.col("c").cast("string")))).alias("counts"))
+
+    def split(texts: list) -> list:
+        out = []
+        for t in texts:
+            label, _, counts = t.partition("\t")
+            out.append(segmenter.split(label, {w: int(c) for w, c in (x.split(" ") for x in counts.split(",") if x)}))
+        return out
+
+    given = F.concat("w", F.lit("\t"), F.coalesce("counts", F.lit("")))
+    return labels.select("w").join(found, "w", "left").select("w", common.text_udf("array<string>", split)(given).alias("words"))
+
+
+def host_words(urls: DataFrame, url: str = "url") -> DataFrame:
+    """(host, words) of every distinct host that has labels."""
+    hosts = urls.select(host_of(F.col(url)).alias("host")).where("host is not null").distinct()
+    labels = common.text_udf("array<string>", lambda texts: [labels_of(t) for t in texts])(F.col("host"))
+    rows = common.stored(hosts.select("host", F.posexplode(labels).alias("at", "w")), "labels")
+    split = split_labels(common.stored(rows.groupBy("w").agg(F.count("*").alias("c")), "counts"))
+    lists = rows.join(split, "w").groupBy("host").agg(F.array_sort(F.collect_list(F.struct("at", "words"))).alias("l"))
+    return lists.select("host", F.flatten("l.words").alias("words"))
+
+
+def scorer(model: Bayes):
+    """Column function "words<tab>path" -> score."""
+
+    def work(texts: list) -> list:
+        scores = []
         for t in texts:
-            if t is None:
-                words.append(None)
-                scores.append(None)
-                continue
-            host, _, path = t.partition("\t")
-            ws = [w for x in labels_of(host) for w in segmenter.split(x)]
-            words.append(ws)
-            scores.append(round(bayes.score(ws + path_tokens(path)), 6))
-        return {"words": words, "score": scores}
+            words, _, path = (t or "").partition("\t")
+            scores.append(None if t is None else round(model.score(words.split() + path_tokens(path)), 6))
+        return scores
 
-    return common.text_udf("words array<string>, score double", work)
+    return common.text_udf("double", work)
 
 
 def filter_urls(urls: DataFrame, key: str = "page_id", url: str = "url", threshold: float = THRESHOLD) -> DataFrame:
     """(key, host, words, score, blocked) of every row."""
-    x = scorer(*fit(urls, url))(F.concat(host_of(F.col(url)), F.lit("\t"), path_of(F.col(url))))
-    found = urls.select(F.col(key), host_of(F.col(url)).alias("host"), x.alias("x"))
-    return found.select(key, "host", "x.words", "x.score", F.coalesce(F.col("x.score") >= threshold, F.lit(False)).alias("blocked"))
+    rows = urls.select(F.col(key), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path")).join(host_words(urls, url), "host", "left")
+    rows = rows.withColumn("words", F.when(F.col("host").isNotNull(), F.coalesce("words", F.array().cast("array<string>"))))
+    found = rows.select(key, "host", "words", scorer(bayes())(F.concat(F.array_join("words", " "), F.lit("\t"), F.col("path"))).alias("score"))
+    return found.select(key, "host", "words", "score", F.coalesce(F.col("score") >= threshold, F.lit(False)).alias("blocked"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -260,6 +260,16 @@ def test_url_filter(spark):
     assert urls.filter_urls(df.limit(0)).count() == 0
 
 
+def test_every_counted_label_is_a_word(spark):
+    """Labels behind the 50,000 most frequent ones, and long labels of one host, stay whole."""
+    many = spark.range(50_010).selectExpr("id", "concat('http://', translate(cast(id + 100000 as string), '0123456789', 'abcdefghij'), '.example.org/') as url")
+    few = spark.createDataFrame([(10**6, "http://sussexpills.example.org/"), (10**6 + 1, "http://sussexpillsbury.example.org/")], "id long, url string")
+    got = {r.id: r for r in urls.filter_urls(many.union(few), "id").collect()}
+    assert len(got) == 50_012
+    for i, label in ((10**6, "sussexpills"), (10**6 + 1, "sussexpillsbury")):
+        assert got[i].words[0] == label and not got[i].blocked
+
+
 # -- 9 licences
 
 

@@ -1,7 +1,7 @@
 """URL filter: host words by unigram Viterbi, then multinomial naive Bayes over host and path tokens.
 
-Words and their frequencies: a built-in list of words that are common in host names, and the hosts' own labels and path words
-counted over all rows. A label that others are concatenated from is found by its frequency; Viterbi takes the split of
+Words and their frequencies: a built-in list of words that are common in host names, and the hosts' own labels counted over
+all distinct hosts. Path words aren't counted: paths are split at what isn't a letter and only scored. A label that others are concatenated from is found by its frequency; Viterbi takes the split of
 least cost, a word costs minus the logarithm of its probability, an unknown stretch a fixed cost and more for each letter.
 Naive Bayes is trained on built-in seed words of unwanted and of ordinary hosts; words of both lists decide nothing.
 

@@ -31,10 +31,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or in its absence (tests) a new one."""
+    """The folder that all executors share: ``spark.checkpoint.dir``, or in its absence on a local master (tests) a new one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cairn-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="cairn-"))
     return sc.getCheckpointDir()
 
 
@@ -42,7 +45,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """The frame written to the shared folder and read again: computed once, and safe when executors are lost."""
     path = os.path.join(shared_dir(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made._stored_at = path
+    return made
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table of a frame that ``stored`` returned; nothing may read it later."""
+    sc = df.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Ids are broadcast up to this number (about 64 MB with their hash table); beyond it a shuffled join does the same.

@@ -13,8 +13,9 @@ scarce source can't supply is left to the others at every time, and each source'
 
 A source without tokens gets no weight. Null sources are a source of their own (""). Nulls and empty texts count one
 token. Equal hashes (repeated rows, equal ids) are ordered by id, then length: such rows are interchangeable. A null id
-hashes as the empty text. An empty frame gives an empty one. The running sums go by ranges of the hash, so a hot source
-never stands in one task.
+hashes as the empty text. Very long texts count all their characters. An empty frame gives an empty one. The running sums go by ranges
+of the hash, so a hot source never stands in one task. Columns may have any names: only key, text and source are read, and ``mix``
+carries the others inside a structure.
 """
 
 from __future__ import annotations
@@ -104,10 +105,12 @@ def positions(docs: DataFrame, schedule: dict[str, list[tuple[float, float]]] |
 
 def mix(docs: DataFrame, schedule: dict[str, list[tuple[float, float]]] | None = None, key: str = "doc_id") -> DataFrame:
     """All rows of the schedule's sources with all their columns, range-sorted by position. Rows that share an id go together, at the first's place."""
-    p = common.stored(assign(docs, schedule, key, whole=True).groupBy("k").agg(F.min("position").alias("__position")), "positions")
+    p = common.stored(assign(docs, schedule, key, whole=True).groupBy("k").agg(F.min("position").alias("position")), "positions")
     few = p.count() <= common.BROADCAST_IDS
-    joined = docs.join(F.broadcast(p) if few else p, docs[key].eqNullSafe(p["k"])) if few else docs.join(p, F.coalesce(docs[key].cast("string"), F.lit("")) == F.coalesce(p["k"].cast("string"), F.lit("")))
-    return joined.orderBy("__position", F.col("k")).select(*[docs[c] for c in docs.columns])
+    # the frame's columns go under one name, so what they are called doesn't matter
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[key].alias("id"))
+    joined = rows.join(F.broadcast(p) if few else p, F.col("id").eqNullSafe(F.col("k")))
+    return joined.orderBy("position", "id").select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

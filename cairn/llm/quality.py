@@ -6,7 +6,9 @@ labelled rows; on rows of the sample that were held out a sigmoid of the score i
 probabilities. Texts are scored in Arrow batches against fixed thresholds.
 
 Nulls and texts without a character have no features: probability null, verdict "review" (they are not rejected here).
-Each row is judged for itself. If the labels have not both classes, every probability is 0.5 (verdict "review").
+Each row is judged for itself, so ties and repeated rows have equal results; very long texts are read whole. If the labels have not both
+classes, every probability is 0.5 (verdict "review"); an empty table gives an empty result. Labels that contradict each other both count.
+Of the frame only key and text are read, whatever its other columns are called.
 """
 
 from __future__ import annotations
@@ -94,8 +96,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         at = np.searchsorted(r, np.arange(len(texts) + 1))
         return {"f": [f[at[i] : at[i + 1]].astype(np.uint16).tobytes() for i in range(len(texts))], "v": [v[at[i] : at[i + 1]].astype(np.float32).tobytes() for i in range(len(texts))]}
 
-    x = common.text_udf("f binary, v binary", sparse)(F.col(text).cast("string"))
-    rows = docs.join(F.broadcast(some), key).select(F.col(key).alias("k"), "quality", x.alias("x")).select("k", "quality", "x.*").collect()
+    x = common.text_udf("f binary, v binary", sparse)(F.col("__text"))
+    slim = docs.select(F.col(key), F.col(text).cast("string").alias("__text"))
+    rows = slim.join(F.broadcast(some), key).select(F.col(key).alias("k"), "quality", x.alias("x")).select("k", "quality", "x.*").collect()
     rows = sorted((r for r in rows if r.f), key=lambda r: (r.k, r.quality))
     good = np.array([r.quality for r in rows], np.float64)
     if len(set(good.tolist())) < 2:

@@ -7,7 +7,9 @@ nearest centroid by cosine. A text is rejected (language "und") if its cosine di
 language's limit, which falls with the number of n-grams: short texts lie far from any centroid by chance.
 
 Nulls and texts without a letter have no vector: language null, distance 1, not rejected unless ``reject_empty``.
-Equal distances go to the language that is first in the alphabet. Rows are judged one by one.
+Equal distances go to the language that is first in the alphabet. Rows are judged one by one, so repeated rows have equal results;
+very long texts are one vector like others. An empty table, or one without a language label, gives null languages. Of the frame only key,
+text and lang are read, whatever its other columns are called.
 """
 
 from __future__ import annotations

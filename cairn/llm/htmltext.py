@@ -1,15 +1,18 @@
 """Main text of web pages by gradient-boosted trees over DOM nodes and hierarchical decoding.
 
 A tolerant parser makes a tree of elements (void elements, implied ends, unclosed and stray tags, comments, raw text of scripts
-and styles, truncated pages). Each element has features: length, link density, tag density and punctuation of its
-subtree, its own text, depth, place and number among its siblings, the siblings' lengths, place in the page, and hashed tokens of its
-tag and of its class, id and role attributes. Trees boosted on a bounded sample of pages estimate whether its text is content;
-their targets come from pages that say so themselves (article and main elements against nav, footer, aside, header, form).
+and styles, truncated pages) in time linear in the page, however deep it is nested. Each element has features: length, link density, tag
+density and punctuation of its subtree, its own text, depth, place and number among its siblings, the siblings' lengths, place in the
+page, and hashed tokens of its tag and of its class, id and role attributes. Trees boosted on a bounded sample of pages estimate whether
+its text is content; their targets come from pages that say so themselves (article and main elements against nav, footer, aside, header,
+form). These tags are what the targets are made of, so the features never see them: in training and in scoring they count as div, of the
+element and of its parent alike. A page without them gets the same text as one with them.
 Decoding: each subtree is kept whole, dropped whole, or mixed, in which case its children are decided by themselves; a dynamic programme
 takes the most probable consistent choice, so a kept node never has a dropped ancestor, nor a dropped one a kept ancestor.
 
 A null page has null text; an empty one, or one without text, the empty text. Without a page that labels itself, built-in rules on
-link density and length stand for the trees. Pages are parsed whole; rows are judged one by one; other columns aren't read.
+link density and length stand for the trees; an empty table gives an empty result. Very long pages are parsed whole. Rows are judged one by
+one, so repeated rows and equal ids have rows of their own; where keeping and dropping a subtree tie it is kept. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -36,8 +39,11 @@ BLOCK = frozenset(
 )
 CLOSES_P = BLOCK - {"body", "head", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "li", "dd", "dt", "title"}
 CONTENT, BOILER = frozenset(("article", "main")), frozenset(("nav", "footer", "aside", "header", "form", "script", "style", "head"))
-_IMPLIED = {"li": ("li", ("ul", "ol")), "dd": ("dd dt", ("dl",)), "dt": ("dd dt", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*|[^>]*)>", re.S)
+#: Tags that the targets are made of.
+MASKED = CONTENT | BOILER - {"script", "style", "head"}
+_IMPLIED = {"li": (("li",), ("ul", "ol")), "dd": (("dd", "dt"), ("dl",)), "dt": (("dd", "dt"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",))}
+_NAME = re.compile(r"<(/?)([a-zA-Z][\w:-]*+)")
+_REST = re.compile(r"([^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+)>")
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "noscript", "template", "textarea", "svg", "iframe")}
 _PUNCT = re.compile(r"[.,;:!?](?:\s|$)")
@@ -50,6 +56,7 @@ class Page:
     def __init__(self, source: str):
         self.parent, self.tag, self.tokens, self.pieces = [-1], ["#root"], [[]], []
         stack, at, block = [0], 0, 0
+        places: dict[str, list[int]] = {}  # where the open elements of each tag stand in the stack
 
         def text(raw: str) -> None:
             if raw and not raw.isspace():
@@ -57,44 +64,67 @@ class Page:
             elif raw and self.pieces:
                 self.pieces.append((stack[-1], " ", block))
 
-        m = _TAG.search(source, at)
-        while m:
-            text(source[at : m.start()])
-            at = m.end()
-            name = (m[2] or "").lower()
-            if name and m[1]:
-                if name in BLOCK:
-                    block += 1
-                if name in (self.tag[i] for i in stack[1:]):
-                    while self.tag[stack.pop()] != name:
-                        pass
-            elif name:
-                if name in BLOCK or name == "br":
+        def close(k: int) -> None:
+            """End the open elements from place k on."""
+            while len(stack) > k:
+                places[self.tag[stack.pop()]].pop()
+
+        def nearest(tags: tuple) -> int:
+            return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+        quotes, last = True, source.rfind(">")  # no tag ends behind the last one
+        i = source.find("<")
+        while 0 <= i:
+            if source.startswith("<!--", i):
+                end = source.find("-->", i + 4)
+                text(source[at:i])
+                at = end + 3 if end >= 0 else len(source)
+            elif i > last:
+                if re.match(r"<[/a-zA-Z!?]", source[i : i + 2]):  # a tag that was cut off
+                    text(source[at:i])
+                    at = len(source)
+                    break
+                i = source.find("<", i + 1)
+                continue
+            elif source.startswith(("<!", "<?"), i):
+                text(source[at:i])
+                at = source.find(">", i) + 1
+            elif m := _NAME.match(source, i):
+                rest = _REST.match(source, m.end()) if quotes else None
+                quotes = rest is not None  # once a quote isn't closed, quotes no longer count in this page
+                end = rest.end(1) if rest else source.find(">", m.end())
+                text(source[at:i])
+                at = end + 1
+                self._tag(m[2].lower(), bool(m[1]), source[m.end() : end], stack, places, close, nearest)
+                if m[2].lower() in BLOCK or m[2].lower() == "br" and not m[1]:
                     block += 1
-                if name in CLOSES_P and any(self.tag[i] == "p" for i in stack):
-                    while self.tag[stack.pop()] != "p":
-                        pass
-                if name in _IMPLIED:
-                    ends, scope = _IMPLIED[name]
-                    for k in range(len(stack) - 1, 0, -1):
-                        if self.tag[stack[k]] in scope:
-                            break
-                        if self.tag[stack[k]] in ends.split():
-                            del stack[k:]
-                            break
-                if name not in VOID:
-                    found = [x for a in _ATTR.finditer(m[3]) for x in _WORD.findall((a[2] or a[3] or a[4] or "").lower())]
-                    self.parent.append(stack[-1])
-                    self.tag.append(name)
-                    self.tokens.append(found)
-                    if name in _RAW:  # its text isn't text of the page
-                        end = _RAW[name].search(source, at)
-                        at = end.end() if end else len(source)
-                    elif not m[3].rstrip().endswith("/"):
-                        stack.append(len(self.tag) - 1)
-            m = _TAG.search(source, at)
-        tail = source[at:]
-        text(tail[: tail.rfind("<")] if re.search(r"<[/a-zA-Z!][^>]*\Z", tail) else tail)
+                if not m[1] and m[2].lower() in _RAW:  # its text isn't text of the page
+                    found = _RAW[m[2].lower()].search(source, at)
+                    at = found.end() if found else len(source)
+            else:
+                i = source.find("<", i + 1)
+                continue
+            i = source.find("<", at)
+        text(source[at:])
+
+    def _tag(self, name: str, closing: bool, attributes: str, stack: list[int], places: dict, close, nearest) -> None:
+        if closing:
+            if places.get(name):
+                close(places[name][-1])
+            return
+        if name in CLOSES_P and places.get("p"):
+            close(places["p"][-1])
+        if name in _IMPLIED:
+            ends, scope = _IMPLIED[name]
+            if (k := nearest(ends)) > nearest(scope):
+                close(k)
+        if name not in VOID:
+            self.parent.append(stack[-1])
+            self.tag.append(name)
+            self.tokens.append([x for a in _ATTR.finditer(attributes) for x in _WORD.findall((a[2] or a[3] or a[4] or "").lower())])
+            if name not in _RAW and not attributes.rstrip().endswith("/"):
+                places.setdefault(name, []).append(len(stack))
+                stack.append(len(self.tag) - 1)
 
     def sums(self, own: np.ndarray) -> np.ndarray:
         """Sum of a value over each subtree (children come after their parents)."""
@@ -135,7 +165,7 @@ class Page:
             last[parent[i]] = i
         hashed = np.zeros((n, TOKENS))
         for i in range(n):
-            for t in (self.tag[i], *("." + x for x in self.tokens[i])):
+            for t in ("div" if self.tag[i] in MASKED else self.tag[i], *("." + x for x in self.tokens[i])):
                 hashed[i, _bucket(t)] = 1
         total = max(seen, 1)
         dense = np.stack((np.log1p(chars), np.log1p(all_chars), np.log1p(words), all_chars / size, linked / np.maximum(all_chars, 1), all_punct / np.maximum(all_words, 1), punct, all_chars / np.maximum(all_words, 1), depth, place, count[up], count, np.log1p(before), np.log1p(after), all_chars / total, start / total, all_chars[up] / total), 1)
@@ -222,7 +252,6 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH,
         for level in range(depth):
             width, off = 2**level, 2**level - 1
             best_gain = np.full(width, 1e-6)
-            bin_of = np.full(width, -1)
             for j in range(x.shape[1]):
                 if not len(edges[j]):
                     continue
@@ -235,11 +264,9 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH,
                 better = gain[np.arange(width), k] > best_gain
                 best_gain = np.where(better, gain[np.arange(width), k], best_gain)
                 for q in np.flatnonzero(better):
-                    feature[off + q], threshold[off + q], bin_of[q] = j, edges[j][k[q]], k[q]
-            here = node - off
+                    feature[off + q], threshold[off + q] = j, edges[j][k[q]]
             right = x[np.arange(len(y)), feature[node]] > threshold[node]
             node = 2 * node + 1 + right
-            del here, bin_of
         leaf = node - (2**depth - 1)
         value = rate * np.bincount(leaf, g, 2**depth) / (np.bincount(leaf, h, 2**depth) + 1)
         f += value[leaf]

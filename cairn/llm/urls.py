@@ -1,13 +1,21 @@
 """URL filter: host words by unigram Viterbi, then multinomial naive Bayes over host and path tokens.
 
 Words and their frequencies: a built-in list of words that are common in host names, and the hosts' own labels counted over
-all distinct hosts. Path words aren't counted: paths are split at what isn't a letter and only scored. A label that others are concatenated from is found by its frequency; Viterbi takes the split of
-least cost, a word costs minus the logarithm of its probability, an unknown stretch a fixed cost and more for each letter.
-Naive Bayes is trained on built-in seed words of unwanted and of ordinary hosts; words of both lists decide nothing.
-
-Null, empty and malformed URLs have no host: null words and score, not blocked. Equal URLs get equal results; hosts are
-compared in lower case without port, user and leading "www". Other columns aren't read. Each distinct label is segmented once.
-All counted labels are words, however many there are: each label is joined with the counts of its substrings.
+all distinct hosts. Path words aren't counted there: paths are split at what isn't a letter. A label that others are concatenated from
+is found by its frequency; Viterbi takes the split of least cost, a word costs minus the logarithm of its probability, an unknown stretch
+a fixed cost and more for each letter. All counted labels are words, however many there are: each label is joined with the counts of its
+substrings.
+
+Naive Bayes is fitted on all rows of the table by expectation and maximisation: seed words of unwanted and of ordinary hosts give the first
+model; it says how likely each row is unwanted; the rows' tokens, counted with these probabilities, and the seeds make the next
+model. Counts from rows are scaled, for each class, to the mass of its seeds (or to less if the table has fewer tokens than the seeds
+count), so a large table and many copies of it give the same model. Counts of rows are kept by hash bucket, so the model's size is fixed.
+Tokens that stand in rows of both kinds alike decide nothing.
+
+Null, empty and malformed URLs have no host: null words and score, not blocked, and no part in the fit. Equal URLs get equal results, and
+repeated rows count repeatedly; hosts are compared in lower case without port, user and leading "www". Queries and fragments of URLs
+aren't read. Very long URLs are read whole, in time that grows with their length. An empty table gives an empty result. Other columns aren't
+read, whatever they are called. Each distinct label is segmented once; of equal costs the one with the longer last word is taken.
 """
 
 from __future__ import annotations
@@ -16,6 +24,9 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +36,8 @@ from cairn.llm import common
 THRESHOLD = 0.7
 #: How many observations a seed word stands for.
 SEED_WEIGHT = 10
+#: Share of unwanted rows; smoothing; rounds of the fit; hash buckets of the rows' counts.
+PRIOR, SMOOTH, ROUNDS, DIMS = 0.1, 0.5, 2, 1 << 18
 #: Cost of an unknown stretch, and of each of its letters, in nats; longest word.
 UNKNOWN, LETTER, LONGEST = 9.0, 2.2, 24
 
@@ -114,23 +127,77 @@ class Segmenter:
 
 
 class Bayes:
-    """Multinomial naive Bayes of two classes with additive smoothing."""
-
-    def __init__(self, bad: Counter, good: Counter, prior: float = 0.1, smooth: float = 0.5):
-        words = set(bad) | set(good)
-        nb, ng = sum(bad.values()) + smooth * (len(words) + 1), sum(good.values()) + smooth * (len(words) + 1)
-        self.bias = math.log(prior / (1 - prior))
-        self.weight = {w: math.log((bad[w] + smooth) / nb) - math.log((good[w] + smooth) / ng) for w in words}
+    """Multinomial naive Bayes of two classes with additive smoothing: counts of seed words, and of rows' tokens by bucket."""
+
+    def __init__(self, bad: Counter, good: Counter, rows: np.ndarray | None = None, prior: float = PRIOR, smooth: float = SMOOTH):
+        """``rows``: two lines of DIMS counts, of unwanted and of ordinary rows."""
+        self.seeds, self.smooth, self.bias, self.known = (bad, good), smooth, math.log(prior / (1 - prior)), {}
+        mass = [sum(c.values()) for c in self.seeds]
+        total = np.zeros(2) if rows is None else rows.sum(1)
+        share = min(1.0, total.sum() / max(sum(mass), 1))
+        self.rows = np.zeros((2, DIMS)) if rows is None else rows * (share * np.array(mass) / np.maximum(total, 1e-9))[:, None]
+        words = len(set(bad) | set(good)) + int((self.rows.sum(0) > 0).sum()) + 1
+        self.total = [m + r + smooth * words for m, r in zip(mass, self.rows.sum(1))]
+
+    def weight(self, token: str) -> float:
+        if token not in self.known:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            b = bucket(token)
+            x, y = ((s[token] + r[b] + self.smooth) / n for s, r, n in zip(self.seeds, self.rows, self.total))
+            self.known[token] = math.log(x) - math.log(y)
+        return self.known[token]
 
     def score(self, tokens: list[str]) -> float:
         """P(unwanted); tokens that the model doesn't know say nothing."""
-        z = self.bias + sum(self.weight.get(t, 0.0) for t in tokens)
+        z = self.bias + sum(self.weight(t) for t in tokens if self.knows(t))
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
+    def knows(self, token: str) -> bool:
+        return token in self.seeds[0] or token in self.seeds[1] or self.rows[:, bucket(token)].any()
+
+
+def bucket(token: str) -> int:
+    return xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass")) % DIMS
+
+
+def seeds() -> tuple[Counter, Counter]:
+    """Counts of the seed words of unwanted and of ordinary hosts."""
+    bad, good = (Counter({w: SEED_WEIGHT * c for w, c in Counter(SEEDS[k].split()).items()}) for k in ("bad", "good"))
+    return bad, good
+
 
-def bayes() -> Bayes:
-    """Naive Bayes from the seeds."""
-    return Bayes(*(Counter({w: SEED_WEIGHT * c for w, c in Counter(SEEDS[k].split()).items()}) for k in ("bad", "good")))
+def tokens_of(given: str) -> list[str]:
+    """Host words and path tokens of "words<tab>path"."""
+    words, _, path = given.partition("\t")
+    return words.split() + path_tokens(path)
+
+
+def fit(rows: DataFrame, rounds: int = ROUNDS) -> Bayes:
+    """The model fitted on the frame (given), one string "words<tab>path" a row, null for rows without a host."""
+    model = Bayes(*seeds())
+    schema = pa.schema([("b", pa.int32()), ("bad", pa.float64()), ("good", pa.float64())])
+    for _ in range(rounds):
+
+        def count(batches, model=model):
+            sums = np.zeros((2, DIMS))
+            for batch in batches:
+                for given in batch.column(0).to_pylist():
+                    tokens = tokens_of(given)
+                    p = model.score(tokens)
+                    for t in tokens:
+                        b = bucket(t)
+                        sums[0, b] += p
+                        sums[1, b] += 1 - p
+            at = np.flatnonzero(sums.any(0))
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(sums[0, at]), pa.array(sums[1, at])], schema=schema)
+
+        parts = rows.where("given is not null").select("given").mapInArrow(count, "b int, bad double, good double")
+        counts = np.zeros((2, DIMS))
+        for r in parts.groupBy("b").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).collect():  # DIMS rows at most
+            counts[:, r.b] = r.bad, r.good
+        model = Bayes(*seeds(), counts)
+    return model
 
 
 def split_labels(labels: DataFrame) -> DataFrame:
@@ -172,22 +239,16 @@ def host_words(urls: DataFrame, url: str = "url") -> DataFrame:
 
 def scorer(model: Bayes):
     """Column function "words<tab>path" -> score."""
-
-    def work(texts: list) -> list:
-        scores = []
-        for t in texts:
-            words, _, path = (t or "").partition("\t")
-            scores.append(None if t is None else round(model.score(words.split() + path_tokens(path)), 6))
-        return scores
-
-    return common.text_udf("double", work)
+    return common.text_udf("double", lambda texts: [None if t is None else round(model.score(tokens_of(t)), 6) for t in texts])
 
 
 def filter_urls(urls: DataFrame, key: str = "page_id", url: str = "url", threshold: float = THRESHOLD) -> DataFrame:
     """(key, host, words, score, blocked) of every row."""
     rows = urls.select(F.col(key), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path")).join(host_words(urls, url), "host", "left")
     rows = rows.withColumn("words", F.when(F.col("host").isNotNull(), F.coalesce("words", F.array().cast("array<string>"))))
-    found = rows.select(key, "host", "words", scorer(bayes())(F.concat(F.array_join("words", " "), F.lit("\t"), F.col("path"))).alias("score"))
+    given = F.concat(F.array_join("words", " "), F.lit("\t"), F.col("path"))
+    rows = common.stored(rows.select(key, "host", "words", given.alias("given")), "urls")
+    found = rows.select(key, "host", "words", scorer(fit(rows))(F.col("given")).alias("score"))
     return found.select(key, "host", "words", "score", F.coalesce(F.col("score") >= threshold, F.lit(False)).alias("blocked"))
 
 

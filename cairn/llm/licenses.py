@@ -10,8 +10,8 @@ whose covered tokens exceed its template's missing ones by more (a notice that i
 ones go to the more covered tokens, then to the template's name.
 
 Only stretches of tokens that all stand in the templates' vocabulary can hold a match; they are found by whole-array operations, and only they
-are streamed. Null and empty texts have no findings, so they give no rows; texts of any length are scanned whole. Repeated rows give
-repeated findings.
+are streamed. Null and empty texts and an empty table have no findings, so they give no rows; texts of any length are scanned whole. Repeated
+rows give repeated findings. Of the frame only key and text are read, whatever its other columns are called.
 """
 
 from __future__ import annotations
@@ -24,50 +24,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import common, textops
+from cairn.llm.licensetexts import TEMPLATES
 
 MIN_MATCH, MAX_GAP = 3, 6
 #: Share of a template's tokens that a finding covers at least.
 COVERAGE = 0.75
 
-TEMPLATES = {
-    "MIT-notice": "Released under the MIT License.",
-    "MIT-notice-2": "Licensed under the MIT License.",
-    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
-        (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish,
-        distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the
-        following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.""",
-    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0",
-    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may
-        obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software
-        distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See
-        the License for the specific language governing permissions and limitations under the License.""",
-    "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3",
-    "GPL-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by
-        the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that
-        it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.""",
-    "GPL-2.0-notice": "This work is licensed under the GNU General Public License, version 2",
-    "LGPL-3.0-notice": "This work is licensed under the GNU Lesser General Public License, version 3",
-    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions
-        are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
-        Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
-        documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may
-        be used to endorse or promote products derived from this software without specific prior written permission.""",
-    "BSD-notice": "Licensed under the BSD 3-Clause License",
-    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this
-        file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
-    "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the
-        above copyright notice and this permission notice appear in all copies.""",
-    "CC-BY-4.0-notice": "Licensed under CC BY 4.0",
-    "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0",
-    "CC-BY-SA-4.0-notice": "Licensed under CC BY-SA 4.0",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-NC-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
-    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
-    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software",
-    "all-rights-reserved": "All rights reserved",
-}
-
 
 class Automaton:
     """Generalised suffix automaton over token numbers; every state knows one end place of its runs in each template."""

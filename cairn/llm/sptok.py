@@ -4,10 +4,14 @@ The model's protobuf is parsed here: pieces with scores and types, the model typ
 a tokenizers model is rebuilt: Unigram from the scores, or BPE with merges in the order of the scores; byte fallback; the
 metaspace marker. Where no piece has the marker behind another character, words (a run of markers and what follows)
 are encoded one by one without changing the result, so every distinct word of a task is encoded once: new words go to the
-back end in multithreaded batches and are decoded again at once to verify the round trip; known ones come from a table
-of bounded size. ``parity`` compares with the sentencepiece library.
-
-Nulls have null ids; the empty text has none and no tokens. Texts of any length are encoded whole. Rows are independent.
+back end in multithreaded batches; known ones come from a table of bounded size. Each new word with one marker in front (nearly all) is
+encoded by the sentencepiece library as well: ``parity`` is false for rows with a word on which the two differ.
+Every row's ids are decoded again, by one gather of the pieces' bytes for a whole batch, and ``round_trip`` says whether they give the
+normalised text.
+
+The model file is sent to the executors with the job; its path is a parameter. Nulls have null ids; the empty text has none and no tokens.
+Texts of any length are encoded whole. Rows are independent: repeated rows and ties have equal results, an empty table an empty one. Of the
+frame only doc_id and text are read, whatever its other columns are called.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -143,7 +148,9 @@ class Codec:
         self.back = build(self.model)
         self.pieces = [p for p, _, _ in self.model["pieces"]]
         self.kinds = [k for _, _, k in self.model["pieces"]]
-        self.special = np.array([k in (CONTROL,) for k in self.kinds])
+        raw = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else p.encode("utf-8", "surrogateescape") for p, k in zip(self.pieces, self.kinds)]
+        self.bytes, self.sizes = np.frombuffer(b"".join(raw), np.uint8), np.array([len(r) for r in raw], np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
         inner = any(MARK in p.lstrip(MARK) for p, _, k in self.model["pieces"] if k in (NORMAL, USER))
         self.split = None if inner or model_needs_whole(self.model) else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
         self.normaliser = None
@@ -153,7 +160,8 @@ class Codec:
             self.normaliser = normalizers.Precompiled(self.model["charsmap"])
         self.table: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.bad: set[str] = set()  # words that don't come back; none is known
+        self.path, self.library = path, None
+        self.bad: set[str] = set()  # words on which the library differs; none is known
 
     def normalise(self, text: str) -> str:
         """As the model's normaliser does it: character map, spaces collapsed, marker in front, markers for spaces."""
@@ -170,33 +178,29 @@ class Codec:
         self.table, self.older = {}, {}
 
     def _learn(self, words: list[str]) -> None:
-        piece = self.pieces.__getitem__
         for i in range(0, len(words), AT_ONCE):
             some = words[i : i + AT_ONCE]
-            for w, e in zip(some, self.back.encode_batch_fast(some, add_special_tokens=False)):
-                ids = e.ids
-                self.table[w] = array("i", ids).tobytes()
-                if "".join(map(piece, ids)) != w and self._text(ids) != w:  # byte pieces take the long way
-                    self.bad.add(w)
-
-    def _text(self, ids) -> str:
-        out, raw = [], bytearray()
-        for i in ids:
-            if self.kinds[i] == BYTE:
-                raw.append(int(self.pieces[i][3:5], 16))
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw.clear()
-            if self.kinds[i] != CONTROL:
-                out.append(self.pieces[i])
-        if raw:
-            out.append(raw.decode("utf-8", "replace"))
-        return "".join(out)
-
-    def encode(self, texts: list[str | None]) -> tuple[list, list]:
-        """Ids of each text (null for null), and whether decoding them gives the normalised text back."""
-        split = [None if t is None else (self.split.findall(self.normalise(t)) if self.split else [self.normalise(t)] if t else []) for t in texts]
+            found = [e.ids for e in self.back.encode_batch_fast(some, add_special_tokens=False)]
+            self.table.update((w, array("i", ids).tobytes()) for w, ids in zip(some, found))
+            plain = [k for k, w in enumerate(some) if w[0] == MARK and MARK not in w[1:] and len(w) > 1] if self.split and self.model["prefix"] else []
+            if plain:
+                if self.library is None:
+                    import sentencepiece
+
+                    self.library = sentencepiece.SentencePieceProcessor(model_file=self.path)
+                theirs = self.library.encode([some[k][1:] for k in plain], num_threads=2)
+                self.bad.update(some[k] for k, t in zip(plain, theirs) if t != found[k] and self.normalise(some[k][1:]) == some[k])
+
+    def text_bytes(self, ids: np.ndarray, at: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The bytes of all pieces, one text after another; where each text begins (its ids begin at ``at``), and the end."""
+        n = self.sizes[ids]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        return self.bytes[np.repeat(self.begins[ids] - ends[:-1], n) + np.arange(ends[-1])].tobytes(), ends[at]
+
+    def encode(self, texts: list[str | None]) -> tuple[list, list, list]:
+        """Ids of each text (null for null), whether decoding them gives the normalised text back, and whether the library agrees."""
+        normal = [None if t is None else self.normalise(t) for t in texts]
+        split = [None if t is None else (self.split.findall(t) if self.split else [t] if t else []) for t in normal]
         if len(self.table) > KNOWN:
             self.older, self.table = self.table, {}
         new = {w for ws in split if ws for w in ws if w not in self.table}
@@ -206,18 +210,26 @@ class Codec:
             new.difference_update(seen)
         if new:
             self._learn(list(new))
-        get, ids, ok = self.table.__getitem__, [], []
+        get, ids = self.table.__getitem__, []
         for ws in split:
             ids.append(None if ws is None else np.frombuffer(b"".join(map(get, ws)), np.int32))
-            ok.append(None if ws is None else not self.bad or self.bad.isdisjoint(ws))
-        return ids, ok
-
-    def decode(self, ids) -> str | None:
-        """The text: markers are spaces again, the one in front goes; control pieces give nothing."""
-        if ids is None:
-            return None
-        text = self._text(ids).replace(MARK, " ")
-        return text[1:] if self.model["prefix"] and text.startswith(" ") else text
+        same = [None if ws is None else not self.bad or self.bad.isdisjoint(ws) for ws in split]
+        at = np.concatenate(([0], np.cumsum([0 if x is None else len(x) for x in ids])))
+        back, begin = self.text_bytes(np.concatenate([np.zeros(0, np.int32), *[x for x in ids if x is not None]]), at)
+        want = [b"" if t is None else t.encode() for t in normal]
+        whole = back == b"".join(want)
+        ok = [None if t is None else whole or back[begin[i] : begin[i + 1]] == want[i] for i, t in enumerate(normal)]
+        return ids, ok, same
+
+    def decode(self, lists: list) -> list[str | None]:
+        """The texts: markers are spaces again, the one in front goes; control pieces give nothing."""
+        at = np.concatenate(([0], np.cumsum([0 if x is None else len(x) for x in lists])))
+        back, begin = self.text_bytes(np.concatenate([np.zeros(0, np.int32), *[np.asarray(x, np.int32) for x in lists if x is not None]]), at)
+        out: list[str | None] = []
+        for i, x in enumerate(lists):
+            text = back[begin[i] : begin[i + 1]].decode("utf-8", "replace").replace(MARK, " ")
+            out.append(None if x is None else text[1:] if self.model["prefix"] and text.startswith(" ") else text)
+        return out
 
 
 def model_needs_whole(model: dict) -> bool:
@@ -235,40 +247,50 @@ def parity(texts: list[str], path: str = MODEL) -> list[bool]:
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    ids, _ = codec(path).encode(texts)
-    return [sp.encode(t) == list(map(int, i)) and sp.decode(list(map(int, i))) == codec(path).decode(i) for t, i in zip(texts, ids)]
+    ids = codec(path).encode(texts)[0]
+    return [sp.encode(t) == i.tolist() and sp.decode(i.tolist()) == back for t, i, back in zip(texts, ids, codec(path).decode(ids))]
+
+
+def _sent(path: str):
+    """The model goes to the executors with the job; the function gives its place there."""
+    SparkSession.active().sparkContext.addFile(path)
+    name = os.path.basename(path)
+    return lambda: SparkFiles.get(name)
 
 
 def encode_column(path: str = MODEL):
-    """Column function text -> struct(ids, n_tokens, round_trip)."""
+    """Column function text -> struct(ids, n_tokens, round_trip, parity)."""
+    local = _sent(path)
 
     def work(texts: list) -> dict:
-        ids, ok = codec(path).encode(texts)
+        ids, ok, same = codec(local()).encode(texts)
         size = np.array([0 if x is None else len(x) for x in ids], np.int64)
         offs = np.zeros(len(ids) + 1, np.int32)
         np.cumsum(size, out=offs[1:])
         flat = np.concatenate([np.zeros(0, np.int32), *[x for x in ids if x is not None]])
         null = np.array([x is None for x in ids], bool)
         lists = pa.ListArray.from_arrays(pa.array(offs, mask=np.append(null, False)) if null.any() else pa.array(offs), pa.array(flat))
-        return {"ids": lists, "n_tokens": pa.array(size.astype(np.int32), mask=null), "round_trip": ok}
+        return {"ids": lists, "n_tokens": pa.array(size.astype(np.int32), mask=null), "round_trip": ok, "parity": same}
 
-    return common.text_udf("ids array<int>, n_tokens int, round_trip boolean", work, lambda: codec(path).forget())
+    return common.text_udf("ids array<int>, n_tokens int, round_trip boolean, parity boolean", work, lambda: codec(local()).forget())
 
 
 def decode_column(path: str = MODEL):
-    """Column function ids -> text."""
+    """Column function ids -> text, by Arrow batches."""
+    local = _sent(path)
 
     def run(ids: pa.Array) -> pa.Array:
-        return pa.array([codec(path).decode(x) for x in ids.to_pylist()], pa.string())
+        flat, offs = ids.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))))
+        return pa.array(codec(local()).decode([flat[a:b] if v else None for a, b, v in zip(offs, offs[1:], ids.is_valid().to_pylist())]), pa.string())
 
     run.__annotations__ = {"ids": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, "string")
 
 
 def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
-    """(doc_id, n_tokens, round_trip, ids) of every row."""
+    """(doc_id, n_tokens, round_trip, parity, ids) of every row."""
     x = encode_column(path)(F.col("text").cast("string"))
-    return docs.select("doc_id", x.alias("x")).select("doc_id", "x.n_tokens", "x.round_trip", "x.ids")
+    return docs.select("doc_id", x.alias("x")).select("doc_id", "x.n_tokens", "x.round_trip", "x.parity", "x.ids")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,11 +5,16 @@
 2. Label model. Over all documents it counts how often each voter, and each pair of voters, fires in each language.
    In a language the voters' covariance is a rank-one matrix (given the class they are independent) and a sparse rest
    (pairs that are correlated beyond that); a robust fit separates the two, which gives each voter's rate in toxic and
-   in clean texts and the correlated pairs. No label enters here but the share of toxic rows in the sample.
-3. Classifier. The model's posteriors are the targets of a logistic regression on words and word beginnings.
+   in clean texts and the correlated pairs. Labels enter in two places: the share of toxic rows is the class balance, and a voter's
+   precision on the sample (shrunk: of built-in voters to PRECISION, of induced ones to the class balance) is where the fit begins and the
+   most that a voter is trusted. It alone counts where fewer than three voters fire in a language, since their covariance can't tell them
+   apart. Without labels a voter's precision is taken to be PRECISION.
+3. Classifier. Documents of all rows, labelled or not, are drawn by hash on either side of the model's posterior, bounded by a parameter;
+   their posteriors (never their labels) are the targets of a logistic regression on words and word beginnings.
 
 Nulls and empty texts contain no word, so they get the classifier's bias alone, which is below the threshold.
-Each row is judged for itself: ties, repeated rows and the frame's other columns have no influence.
+Each row is judged for itself: ties, repeated rows and the frame's other columns (whatever their names) have no influence. Very long texts
+are read whole, in time that grows with their length. An empty table gives an empty result, and a model that rejects nothing.
 """
 
 from __future__ import annotations
@@ -23,11 +28,17 @@ from pyspark.sql import functions as F
 
 from cairn.llm import common, textops
 
-PREFIXES = (4, 5)
-#: Rows of each class that the lexicon and the classifier are fitted on, at most.
-SAMPLE_PER_CLASS = 1500
+PREFIXES = (4, 5, 6)
+#: Labelled rows of each class that voters are induced from, at most; rows on each side of the posterior that the classifier is fitted on.
+SAMPLE_PER_CLASS, TRAINING = 1500, 2000
+#: Languages that have a label model of their own, the most frequent ones; the others share one. A voter's precision without labels.
+LANGUAGES, PRECISION = 64, 0.9
+#: Rows that a voter's precision on the sample is shrunk with; standard errors that a fitted rate is lowered by.
+PRIOR_ROWS, CAUTION = 2, 2.0
 #: Most voters that are induced; how often each toxic row of the sample is to be covered.
 INDUCED, COVERS = 96, 4
+#: Evidence that an induced entry needs; documents of the training rows that a feature of the classifier stands in at least, and its evidence.
+EVIDENCE, LEAST_DOCS, FEATURE_EVIDENCE = 12.0, 3, 8.0
 DIMS = 1 << 18
 THRESHOLD = 0.5
 
@@ -38,9 +49,16 @@ LEXICONS = {
     "insult_es": "gilipollas cabrón puta mierda idiota imbécil estúpido pendejo maricón escoria basura hijoputa",
     "threat_en": "kill murder exterminate hang strangle rape lynch behead",
 }
-_SHOUT = re.compile(r"[A-ZÄÖÜÉÈÊÇÑÁÍÓÚ]{4,}[^\n]{0,40}!{2,}")
+_MARKS, _CAPITALS = re.compile("!!+"), re.compile(r"[A-ZÄÖÜÉÈÊÇÑÁÍÓÚ]{4}[^\n]{0,40}\Z")
 _YOU = re.compile(r"\b(?:you|you're|ur|du|tu|vous|eres)\s+(?:are\s+|bist\s+|es\s+|êtes\s+|un[ae]?\s+|an?\s+|such\s+)*(?:idiot|moron|stupid|scum|trash|loser|clown|pathetic|worthless|disgusting|dumm|débile|idiota)", re.I)
-PATTERNS = {"shouting": _SHOUT, "addressed": _YOU}
+
+
+def shouts(text: str) -> bool:
+    """Four capitals or more, and within 40 characters of the line two exclamation marks. What is before the marks is looked at, so the time is linear."""
+    return any(_CAPITALS.search(text, max(0, m.start() - 44), m.start()) for m in _MARKS.finditer(text))
+
+
+PATTERNS = {"shouting": shouts, "addressed": lambda text: _YOU.search(text) is not None}
 
 
 def _pairs(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,7 +73,8 @@ def _pairs(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def induce(docs: list[np.ndarray], toxic: np.ndarray, most: int = INDUCED, covers: int = COVERS) -> np.ndarray:
     """Hashes of the words and beginnings that a greedy multiple cover of the toxic rows picks.
 
-    An entry must stand in three toxic rows at least and be twenty times as frequent there as in the other rows.
+    An entry must be twenty times as frequent in toxic rows as in the others, on evidence (twice the log-likelihood ratio) that chance
+    doesn't give to one of very many entries.
     """
     n1, n0 = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
     if not toxic.any():
@@ -65,7 +84,10 @@ def induce(docs: list[np.ndarray], toxic: np.ndarray, most: int = INDUCED, cover
     values, inverse = np.unique(h, return_inverse=True)
     in1 = np.bincount(inverse, toxic[row], len(values))
     in0 = np.bincount(inverse, ~toxic[row], len(values))
-    good = (in1 >= 3) & (in1 / n1 > 20 * (in0 + 0.1) / n0)
+    share = n1 / (n1 + n0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        evidence = 2 * (in1 * np.log(in1 / ((in1 + in0) * share)) + np.where(in0 > 0, in0 * np.log(in0 / ((in1 + in0) * (1 - share))), 0))
+    good = (in1 >= 3) & (in1 / n1 > 20 * (in0 + 0.1) / n0) & (evidence > EVIDENCE)
     keep = np.flatnonzero(good[inverse] & toxic[row])
     lists: dict[int, np.ndarray] = {}
     by = np.argsort(inverse[keep], kind="stable")
@@ -95,13 +117,13 @@ class Voters:
         hashes = np.array([h for words in built_in for h in words] + [int(x) for x in induced], np.uint64)
         order = np.argsort(hashes, kind="stable")
         self.hashes, self.owner = hashes[order], np.array(owner, np.int64)[order]
-        self.built_in = built_in
         self.n = len(built_in) + len(induced) + len(PATTERNS)
+        self.induced = (np.arange(self.n) >= len(built_in)) & (np.arange(self.n) < len(built_in) + len(induced))
 
     @staticmethod
     def patterns(text: str | None) -> list[int]:
         """Numbers of the patterns that a text has."""
-        return [k for k, p in enumerate(PATTERNS.values()) if text and p.search(text)]
+        return [k for k, p in enumerate(PATTERNS.values()) if text and p(text)]
 
     def fired(self, patterns: list[list[int]], hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct (document, voter) pairs that fire."""
@@ -122,8 +144,8 @@ class Voters:
 def label_model(n: float, single: np.ndarray, pair: np.ndarray, prior: float, precision: np.ndarray) -> dict[str, np.ndarray]:
     """Rates of each voter in toxic and in clean texts, and its weight for correlations, from the counts.
 
-    ``precision``: what a voter's precision is taken to be in a language in which fewer than three voters fire
-    (there the covariance can't tell them apart).
+    ``precision``: what a voter's precision is at most; it is taken to be this in a language in which fewer than three voters
+    fire (there the covariance can't tell them apart).
     """
     p = single / max(n, 1)
     active = np.flatnonzero(single >= 3)
@@ -146,8 +168,9 @@ def label_model(n: float, single: np.ndarray, pair: np.ndarray, prior: float, pr
                 break
             used = after
         u[active] = x
-        sure = np.minimum(x / scale, 1)
-        delta[active] = np.where(sure > 0, sure, 0)
+        error = np.sqrt((used * sd**2) @ (x * x)) / np.maximum(used @ (x * x), 1e-18)
+        sure = np.clip((x - CAUTION * error) / scale, 0, 1)  # rare voters count for what is certain
+        delta[active] = np.minimum(sure, delta[active])  # rare words are correlated by texts' lengths too
         # a voter that is correlated with k others beyond the class shares its weight with them
         s = np.sqrt(p[active] * (1 - p[active])) + 1e-12
         rho = np.clip((c - np.outer(x, x)) / np.outer(s, s), 0, 1) * (rest > 4)
@@ -180,7 +203,7 @@ def train(docs: list[np.ndarray], target: np.ndarray, l2: float = 0.02) -> np.nd
     e1 = df * n1 / n
     with np.errstate(divide="ignore", invalid="ignore"):
         g2 = 2 * (np.where(d1 > 0, d1 * np.log(d1 / e1), 0) + np.where(df - d1 > 1e-9, (df - d1) * np.log(np.maximum(df - d1, 1e-9) / (df - e1)), 0))
-    chosen = np.flatnonzero((df >= 3) & (g2 > 8))
+    chosen = np.flatnonzero((df >= LEAST_DOCS) & (g2 > FEATURE_EVIDENCE))
     place = np.full(DIMS, -1)
     place[chosen] = np.arange(len(chosen))
     j = place[b]
@@ -199,79 +222,88 @@ def train(docs: list[np.ndarray], target: np.ndarray, l2: float = 0.02) -> np.nd
     return weights
 
 
-def fit(docs: DataFrame, labels: DataFrame | None, text: str = "text", key: str = "doc_id", lang: str = "lang", sample: int = SAMPLE_PER_CLASS) -> dict:
-    """The voters, the label model of each language and the classifier. ``sample`` bounds the labelled rows of a class."""
-    rows: list = []
+def _drawn(slim: DataFrame, some: DataFrame, columns: list[str]) -> tuple[list[np.ndarray], pa.Table]:
+    """Word hashes of the rows of ``slim`` whose key is drawn, and the columns and patterns; equal texts once, by key. ``some`` is of bounded size."""
+
+    def features(texts: list) -> dict:
+        h, d = _pairs(*textops.word_features(texts, PREFIXES))
+        cut = np.searchsorted(d, np.arange(len(texts) + 1))
+        return {"h": [h[cut[i] : cut[i + 1]].tobytes() for i in range(len(texts))], "patterns": [Voters.patterns(t) for t in texts]}
+
+    rows = slim.join(F.broadcast(some), "k").withColumn("m", F.md5("t"))
+    rows = rows.withColumn("nth", F.expr("row_number() over (partition by m order by k)")).where("nth = 1").drop("nth")  # a bounded number of rows
+    table = rows.select("k", *columns, common.text_udf("h binary, patterns array<int>", features)("t").alias("x")).select("k", *columns, "x.*").toArrow().sort_by("k")
+    return [np.frombuffer(h.as_buffer(), np.uint64) for h in table.column("h")], table.drop_columns("h")
+
+
+def fit(docs: DataFrame, labels: DataFrame | None, text: str = "text", key: str = "doc_id", lang: str = "lang", sample: int = SAMPLE_PER_CLASS, training: int = TRAINING) -> dict:
+    """The voters, the label model of each language and the classifier. ``sample`` bounds the labelled rows of a class, ``training`` the rows on a side of the posterior."""
+    slim = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("l"))
+    feats, gold, fired, share = [], np.zeros(0, bool), [], 0.1
     if labels is not None:
-        some = common.sample_rows(labels.where(F.col("toxic").isin(0, 1)).select(F.col(key), F.col("toxic").cast("int").alias("toxic")).distinct(), key, sample, "toxic")
-        both = docs.select(F.col(key), F.col(text).cast("string").alias("__t"), F.col(lang).cast("string").alias("__l")).join(F.broadcast(some), key)
-
-        def features(texts: list) -> dict:
-            h, d = _pairs(*textops.word_features(texts, PREFIXES))
-            cut = np.searchsorted(d, np.arange(len(texts) + 1))
-            return {"h": [h[cut[i] : cut[i + 1]].tobytes() for i in range(len(texts))], "p": [Voters.patterns(t) for t in texts]}
-
-        rows = both.select("__l", "toxic", common.text_udf("h binary, p array<int>", features)("__t").alias("x"), F.md5("__t").alias("m"), F.col(key).alias("k"))
-        rows = rows.dropDuplicates(["m"]).select("__l", "toxic", "k", "x.*").collect()
-        rows.sort(key=lambda r: r.k)
-    feats = [np.frombuffer(r.h, np.uint64) for r in rows]
-    gold = np.array([r.toxic == 1 for r in rows], bool)
-    langs = [r["__l"] or "" for r in rows]
+        known = labels.where(F.col("toxic").isin(0, 1)).select(F.col(key).alias("k"), F.col("toxic").cast("int").alias("y")).distinct()
+        feats, rest = _drawn(slim, common.sample_rows(known, "k", sample, "y"), ["y"])
+        gold, fired = rest.column("y").to_numpy() == 1, rest.column("patterns").to_pylist()
+        g = known.agg(F.avg("y").alias("m"), F.count("*").alias("n")).first()
+        share = ((g.m or 0) * g.n + 1) / (g.n + 10)
     voters = Voters(induce(feats, gold))
     v = voters.n
-    # votes of the sample
-    fires = np.zeros((len(rows), v))
-    for i, r in enumerate(rows):
-        _, hit = voters.fired([r.p], feats[i], np.zeros(len(feats[i]), np.int64))
-        fires[i, hit] = 1
-    precision = (fires[gold].sum(0) + 0.5) / (fires.sum(0) + 1) if len(rows) else np.full(v, 0.5)
+
+    def vote(patterns: list[list[int]], feats: list[np.ndarray]) -> np.ndarray:
+        fires = np.zeros((len(feats), v))
+        for i, h in enumerate(feats):
+            fires[i, voters.fired([patterns[i]], h, np.zeros(len(h), np.int64))[1]] = 1
+        return fires
+
+    precision = np.full(v, PRECISION)
+    if len(feats):
+        fires = vote(fired, feats)
+        shrunk = np.where(voters.induced, min(max(share, 0.005), 0.5), PRECISION)  # the sample is what chose the induced ones
+        precision = (fires[gold].sum(0) + PRIOR_ROWS * shrunk) / (fires.sum(0) + PRIOR_ROWS)
+    del feats
 
     def votes(texts: list) -> dict:
         d, w = voters.fired([Voters.patterns(t) for t in texts], *textops.word_features(texts, PREFIXES))
         cut = np.searchsorted(d, np.arange(len(texts) + 1))
         return {"v": [w[cut[i] : cut[i + 1]].tolist() for i in range(len(texts))]}
 
-    # counts of voters and of pairs over all documents; at most languages x voters^2 rows come back
-    voted = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("l"), common.text_udf("v array<int>", votes)(F.col(text).cast("string"))["v"].alias("v"))
+    # the votes of every document; counts of voters and of pairs: languages x voters^2 rows come back at most
+    voted = common.stored(slim.select("k", "l", common.text_udf("v array<int>", votes)("t")["v"].alias("v")), "votes")
+    own = [r.l for r in voted.groupBy("l").count().orderBy(F.desc("count"), "l").limit(LANGUAGES).collect()]
+    group = F.when(F.col("l").isin(own), F.col("l")).otherwise(F.lit("")).alias("l")
     both = F.transform("v", lambda a: F.transform("v", lambda b: F.struct(a.alias("a"), b.alias("b"))))
-    counted = voted.select("l", F.explode(F.concat(F.array(F.struct(F.lit(-1).alias("a"), F.lit(-1).alias("b"))), F.flatten(both))).alias("x")).groupBy("l", "x.a", "x.b").count().collect()
-    models: dict[str, dict] = {}
+    counted = voted.select(group, F.explode(F.concat(F.array(F.struct(F.lit(-1).alias("a"), F.lit(-1).alias("b"))), F.flatten(both))).alias("x")).groupBy("l", "x.a", "x.b").count().collect()
+    single: dict[str, np.ndarray] = {r.l: np.zeros(v) for r in counted}
+    pair: dict[str, np.ndarray] = {l: np.zeros((v, v)) for l in single}
     total: dict[str, float] = {}
-    single: dict[str, np.ndarray] = {}
-    pair: dict[str, np.ndarray] = {}
     for r in counted:
-        single.setdefault(r.l, np.zeros(v))
-        pair.setdefault(r.l, np.zeros((v, v)))
         if r.a < 0:
             total[r.l] = r["count"]
         elif r.a == r.b:
             single[r.l][r.a] = r["count"]
         else:
             pair[r.l][r.a, r.b] = r["count"]
-    share = (gold.sum() + 1) / (len(gold) + 10) if labels is None else None
-    if labels is not None:
-        g = labels.where(F.col("toxic").isin(0, 1)).agg(F.avg("toxic").alias("m"), F.count("*").alias("n")).first()
-        share = ((g.m or 0) * g.n + 1) / (g.n + 10)
-    for l, n in total.items():
-        models[l] = label_model(n, single[l], pair[l], min(max(share, 0.005), 0.5), precision)
-    target = np.array([float(posterior(models[l], fires[i])) if l in models else 0.0 for i, l in enumerate(langs)])
-    if not rows:
-        weights = np.zeros(DIMS + 1, np.float32)
-        weights[-1] = -1.0
-        for h, o in zip(voters.hashes, voters.owner):
-            weights[int(h) & (DIMS - 1)] = 2.0
-    else:
-        # the sample can't hold every word of the built-in lexicons: each stands three times as a text of its own, whose posterior is
-        # that of its voter's vote in the language in which it fires most
-        more, soft = [], []
-        for j, words in enumerate(voters.built_in):
-            l = max(models, key=lambda l: (single[l][j], l), default=None)
-            if l is not None and single[l][j] >= 3:
-                p = float(posterior(models[l], np.eye(v)[j]))
-                more += [np.array([h], np.uint64) for h in words for _ in range(3)]
-                soft += [p] * (3 * len(words))
-        weights = train(feats + more, np.append(target, soft))
-    return {"voters": voters, "models": models, "weights": weights, "sample": (feats, gold, target, langs)}
+    models = {l: label_model(n, single[l], pair[l], min(max(share, 0.005), 0.5), precision) for l, n in total.items()}
+    none = np.zeros(v)
+    base = {l: float(posterior(m, none)) for l, m in models.items()}
+
+    def judge(l: pa.Array, vs: pa.Array) -> pa.Array:
+        out = []
+        for name, hit in zip(l.to_pylist(), vs.to_pylist()):
+            if hit:
+                fires = none.copy()
+                fires[hit] = 1
+                out.append(float(posterior(models[name], fires)))
+            else:
+                out.append(base[name])
+        return pa.array(out, pa.float64())
+
+    judge.__annotations__ = {"l": pa.Array, "vs": pa.Array, "return": pa.Array}
+    judged = voted.select("k", group, "v").select("k", F.arrow_udf(judge, "double")("l", "v").alias("p")).withColumn("side", F.col("p") >= 0.5)
+    drawn = common.sample_rows(judged, "k", training, "side").groupBy("k").agg(F.max("p").alias("p"))
+    feats, rest = _drawn(slim, drawn, ["p"])
+    common.discard(voted)
+    return {"voters": voters, "models": models, "weights": train(feats, rest.column("p").to_numpy()), "precision": precision}
 
 
 def scorer(weights: np.ndarray):
@@ -290,7 +322,7 @@ def scorer(weights: np.ndarray):
 
 
 def toxicity(docs: DataFrame, labels: DataFrame | None, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, p_toxic, toxic) of every row of ``docs``. Without rows in ``labels`` the built-in lexicons alone decide."""
+    """(doc_id, p_toxic, toxic) of every row of ``docs``. Without rows in ``labels`` the built-in lexicons alone vote."""
     p = scorer(fit(docs, labels)["weights"])(F.col("text").cast("string"))
     return docs.select("doc_id", p.alias("p_toxic")).select("doc_id", "p_toxic", (F.col("p_toxic") >= threshold).alias("toxic"))
 

@@ -19,9 +19,9 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are far from every language go; the others get the language found (a text without letters keeps its own)."""
-    found = langid.scorer(langid.fit(docs)).asNondeterministic()(F.col("text").cast("string"))  # computed once
-    kept = docs.withColumn("__f", found).where(~F.col("__f.rejected"))
-    return kept.withColumn("lang", F.coalesce("__f.language", "lang")).select(docs.columns)
+    found = langid.scorer(langid.fit(docs)).asNondeterministic()(F.col("text").cast("string")).alias("found")  # computed once
+    kept = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), found).where(~F.col("found.rejected"))
+    return kept.select(*[(F.coalesce("found.language", "row.lang") if c == "lang" else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

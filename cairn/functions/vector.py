@@ -40,8 +40,8 @@ def l2(a: Column, b: Column) -> Column:
 
 
 def normalize(a: Column) -> Column:
-    """Unit vector; a zero vector stays zero."""
-    return F.transform(doubles(a), lambda x: x / F.greatest(norm(a), F.lit(EPS)))
+    """Unit vector; a zero vector stays zero. The norm stands outside the lambda, so it is computed once a row."""
+    return F.zip_with(doubles(a), F.array_repeat(F.greatest(norm(a), F.lit(EPS)), F.size(a)), lambda x, n: x / n)
 
 
 def distance(metric: Metric, a: Column, b: Column) -> Column:

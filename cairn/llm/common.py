@@ -6,11 +6,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import textops
-from cairn.session import BROADCAST_IDS, by_ids, stored  # noqa: F401
+from cairn.session import BROADCAST_IDS, by_ids, discard, stored  # noqa: F401
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,18 +120,27 @@ def text_udf(schema: str, work: Callable[[list], dict | list], after: Callable[[
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root) of the nodes of the edges (u, v): root is the least node of the connected component.
 
-    Alternates large-star and small-star steps; every round is a written table, so lineage stays short.
+    Alternates large-star and small-star steps; every round is a written table, so lineage stays short. The least neighbour
+    comes by an aggregation and a join, so a node with very many neighbours is pre-aggregated and its rows can be split.
     """
-    now = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), name)
+
+    def least(pairs: DataFrame) -> DataFrame:
+        return pairs.join(pairs.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "u")
+
+    state = (F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
+
+    def written(pairs: DataFrame) -> tuple[DataFrame, tuple]:
+        seen = Observation()
+        made = stored(pairs.observe(seen, *state), name)
+        return made, (seen.get["n"], seen.get["h"])
+
+    now, at = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct())
     last = None
-    while True:
-        both = now.union(now.select("v", "u")).withColumn("m", F.least(F.expr("min(v) over (partition by u)"), "u"))
-        large = both.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = large.withColumn("m", F.expr("min(v) over (partition by u)"))
+    while at[0] and at != last:
+        large = least(now.union(now.select("v", "u"))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = least(large)
         small = small.select("v", "m").union(small.select("u", "m")).toDF("u", "v").where("u != v").distinct()
-        now = stored(small, name)
-        state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if state == last:
-            roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-            return roots.union(now.select("v", "v").distinct())
-        last = state
+        before, last = now, at
+        now, at = written(small)
+        discard(before)
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v").distinct())

@@ -11,10 +11,20 @@ segments get 0 or 2 is decided by cost: how often short segments occur is counte
 fixed size, the dearest lookups (empty segments, frequent n-grams) are left out first, and where the slack is used up
 further ones are traded for one-deletion lookups of cheap segments. Candidates are verified exactly on the sets.
 
-Copies have equal sets and share one signature, so they are joined by a group-by, never pairwise.
-
-Rows without a word (nulls and empty texts too) have no set and no partner; a text of fewer than n words is one n-gram.
-Rows that share a doc_id are one document; a null doc_id has no partner and is never dropped. No cap on partners exists.
+A match counts only if the segments after it agree too (the pigeonring): differences and thresholds are compared around the ring
+of segments, and somewhere on it a run begins whose differences stay below its thresholds' sums, however far it is followed. Each record
+carries parity maps of the six segments that follow (maps never differ in more bits than the segments in elements); so almost every
+false match is refuted where it is found, and only what is left is shuffled as a candidate and compared exactly.
+
+Sets are equal if two independent 64-bit signatures of them are. All rows of equal sets are one class, named by its least doc_id;
+classes are compared, never their members, so copies cost a group-by. Matches that join most of a set of texts with each other travel as
+one group instead of its pairs. A key that very many records share (the sketch knows) is cut into a grid of cells by signature, so no task
+holds all of them. No cap on partners exists.
+
+Rows without a word (nulls and empty texts too) have no set and no partner; a text of fewer than n words is one n-gram. Very long texts
+are one set like others. Rows that share a doc_id are one document, with all links of its texts; repeated rows are copies. A null doc_id
+has no partner, no row in the results of ``classes`` and is never dropped. Ties: the least doc_id is kept. An empty table gives an empty
+result. Of the frame only key and text are read, whatever its other columns are called.
 """
 
 from __future__ import annotations
@@ -29,14 +39,21 @@ from cairn.llm import common, textops
 N, THRESHOLD = 2, 0.75
 #: Counters of the sketch; records of an index bucket on average; records that a task holds before it writes them.
 SKETCH, BUCKET, HELD = 1 << 21, 250_000, 500_000
+#: Records that share one key in one cell, about.
+HOT = 20_000
 #: Pairs that a task holds before it drops those that occur again.
 PAIRS_HELD = 500_000
-#: Sets in a cell in which candidates are verified.
-CELL = 1024
+#: Elements, and sets, in a cell in which candidates are verified.
+CELL_ELEMENTS, CELL = 1 << 20, 4096
+#: Share of its pairs that must match for matching texts to be sent as a group.
+DENSE = 0.25
 #: Segments beyond the needed ones, as a share; share of segments that have one-deletion neighbourhoods.
 SLACK, DELETIONS = 0.1, 0.03
-_RECORD = np.dtype([("key", "<u4"), ("meta", "<u4"), ("sig", "<u8")])
-INDEX, PROBE = 1, 2
+#: A record names its set by REF bits of the signature (sets that share them are compared in any case), in ``low`` and the last 8 bits of ``rest``.
+REF = 40
+_RECORD = np.dtype([("key", "<u4"), ("low", "<u4"), ("rest", "<u8")])
+#: The rest of ``rest``: roles; a probe's spare threshold (bit 2) and the thresholds of the next segments (2 bits each); their parity maps.
+INDEX, PROBE, SPARE, NEXT, MAPS, WIDTHS = 1, 2, 4, 3, 15, (7, 7, 7, 7, 7, 6)
 _DEAR = 1 << 30
 
 
@@ -67,42 +84,20 @@ def gram_sets(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(out) if out else np.zeros(0, np.uint64)), where
 
 
-def signatures(g: np.ndarray, at: np.ndarray) -> np.ndarray:
+def signatures(g: np.ndarray, at: np.ndarray, salt: int = 7) -> np.ndarray:
     """64-bit signature of each set (0 for none)."""
     sums = np.zeros(len(g) + 1, np.uint64)
-    np.cumsum(textops.salted(g, 7), out=sums[1:])
+    np.cumsum(textops.salted(g, salt), out=sums[1:])
     s = textops.mix(sums[at[1:]] - sums[at[:-1]] + np.diff(at).astype(np.uint64))
     s[np.diff(at) == 0] = 0
     return s
 
 
-def parity_maps(g: np.ndarray, at: np.ndarray) -> list[bytes]:
-    """A bitmap of each set: whether an odd number of its elements falls on a bit. It has 0.75 bits an element or more.
-
-    Each element in which two sets differ flips one bit, so maps never differ in more bits than the sets do in elements.
-    """
-    out = []
-    for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
-        bits = 1 << max(7, min(20, int(0.75 * (b - a)).bit_length()))
-        out.append(np.packbits(np.bincount((g[a:b] & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes())
-    return out
-
-
-def parity_difference(x: bytes, y: bytes) -> int:
-    """Bits in which the maps differ, after the longer one is folded to the shorter one's length."""
-    if len(x) < len(y):
-        x, y = y, x
-    v = int.from_bytes(y, "little")
-    for i in range(0, len(x), len(y)):
-        v ^= int.from_bytes(x[i : i + len(y)], "little")
-    return v.bit_count()
-
-
 class Schemes:
     """Bands of set sizes and their numbers of segments."""
 
     def __init__(self, threshold: float, largest: int):
-        self.t, self.c = threshold, (1 - threshold) / (1 + threshold)
+        self.t, self.c, self.ref, self.hot = threshold, (1 - threshold) / (1 + threshold), REF, HOT
         low, self.low, self.high = 1, [], []
         while low <= max(largest, 1):
             high = max(low, int(low / threshold + 1e-9))
@@ -135,7 +130,16 @@ class Schemes:
         row = np.repeat(np.arange(len(rows)), m)
         number = np.arange(first[-1]) - first[row]
         where = textops.mix((scheme[row].astype(np.uint64) << np.uint64(32)) + number.astype(np.uint64))
-        return {"row": row, "number": number, "count": count, "total": total, "where": where, "seg": seg, "value": value}
+        flips = np.zeros(len(x) + 1, np.uint8)
+        np.bitwise_xor.accumulate(np.left_shift(np.uint8(1), (value % np.uint64(7)).astype(np.uint8)), out=flips[1:])
+        parity = (flips[ends] ^ flips[ends - count]).astype(np.uint64)
+        begin, wide, maps, shift = first[row], m[row], np.zeros(len(row), np.uint64), 0
+        after = []  # the next segments on the ring
+        for j, bits in enumerate(WIDTHS, 1):
+            after.append(begin + (number + j) % wide)
+            maps |= (parity[after[-1]] & np.uint64((1 << bits) - 1)) << np.uint64(shift)
+            shift += bits
+        return {"row": row, "number": number, "count": count, "total": total, "where": where, "seg": seg, "value": value, "after": after, "maps": maps << np.uint64(MAPS)}
 
     @staticmethod
     def keys(total: np.ndarray, where: np.ndarray, deleted: bool) -> np.ndarray:
@@ -185,9 +189,9 @@ def records(schemes: Schemes, sketch: np.ndarray, g: np.ndarray, at: np.ndarray,
     cross = (nxt > band) & (larger >= schemes.low[nxt])
     keys, metas, sigs = [], [], []
 
-    def add(k: np.ndarray, rows: np.ndarray, role: np.ndarray | int) -> None:
+    def add(k: np.ndarray, rows: np.ndarray, meta: np.ndarray) -> None:
         keys.append(k)
-        metas.append((size[rows] * 4 + role).astype(np.uint32))
+        metas.append(meta.astype(np.uint64))
         sigs.append(sig[rows])
 
     for rows, scheme, need, own in (
@@ -203,88 +207,172 @@ def records(schemes: Schemes, sketch: np.ndarray, g: np.ndarray, at: np.ndarray,
         cost[short] = sketch[counter]
         v = allocate(s["row"], s["number"], s["count"], cost, need, schemes.m[scheme], schemes.deletable[scheme])
         k = schemes.keys(s["total"], s["where"], False)
-        entry = np.full(len(v), INDEX if own else 0) + np.where(v > 0, PROBE, 0)
-        used = entry > 0
+        maps, probe = s["maps"], s["maps"] | np.uint64(PROBE)
+        for j, after in enumerate(s["after"]):
+            probe = probe | v[after].astype(np.uint64) << np.uint64(NEXT + 2 * j)
+        entry = np.where(v > 0, probe | np.where(v == 2, SPARE, 0).astype(np.uint64), maps) | np.uint64(INDEX if own else 0)
+        used = np.arange(len(v)) if own else np.flatnonzero(v > 0)
         add(k[used], rows[s["row"][used]], entry[used])
         # one-deletion neighbourhoods: indexed for every deletable segment, looked up where the threshold is 2
         seg_row, seg_no = s["row"][s["seg"]], s["number"][s["seg"]]
         if own:
             e = np.flatnonzero(seg_no < schemes.deletable[scheme][seg_row])
-            add(schemes.keys(s["total"][s["seg"][e]] - s["value"][e], s["where"][s["seg"][e]], True), rows[seg_row[e]], INDEX)
+            add(schemes.keys(s["total"][s["seg"][e]] - s["value"][e], s["where"][s["seg"][e]], True), rows[seg_row[e]], maps[s["seg"][e]] | np.uint64(INDEX))
         two = v == 2
         if two.any():
-            add(schemes.keys(s["total"][two], s["where"][two], True), rows[s["row"][two]], PROBE)
+            add(schemes.keys(s["total"][two], s["where"][two], True), rows[s["row"][two]], probe[two])
             e = np.flatnonzero(two[s["seg"]])
-            add(schemes.keys(s["total"][s["seg"][e]] - s["value"][e], s["where"][s["seg"][e]], False), rows[seg_row[e]], PROBE)
-    out = np.empty(sum(map(len, keys)), _RECORD)
-    out["meta"], out["sig"] = np.concatenate(metas), np.concatenate(sigs)
-    return np.concatenate(keys), out
-
-
-def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return a[new], b[new]
-
-
-def matches(r: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct candidate pairs among the records of a bucket: an index and a probe entry with one key, sizes in reach."""
-    r = r[np.lexsort((r["meta"], r["sig"], r["key"]))]
-    new = np.ones(len(r), bool)  # copies give equal records
-    new[1:] = (r["key"][1:] != r["key"][:-1]) | (r["sig"][1:] != r["sig"][:-1]) | (r["meta"][1:] != r["meta"][:-1])
-    r = r[new]
-    start = np.flatnonzero(np.concatenate(([True], r["key"][1:] != r["key"][:-1])))
-    length = np.diff(np.append(start, len(r)))
-    found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    held = 0
+            add(schemes.keys(s["total"][s["seg"][e]] - s["value"][e], s["where"][s["seg"][e]], False), rows[seg_row[e]], probe[s["seg"][e]])
+    key, out = np.concatenate(keys), np.empty(sum(map(len, keys)), _RECORD)
+    ref = np.concatenate(sigs) >> np.uint64(64 - schemes.ref)
+    out["low"], out["rest"] = ref & np.uint64(0xFFFFFFFF), np.concatenate(metas) << np.uint64(8) | ref >> np.uint64(32)
+    return spread(key, out, sketch, schemes.hot)
+
+
+def refs(r: np.ndarray) -> np.ndarray:
+    return r["low"].astype(np.uint64) | (r["rest"] & np.uint64(255)) << np.uint64(32)
+
+
+def spread(key: np.ndarray, r: np.ndarray, sketch: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The records, those of hot keys once in each cell of a grid that has their signature's row or column: any two meet in one.
+
+    How hot a key is depends on the key alone. The sketch's mean, which is what keys share by chance, doesn't count.
+    """
+    hot = np.maximum(sketch[(key & np.uint64(SKETCH - 1)).astype(np.int64)] - int(sketch.mean()), 0)
+    hot = np.where(hot < _DEAR - 1, hot, 0)
+    side = -(-hot // most)
+    some = np.flatnonzero(side > 1)
+    if not len(some):
+        return key, r
+    n = side[some]
+    i = np.repeat(some, n)
+    other = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+    mine = (textops.mix(refs(r[i])) % side[i].astype(np.uint64)).astype(np.int64)
+    cell = np.minimum(mine, other) * side[i] + np.maximum(mine, other)
+    cold = np.flatnonzero(side <= 1)
+    return np.concatenate((key[cold], textops.salted(key[i], 13) + textops.mix(cell.astype(np.uint64) + np.uint64(1)))), np.concatenate((r[cold], r[i]))
+
+
+def _follows(x: np.ndarray, y: np.ndarray, probe: np.ndarray) -> np.ndarray:
+    """Whether the differences of the next segments (maps x, y) stay below the probe's thresholds."""
+    d = x ^ y
+    gone, below, shift = np.zeros(len(d), np.uint8), 1 + (probe >> np.uint64(2) & np.uint64(1)).astype(np.uint8), 0
+    ok = np.ones(len(d), bool)
+    for j, bits in enumerate(WIDTHS):
+        gone = gone + np.bitwise_count(d >> np.uint64(shift) & np.uint64((1 << bits) - 1))
+        below = below + (probe >> np.uint64(NEXT + 2 * j) & np.uint64(3)).astype(np.uint8)
+        ok &= gone < below
+        shift += bits
+    return ok
+
+
+def joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least node of each of n nodes' components under the edges (a, b)."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        if (label[a] == label[b]).all():
+            return label
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def matches(r: np.ndarray, share: float = DENSE) -> list[np.ndarray]:
+    """Distinct groups of references among the records of a bucket that hold all candidates.
+
+    A candidate is an index and a probe entry with one key whose rings hold. Records of a key that have the same roles, thresholds and
+    maps are one unit, since what one of them matches all do. Of connected units the members are one group if most of their pairs match;
+    else each pair that matches is a group of two.
+    """
+    sig, every, rest = refs(r).astype(np.int64), r["key"], r["rest"] >> np.uint64(8)
+    order = np.lexsort((sig, rest, every))
+    sig, every, rest = sig[order], every[order], rest[order]
+    unlike = np.concatenate(([True], (every[1:] != every[:-1]) | (rest[1:] != rest[:-1])))[: len(every)]
+    new = unlike | np.concatenate(([True], sig[1:] != sig[:-1]))[: len(every)]  # copies give equal records
+    sig, every, rest, unlike = sig[new], every[new], rest[new], unlike[new]
+    if not len(sig):
+        return []
+    first = np.flatnonzero(unlike)  # of the units
+    size = np.diff(np.append(first, len(sig)))
+    key, meta = every[first], rest[first]
+    maps = meta >> np.uint64(MAPS)
+    index, probing = (meta & np.uint64(INDEX)) > 0, (meta & np.uint64(PROBE)) > 0
+    both = index & probing
+    start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    length = np.diff(np.append(start, len(key)))
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     # runs of one key are shifted against themselves: one array operation for each distance that occurs
     distance, live = 1, np.flatnonzero(length > 1)
     begin, n = start[live], length[live]
     while len(begin):
         reps = n - distance
-        a = np.repeat(begin, reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-        b = a + distance
-        ma, mb = r["meta"][a], r["meta"][b]
-        ok = ((ma & INDEX) > 0) & ((mb & PROBE) > 0) | ((mb & INDEX) > 0) & ((ma & PROBE) > 0)
-        na, nb = (ma >> 2).astype(np.float64), (mb >> 2).astype(np.float64)
-        ok &= (np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-9) & (r["sig"][a] != r["sig"][b])
-        x, y = r["sig"][a[ok]].view(np.int64), r["sig"][b[ok]].view(np.int64)
-        found.append((np.minimum(x, y), np.maximum(x, y)))
-        held += len(x)
-        if held > PAIRS_HELD:
-            found = [_distinct(*(np.concatenate(c) for c in zip(*found)))]
-            held = 0
+        every = np.repeat(begin - (np.cumsum(reps) - reps), reps) + np.arange(reps.sum())
+        for i in range(0, len(every), PAIRS_HELD):
+            a = every[i : i + PAIRS_HELD]
+            b = a + distance
+            near = np.flatnonzero(np.bitwise_count((maps[a] ^ maps[b]) & np.uint64(127)) < 4)  # no threshold is larger
+            a, b = a[near], b[near]
+            ok = index[a] & probing[b] & _follows(maps[a], maps[b], meta[b]) | index[b] & probing[a] & _follows(maps[a], maps[b], meta[a])
+            left.append(a[ok])
+            right.append(b[ok])
         distance += 1
         keep = n > distance
         begin, n = begin[keep], n[keep]
-    return _distinct(*(np.concatenate(c) for c in zip(*found)))
-
-
-def _profile(docs: DataFrame, n: int, threshold: float, largest: int) -> tuple[DataFrame, np.ndarray]:
-    """The stored table (id, sig, size) of all sets, and the sketch of short segments."""
-    schemes, width = Schemes(threshold, largest), 1 << 14
+    a, b = np.concatenate(left), np.concatenate(right)
+    unit = joined(len(key), a, b)
+    # how many members and matching pairs each connected set has; a unit with both roles matches itself
+    inside = np.where(both, size * (size - 1) // 2, 0)
+    members, pairs = np.bincount(unit, size, len(key)), np.bincount(unit, inside, len(key)) + np.bincount(unit[a], size[a] * size[b], len(key))
+    dense = (members > 1) & (pairs >= share * members * (members - 1) / 2)
+    out: dict[bytes, np.ndarray] = {}
+
+    def add(group: np.ndarray) -> None:
+        if len(group) > 1:
+            out.setdefault(group.tobytes(), group)
+
+    of = np.repeat(unit, size)
+    some = np.flatnonzero(dense[of])
+    order = some[np.argsort(of[some], kind="stable")]
+    for part in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
+        add(np.unique(sig[part]))
+    for u in np.flatnonzero(both & (size > 1) & ~dense[unit]).tolist():
+        add(np.unique(sig[first[u] : first[u] + size[u]]))
+    rest = np.flatnonzero(~dense[unit[a]])
+    a, b = a[rest], b[rest]
+    # members of the one unit with those of the other
+    reps = size[a] * size[b]
+    at = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
+    x, y = sig[np.repeat(first[a], reps) + at // np.repeat(size[b], reps)], sig[np.repeat(first[b], reps) + at % np.repeat(size[b], reps)]
+    two = np.stack((np.minimum(x, y), np.maximum(x, y)), 1)[x != y]
+    return [*out.values(), *np.unique(two, axis=0)] if len(two) else list(out.values())
+
+
+def _profile(docs: DataFrame, n: int, schemes: Schemes) -> tuple[DataFrame, np.ndarray]:
+    """The stored table (id, sig, sig2, size) of all rows' sets, and the sketch of short segments. An empty set has size 0."""
+    width = 1 << 14
 
     def run(batches):
-        schema = pa.schema([("id", pa.int64()), ("sig", pa.int64()), ("size", pa.int32()), ("map", pa.binary()), ("part", pa.int32()), ("counts", pa.binary())])
+        schema = pa.schema([("id", pa.int64()), ("sig", pa.int64()), ("sig2", pa.int64()), ("size", pa.int32()), ("part", pa.int32()), ("counts", pa.binary())])
         sketch = np.zeros(SKETCH, np.int64)
         for batch in batches:
             texts, ids = batch.column(1).to_pylist(), batch.column(0)
             for a, b in textops.passes(texts):
                 g, at = gram_sets(texts[a:b], n)
-                sig, size, maps = signatures(g, at), np.diff(at), parity_maps(g, at)
+                sig, second, size = signatures(g, at), signatures(g, at, 17), np.diff(at)
                 rows = np.unique(sig, return_index=True)[1]
                 rows = np.sort(rows[size[rows] > 0])
                 if len(rows):
                     sketch += np.bincount(short_keys(schemes.segments(g, at, rows, schemes.band(size[rows])))[1], minlength=SKETCH)
-                has = np.flatnonzero(size > 0)
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a).take(pa.array(has)), pa.array(sig[has].view(np.int64)), pa.array(size[has], pa.int32()), pa.array([maps[i] for i in has.tolist()], pa.binary()), pa.nulls(len(has), pa.int32()), pa.nulls(len(has), pa.binary())], schema=schema)
+                k = b - a
+                yield pa.RecordBatch.from_arrays([ids.slice(a, k), pa.array(sig.view(np.int64)), pa.array(second.view(np.int64)), pa.array(size, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=schema)
         filled = [i for i in range(SKETCH // width) if sketch[i * width : (i + 1) * width].any()]
         k = len(filled)
-        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.array(filled, pa.int32()), pa.array([np.minimum(sketch[i * width : (i + 1) * width], 2**31 - 1).astype(np.int32).tobytes() for i in filled], pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(k, f.type) for f in list(schema)[:4]), pa.array(filled, pa.int32()), pa.array([np.minimum(sketch[i * width : (i + 1) * width], 2**31 - 1).astype(np.int32).tobytes() for i in filled], pa.binary())], schema=schema)
+        textops.tidy()
 
-    made = common.stored(docs.select("id", "text").mapInArrow(run, "id long, sig long, size int, map binary, part int, counts binary"), "sets")
+    made = common.stored(docs.select("id", "text").mapInArrow(run, "id long, sig long, sig2 long, size int, part int, counts binary"), "sets")
 
     def add(table: pa.Table) -> pa.Table:
         total = sum((np.frombuffer(x, np.int32).astype(np.int64) for x in table.column("counts").to_pylist()), np.zeros(width, np.int64))
@@ -293,17 +381,12 @@ def _profile(docs: DataFrame, n: int, threshold: float, largest: int) -> tuple[D
     sketch = np.zeros(SKETCH, np.int64)
     for r in made.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(add, "part int, counts binary").collect():  # SKETCH counters in all
         sketch[r.part * width : (r.part + 1) * width] = np.frombuffer(r.counts, np.int32)
-    return made.where("sig is not null").select("id", "sig", "size", "map"), sketch
+    return made.where("sig is not null").select("id", "sig", "sig2", "size"), sketch
 
 
-def signature_pairs(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """The sets (id, sig, size) of the frame (id, text), and the stored pairs (a, b, jaccard) of different sets, a < b."""
-    common.bounded_batches()
-    largest = 1 << 31  # bands cost nothing until a set falls into them
-    sets, sketch = _profile(docs, n, threshold, largest)
-    total = sets.agg(F.sum("size")).first()[0] or 0
-    buckets = max(8, int(total * 0.7 / BUCKET))
-    schemes = Schemes(threshold, largest)
+def _candidates(docs: DataFrame, n: int, schemes: Schemes, sketch: np.ndarray, elements: int) -> DataFrame:
+    """Stored groups (m: ascending signatures) that hold every pair of sets that match somewhere."""
+    buckets = max(8, int(elements * 0.7 / BUCKET))
     shared = docs.sparkSession.sparkContext.broadcast(np.minimum(sketch, _DEAR - 1).astype(np.int32))  # fixed size
 
     def emit(batches):
@@ -312,17 +395,16 @@ def signature_pairs(docs: DataFrame, n: int, threshold: float) -> tuple[DataFram
         at_bucket: list[np.ndarray] = []
 
         def flush():
-            if held:
-                r, b = np.concatenate(held), np.concatenate(at_bucket)
-                order = np.argsort(b, kind="stable")
-                r, b = r[order], b[order]
-                cut = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
-                ends = np.append(cut[1:], len(b))
-                step = 64
-                for i in range(0, len(cut), step):
-                    yield pa.RecordBatch.from_arrays([pa.array(b[cut[i : i + step]], pa.int32()), pa.array([r[x:y].tobytes() for x, y in zip(cut[i : i + step], ends[i : i + step])], pa.binary())], schema=schema)
+            r, b = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((held, _RECORD), (at_bucket, np.int32)))
             held.clear()
             at_bucket.clear()
+            order = np.argsort(b, kind="stable")
+            r, b = r[order], b[order]
+            cut = np.flatnonzero(np.diff(b, prepend=-1))
+            ends = np.append(cut[1:], len(b))
+            step = 64
+            for i in range(0, len(cut), step):
+                yield pa.RecordBatch.from_arrays([pa.array(b[cut[i : i + step]], pa.int32()), pa.array([r[x:y].tobytes() for x, y in zip(cut[i : i + step], ends[i : i + step])], pa.binary())], schema=schema)
 
         count, seen = 0, set()
         for batch in batches:
@@ -348,59 +430,115 @@ def signature_pairs(docs: DataFrame, n: int, threshold: float) -> tuple[DataFram
         yield from flush()
         textops.tidy()
 
+    share = DENSE
+
     def join(table: pa.Table) -> pa.Table:
-        r = np.frombuffer(b"".join(table.column("records").to_pylist()), _RECORD)
-        a, b = matches(r, threshold)
+        groups = matches(np.frombuffer(b"".join(table.column("records").to_pylist()), _RECORD), share)
+        offs = np.concatenate(([0], np.cumsum([len(g) for g in groups]))).astype(np.int32)
         textops.tidy()
-        return pa.table({"a": a, "b": b}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
-
-    candidates = docs.select("text").mapInArrow(emit, "bucket int, records binary").groupBy("bucket").applyInArrow(join, "a long, b long")
-    # parity maps refute almost every pair that isn't similar, for a few bytes each
-    maps = sets.groupBy("sig").agg(F.first("size").alias("size"), F.first("map").alias("map"))
-
-    def plausible(a: pa.Array, b: pa.Array, na: pa.Array, nb: pa.Array) -> pa.Array:
-        return pa.array([parity_difference(x, y) <= schemes.c * (m + k) + 1e-9 for x, y, m, k in zip(a.to_pylist(), b.to_pylist(), na.to_pylist(), nb.to_pylist())], pa.bool_())
-
-    plausible.__annotations__ = dict.fromkeys(("a", "b", "na", "nb", "return"), pa.Array)
-    mapped = candidates.distinct().join(maps.toDF("a", "na", "ma"), "a").join(maps.toDF("b", "nb", "mb"), "b")
-    candidates = common.stored(mapped.where(F.arrow_udf(plausible, "boolean")("ma", "mb", "na", "nb")).select("a", "b"), "candidates")
-    ends = common.stored(candidates.select(F.col("a").alias("sig")).union(candidates.select("b")).distinct(), "ends")
-    first = common.stored(sets.groupBy("sig").agg(F.min("id").alias("id")).join(ends, "sig", "left_semi").where("id is not null"), "firsts")
+        return pa.table({"m": pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate([np.zeros(0, np.int64), *groups])))}, schema=pa.schema([("m", pa.list_(pa.int64()))]))
+
+    made = common.stored(docs.select("text").mapInArrow(emit, "bucket int, records binary").groupBy("bucket").applyInArrow(join, "m array<long>"), "matches")
+    shared.destroy()
+    return made
+
+
+def verified(sigs: list[int], sets: list[np.ndarray], blocks: list[int], groups: list[list[int]], cross: bool, threshold: float):
+    """(i, j, jaccard) of the pairs of the sets that stand in one of the groups and are similar; if ``cross``, pairs of different blocks only."""
+    place: dict[int, list[int]] = {}
+    for i, x in enumerate(sigs):
+        place.setdefault(x, []).append(i)
+    wanted = np.zeros((len(sigs), len(sigs)), bool)
+    for g in groups:
+        at = np.array([i for x in g for i in place.get(x, ())], np.int64)
+        wanted[np.ix_(at, at)] = True
+    size = np.array([len(x) for x in sets], np.int64)
+    block = np.array(blocks)
+    begin, values = np.cumsum(size) - size, np.unique(np.concatenate(sets), return_inverse=True)[1]
+    mark = np.zeros(values.max() + 1, bool)
+    for i in range(len(sigs)):
+        ok = wanted[i] & (np.minimum(size, size[i]) >= threshold * np.maximum(size, size[i]) - 1e-9)
+        ok[: i + 1] = False
+        if cross:
+            ok &= block != block[i]
+        j = np.flatnonzero(ok)
+        if not len(j):
+            continue
+        mine = values[begin[i] : begin[i] + size[i]]
+        mark[mine] = True
+        n = size[j]
+        where = np.repeat(begin[j] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        same = np.add.reduceat(mark[values[where]].astype(np.int64), np.cumsum(n) - n)
+        mark[mine] = False
+        similar = same / (size[i] + n - same)
+        for k in np.flatnonzero(similar >= threshold - 1e-12).tolist():
+            yield i, int(j[k]), round(float(similar[k]), 6)
+
+
+def class_pairs(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Of the frame (id, text): members (id, node), node being the least id of the rows with an equal set; and the stored pairs (a, b, jaccard) of nodes, a < b."""
+    common.bounded_batches()
+    schemes = Schemes(threshold, 1 << 31)  # bands cost nothing until a set falls into them
+    sets, sketch = _profile(docs, n, schemes)
+    total = sets.agg(F.sum("size")).first()[0] or 0
+    groups = matched = _candidates(docs, n, schemes, sketch, total)
+    named = sets.where("id is not null and size > 0")
+    classes = named.groupBy("sig", "sig2").agg(F.min("id").alias("node"), F.min("size").alias("size"))
+    classes = common.stored(classes.withColumn("ref", F.shiftrightunsigned("sig", 64 - schemes.ref)), "classes")
+    # Groups are verified in cells: what is connected is in one, and small connected sets share cells; a large one is cut into blocks, of
+    # which each two meet in a cell. A set is sent once to each cell that needs it, not once for each of its pairs.
+    twins = common.stored(classes.groupBy("ref").count().where("count > 1").select("ref"), "twins")  # different sets with one reference
+    root = common.components(groups.select(F.explode("m").alias("u"), F.col("m")[0].alias("v")).where("u != v")).select(F.col("node").alias("ref"), "root")
+    root = root.union(twins.join(root, "ref", "left_anti").select("ref", F.col("ref").alias("root")))
+    groups = groups.union(twins.select(F.array("ref").alias("m")))
+    used = classes.join(root, "ref")
+    sums = used.groupBy("root").agg(F.sum("size").alias("elements"), F.count("*").alias("sets"))
+    sides = common.stored(sums.select("root", F.greatest(F.ceil(F.col("elements") / CELL_ELEMENTS), F.ceil(F.col("sets") / CELL)).cast("int").alias("p"), "elements"), "sides")
+    cells = max(1, (sides.agg(F.sum("elements")).first()[0] or 0) // CELL_ELEMENTS)
+    alone = F.pmod(F.xxhash64("root"), F.lit(cells))
+    block = "cast(pmod(xxhash64(ref), p) as int)"
+    needed = used.join(sides.select("root", "p"), "root").withColumn("block", F.expr(block))
+    every = F.expr("transform(sequence(0, p - 1), i -> xxhash64(root, least(i, block), greatest(i, block)))")
+    needed = common.stored(needed.select(F.col("node").alias("id"), "sig", "ref", "block", F.when(F.col("p") > 1, every).otherwise(F.array(alone)).alias("cells")), "needed")
+    small = (needed.agg(F.sum(F.size("cells") + 4)).first()[0] or 0) <= common.BROADCAST_IDS
 
     def grams(texts: list) -> dict:
         g, at = gram_sets(texts, n)
-        return {"sig": signatures(g, at).view(np.int64), "grams": [g[at[i] : at[i + 1]].tobytes() for i in range(len(texts))]}
-
-    of = common.by_ids(docs, first.select("id"), "id", "left_semi").select(common.text_udf("sig long, grams binary", grams)("text").alias("x")).select("x.*").join(ends, "sig", "left_semi").dropDuplicates(["sig"])
-    # Pairs are verified in cells: all of a component of candidates is in one, and components share cells; a component of more than
-    # CELL sets is cut into a grid. A set is sent once to each cell that needs it, not once for each of its pairs.
-    root = common.components(candidates.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    sizes = root.groupBy("root").agg(F.count("*").alias("n"))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    grid = F.ceil(F.col("n") / CELL).cast("int")
-    side = lambda c: F.when(F.col("p") > 1, F.pmod(F.xxhash64(F.col(c)), F.col("p"))).otherwise(F.lit(0))
-    in_root = candidates.join(root.toDF("a", "root"), "a").join(sizes, "root").withColumn("p", grid)
-    cell = F.when(F.col("p") > 1, F.xxhash64("root", side("a"), side("b"))).otherwise(F.pmod(F.xxhash64("root"), F.lit(max(1, total // CELL))))
-    placed = common.stored(in_root.select(cell.alias("cell"), "a", "b"), "placed")
-    needed = placed.select(F.col("cell").alias("at"), F.col("a").alias("sig")).union(placed.select("cell", "b")).distinct().join(of, "sig")
+        return {"own": signatures(g, at).view(np.int64), "grams": [g[at[i] : at[i + 1]].tobytes() for i in range(len(texts))]}
+
+    of = docs.join(F.broadcast(needed) if small else needed, "id").select("id", "sig", "ref", "block", "cells", common.text_udf("own long, grams binary", grams)("text").alias("x"))
+    of = of.where("x.own = sig").select(F.explode("cells").alias("at"), "id", "ref", "block", "x.grams")  # an id has several sets if its rows have different texts
+    sent = groups.join(root.select(F.col("ref").alias("first"), "root"), F.col("m")[0] == F.col("first")).join(sides.select("root", "p"), "root")
+    near_blocks = F.expr(f"array_distinct(transform(m, ref -> {block}))")
+    two = "filter(m, ref -> cast(pmod(xxhash64(ref), p) as int) in (i, j))"
+    several = F.expr(f"flatten(transform(b, i -> transform(filter(b, j -> j >= i), j -> named_struct('cell', xxhash64(root, i, j), 'cross', i != j, 'm', {two}))))")
+    one = F.array(F.struct(alone.alias("cell"), F.lit(False).alias("cross"), F.col("m").alias("m")))
+    placed = sent.withColumn("b", F.when(F.col("p") > 1, near_blocks)).select("root", F.explode(F.when(F.col("p") > 1, several).otherwise(one)).alias("x")).select("root", "x.*")
 
     def verify(left: pa.Table, right: pa.Table) -> pa.Table:
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("jaccard", pa.float64())])
-        g = {k: np.frombuffer(v, np.uint64) for k, v in zip(right.column("sig").to_pylist(), right.column("grams").to_pylist())}
-        rows = []
-        for a, b in zip(left.column("a").to_pylist(), left.column("b").to_pylist()):
-            if a in g and b in g:
-                x, y = g[a], g[b]
-                at = np.searchsorted(x, y)
-                at[at == len(x)] = 0
-                same = int((x[at] == y).sum())
-                j = same / (len(x) + len(y) - same)
-                if j >= threshold - 1e-12:
-                    rows.append((a, b, round(j, 6)))
-        return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
-
-    pairs = placed.groupBy("cell").cogroup(needed.groupBy("at")).applyInArrow(verify, "a long, b long, jaccard double")
-    return sets, common.stored(pairs, "pairs")
+        ids, sigs, blocks = (right.column(c).to_pylist() for c in ("id", "ref", "block"))
+        data, rows = right.column("grams").to_pylist(), {}
+        for i, (k, x) in enumerate(zip(ids, sigs)):
+            rows.setdefault(x, {})[k, data[i]] = i  # repeated rows once
+        by: dict[tuple[int, bool], dict] = {}
+        for root, cross, m in zip(*(left.column(c).to_pylist() for c in ("root", "cross", "m"))):
+            by.setdefault((root, cross), {})[tuple(m)] = None
+        out = []
+        for (_, cross), some in by.items():
+            use = [i for x in sorted({x for m in some for x in m}) for i in rows.get(x, {}).values()]
+            if len(use) > 1:
+                found = verified([sigs[i] for i in use], [np.frombuffer(data[i], np.uint64) for i in use], [blocks[i] for i in use], list(some), cross, threshold)
+                out += [(*sorted((ids[use[i]], ids[use[j]])), s) for i, j, s in found]
+        textops.tidy()
+        return pa.table([pa.array([r[i] for r in out if r[0] != r[1]], f.type) for i, f in enumerate(schema)], schema=schema)
+
+    found = placed.groupBy("cell").cogroup(of.groupBy("at")).applyInArrow(verify, "a long, b long, jaccard double")
+    near = common.stored(found.groupBy("a", "b").agg(F.max("jaccard").alias("jaccard")), "pairs")
+    for done in (matched, twins, sides, needed):
+        common.discard(done)
+    members = named.select("id", "sig", "sig2").join(classes.select("sig", "sig2", "node"), ["sig", "sig2"]).select("id", "node")
+    return members.union(sets.where("id is not null and size = 0").select("id", F.col("id").alias("node"))), near
 
 
 def _as_input(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -408,29 +546,49 @@ def _as_input(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_a, doc_b, jaccard) of all pairs of documents, doc_a < doc_b, whose similarity is the threshold at least."""
-    sets, near = signature_pairs(_as_input(docs, key, text), n, threshold)
-    members = sets.where("id is not null").select("id", "sig").distinct()
-    a, b = members.toDF("doc_a", "a"), members.toDF("doc_b", "b")
-    equal = a.join(b, F.col("a") == F.col("b")).where("doc_a < doc_b").select("doc_a", "doc_b", F.lit(1.0).alias("jaccard"))
-    other = near.join(a, "a").join(b, "b").where("doc_a != doc_b").select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"), "jaccard")
-    return equal.union(other)
+    """(doc_a, doc_b, jaccard) of all pairs of classes whose similarity is the threshold at least, each class being its least doc_id; doc_a < doc_b."""
+    return class_pairs(_as_input(docs, key, text), n, threshold)[1].toDF("doc_a", "doc_b", "jaccard")
+
 
+def classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document (doc_id, class_id, copy_of, n_links).
 
-def groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, keeper) of the documents in groups of two or more: groups are connected by pairs, the least id stays."""
-    sets, near = signature_pairs(_as_input(docs, key, text), n, threshold)
-    root = common.components(near.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    member = sets.where("id is not null").join(root, F.col("sig") == F.col("node"), "left").select("id", F.coalesce("root", "sig").alias("root"))
-    least = member.groupBy("root").agg(F.min("id").alias("keeper"), F.count("*").alias("n")).where("n > 1")
-    return member.join(least, "root").select("id", "keeper").distinct()
+    ``class_id``: the least doc_id that it is connected with by links; ``copy_of``: the least doc_id with an equal set; ``n_links``: how
+    many other sets are similar to its own. A document without partners is a class of its own.
+    """
+    members, near = class_pairs(_as_input(docs, key, text), n, threshold)
+    members = common.stored(members.groupBy("id").agg(F.collect_set("node").alias("nodes")), "members")
+    same = members.where(F.size("nodes") > 1).select(F.array_min("nodes").alias("u"), F.explode("nodes").alias("v")).where("u != v")  # texts of one document
+    root = common.components(near.select(F.col("a").alias("u"), F.col("b").alias("v")).union(same))
+    links = near.select(F.col("a").alias("node")).union(near.select("b")).groupBy("node").count()
+    by = common.stored(root.join(links, "node", "left").select("node", "root", F.coalesce("count", F.lit(0)).alias("n")), "linked")
+    found = members.select("id", F.explode("nodes").alias("node")).join(by, "node", "left")
+    found = found.groupBy("id").agg(F.min(F.coalesce("root", "node")).alias("class_id"), F.min("node").alias("copy_of"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_links"))
+    return found.withColumnRenamed("id", "doc_id")
 
 
 def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without the documents that have an earlier one (by id) in their group."""
-    gone = common.stored(groups(docs, n, threshold, key, text).groupBy("id").agg(F.min("keeper").alias("k")).where("id != k").select("id"), "copies")
+    """The rows of ``docs`` without the documents that have an earlier one (by id) in their class."""
+    gone = common.stored(classes(docs, n, threshold, key, text).where("doc_id != class_id").select(F.col("doc_id").alias("id")), "copies")
     return common.by_ids(docs.withColumn(key, F.col(key)), gone, key, "left_anti").select(docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs(common.documents(spark, sf_dir))
+    return classes(common.documents(spark, sf_dir))
+
+
+SQL = f"""
+WITH RECURSIVE
+w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS ws FROM documents WHERE doc_id IS NOT NULL),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) = 1 THEN ws ELSE list_transform(generate_series(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1]) END)) AS g FROM w WHERE len(ws) > 0),
+c AS (SELECT doc_id, g, min(doc_id) OVER (PARTITION BY md5(array_to_string(g, ','))) AS node FROM s),
+r AS (SELECT node, len(g) AS n, unnest(g) AS t FROM c WHERE doc_id = node),
+p AS (SELECT a.node AS x, b.node AS y FROM r a JOIN r b ON a.t = b.t AND a.node < b.node AND least(a.n, b.n) >= {THRESHOLD} * greatest(a.n, b.n)
+      GROUP BY a.node, b.node, a.n, b.n HAVING count(*) >= {THRESHOLD} * (a.n + b.n - count(*))),
+e AS (SELECT x, y FROM p UNION ALL SELECT y, x FROM p),
+reach AS (SELECT x AS node, x AS root FROM e UNION SELECT e.y, reach.root FROM reach JOIN e ON e.x = reach.node),
+root AS (SELECT node, min(root) AS root FROM reach GROUP BY node),
+l AS (SELECT x AS node, count(*) AS n FROM e GROUP BY x)
+SELECT d.doc_id, coalesce(root.root, c.node, d.doc_id) AS class_id, coalesce(c.node, d.doc_id) AS copy_of, coalesce(l.n, 0) AS n_links
+FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN root ON root.node = c.node LEFT JOIN l ON l.node = c.node
+"""

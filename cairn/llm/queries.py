@@ -20,4 +20,4 @@ _MODULES = {
 QUERIES = {name: importlib.import_module(f"cairn.llm.{module}").query for name, module in _MODULES.items()}
 QUERIES["op5_mixing_whole"] = importlib.import_module("cairn.llm.mixing").whole_query
 
-SQL = {"op5_mixing": importlib.import_module("cairn.llm.mixing").SQL}
+SQL = {name: importlib.import_module(f"cairn.llm.{_MODULES[name]}").SQL for name in ("op5_mixing", "op10_ngram_jaccard")}

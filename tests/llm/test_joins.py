@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 
 import numpy as np
@@ -42,17 +43,92 @@ def family(seed: int, groups: int = 60):
     return rows
 
 
+def roots(nodes, edges):
+    parent = {i: i for i in nodes}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in edges:
+        a, b = sorted((find(i), find(j)))
+        parent[b] = a
+    return {i: find(i) for i in nodes}
+
+
+def between_classes(want):
+    """Of all pairs those of classes of equal sets, each class being its least id; and the class of the ids that have one."""
+    least = {}
+    for (i, j), s in sorted(want.items()):
+        if s == 1:
+            least[j] = min(least.get(j, j), least.get(i, i))
+    return {(i, j): s for (i, j), s in want.items() if s < 1 and i not in least and j not in least}, least
+
+
+def check_classes(got, ids, want):
+    between, least = between_classes(want)
+    root = roots(ids, want)
+    n = {i: sum(i in p for p in between) for i in ids}
+    assert got == sorted((i, root[i], least.get(i, i), n[least.get(i, i)]) for i in ids)
+
+
 @pytest.mark.parametrize("n,t", [(2, 0.75), (1, 0.6), (3, 0.9)])
 def test_pairs_equal_brute_force(spark, n, t):
     rows = family(n)
     df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows, n, t)
     got = {(r.doc_a, r.doc_b): r.jaccard for r in njaccard.pairs(df, n, t).collect()}
-    assert got == brute(rows, n, t)
+    assert got == between_classes(want)[0]
+    check_classes(sorted(map(tuple, njaccard.classes(df, n, t).collect())), [i for i, _ in rows], want)
 
 
-def test_pairs_of_the_table(spark, docs):
+def test_hot_keys_are_split(spark, monkeypatch):
+    """The same pairs when almost every key counts as hot."""
+    rows = family(5)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    g, at = njaccard.gram_sets([t for _, t in rows], 2)
+    sketch = np.random.default_rng(1).integers(0, 9, njaccard.SKETCH)
+    for hot in (1, 1000):
+        monkeypatch.setattr(njaccard, "HOT", hot)
+        s = njaccard.Schemes(0.75, 1 << 20)
+        key, r = njaccard.records(s, sketch, g, at, np.arange(1, len(at)).astype(np.uint64) << np.uint64(24))
+        r["key"] = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        found = {p for g in njaccard.matches(r) for p in itertools.combinations(g.tolist(), 2)}
+        want = {(i + 1, j + 1) for (i, j), v in brute(rows, 2, 0.75).items()}
+        assert want <= found
+    monkeypatch.setattr(njaccard, "HOT", 1)
+    assert {(r.doc_a, r.doc_b) for r in njaccard.pairs(df).collect()} == set(between_classes(brute(rows, 2, 0.75))[0])
+
+
+def test_classes_of_the_table(spark, docs):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    assert {(r.doc_a, r.doc_b): r.jaccard for r in njaccard.pairs(docs).collect()} == brute(rows, njaccard.N, njaccard.THRESHOLD)
+    check_classes(sorted(map(tuple, njaccard.classes(docs).collect())), [i for i, _ in rows], brute(rows, njaccard.N, njaccard.THRESHOLD))
+
+
+def test_classes_equal_sql(spark, sf_dir):
+    same(queries.QUERIES["op10_ngram_jaccard"](spark, sf_dir), queries.SQL["op10_ngram_jaccard"], sf_dir)
+
+
+def test_large_components_are_cut(spark, monkeypatch):
+    """The same pairs when connected sets are cut into many blocks."""
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(w if (j * 7 + i) % 61 else f"x{i}" for j, w in enumerate(words))) for i in range(50)] + [(100 + i, t) for i, t in family(6, 20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = between_classes(brute(rows, 2, 0.75))[0]
+    assert len(want) > 500
+    for dense in (0.25, 2.0):  # as groups, and as pairs
+        monkeypatch.setattr(njaccard, "DENSE", dense)
+        monkeypatch.setattr(njaccard, "CELL", 7)
+        assert {(r.doc_a, r.doc_b): r.jaccard for r in njaccard.pairs(df).collect()} == want
+
+
+def test_shared_references_lose_nothing(spark, monkeypatch):
+    """Sets whose references collide are compared all the same."""
+    rows = family(8)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(njaccard, "REF", 5)
+    assert {(r.doc_a, r.doc_b): r.jaccard for r in njaccard.pairs(df).collect()} == between_classes(brute(rows, 2, 0.75))[0]
 
 
 @settings(max_examples=60, deadline=None, suppress_health_check=list(HealthCheck))
@@ -71,37 +147,27 @@ def test_candidates_hold_every_pair(seed, size, changes):
     s = njaccard.Schemes(njaccard.THRESHOLD, 1 << 20)
     sketch = rng.integers(0, 100, njaccard.SKETCH)
     at = np.array([0, len(a), len(a) + len(b)])
-    keys, r = njaccard.records(s, sketch, np.concatenate([a, b]), at, np.array([1, 2], np.uint64))
+    keys, r = njaccard.records(s, sketch, np.concatenate([a, b]), at, np.array([1 << 24, 2 << 24], np.uint64))
     r["key"] = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    assert len(njaccard.matches(r, njaccard.THRESHOLD)[0]) == 1
-    x, y = (njaccard.parity_maps(v, np.array([0, len(v)]))[0] for v in (a, b))
-    assert njaccard.parity_difference(x, y) <= len(a) + len(b) - 2 * same_
+    assert [g.tolist() for g in njaccard.matches(r)] == [[1, 2]]
 
 
 def test_one_of_each_group_stays(spark):
     rows = family(11)
     df = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, keeper string")
-    parent = {i: i for i, _ in rows}
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for i, j in brute(rows, njaccard.N, njaccard.THRESHOLD):
-        a, b = sorted((find(i), find(j)))
-        parent[b] = a
+    root = roots([i for i, _ in rows], brute(rows, njaccard.N, njaccard.THRESHOLD))
     kept = njaccard.keep_one(df)
     assert kept.columns == df.columns
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i in parent if find(i) == i)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i in root if root[i] == i)
 
 
 def test_join_odd(odd, none):
-    got = {(r.doc_a, r.doc_b) for r in njaccard.pairs(odd).collect()}
-    assert got == {(5, 6), (5, 7), (6, 7)}
-    assert njaccard.pairs(none).count() == 0 and njaccard.keep_one(none).count() == 0
+    got = sorted(map(tuple, njaccard.classes(odd).collect()))
+    assert got == [(i, 5 if i in (6, 7) else i, 5 if i in (6, 7) else i, 0) for i in range(1, 11)]
+    assert njaccard.pairs(odd).count() == 0
+    assert njaccard.pairs(none).count() == 0 and njaccard.classes(none).count() == 0 and njaccard.keep_one(none).count() == 0
     kept = sorted((r.doc_id for r in njaccard.keep_one(odd).collect()), key=lambda x: (x is None, x))
-    assert kept == [1, 2, 3, 4, 5, 5, 8, 9, None]  # a null id has no partner; the repeated row is the same document
+    assert kept == [1, 2, 3, 4, 5, 5, 8, 9, 10, None]  # a null id has no partner; the repeated row is the same document
 
 
 def test_components(spark):
@@ -147,7 +213,16 @@ def test_schedule_is_followed(spark):
 def test_mixing_odd(odd, none):
     assert mixing.positions(none).count() == 0 and mixing.mix(none).count() == 0
     got = mixing.mix(odd)
-    assert got.columns == odd.columns and 0 < got.count() <= odd.count()
+    assert got.columns == odd.columns and got.count() == odd.count()
+    assert sorted(map(str, got.collect())) == sorted(map(str, odd.collect()))
+
+
+def test_mixing_joins_alike_at_any_size(spark, monkeypatch):
+    """Null and empty ids are told apart, whether positions are broadcast or not."""
+    df = spark.createDataFrame([(None, "x", "s"), ("", "y", "s"), ("b", "z", "s")], "doc_id string, text string, source string")
+    for bound in (10, 0):
+        monkeypatch.setattr(common, "BROADCAST_IDS", bound)
+        assert sorted(r.text for r in mixing.mix(df).collect()) == ["x", "y", "z"]
 
 
 def test_scarce_source_removes_nothing(spark):

@@ -60,6 +60,7 @@ CollectionExists = _error("CollectionExists", "collection_exists", 409)
 IdExists = _error("IdExists", "id_exists", 409)
 BatchTooLarge = _error("BatchTooLarge", "batch_too_large", 413)
 NoTextField = _error("NoTextField", "no_text_field", 400)
+Conflict = _error("Conflict", "conflict", 409)
 CorruptData = _error("CorruptData", "corrupt_data", 500)
 
 RECORD = T.StructType([T.StructField("id", T.StringType()), T.StructField("vector", T.ArrayType(T.FloatType())), T.StructField("metadata", T.StringType())])

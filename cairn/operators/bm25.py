@@ -28,7 +28,11 @@ def lengths(indexed_docs: DataFrame) -> DataFrame:
 
 def stats(indexed_docs: DataFrame) -> DataFrame:
     """One row (n_docs, total_len, avgdl)."""
-    s = lengths(indexed_docs).agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total_len"))
+    return summed(lengths(indexed_docs))
+
+
+def summed(sizes: DataFrame) -> DataFrame:
+    s = sizes.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total_len"))
     return s.withColumn("avgdl", F.when(F.col("n_docs") > 0, F.col("total_len") / F.col("n_docs")).otherwise(F.lit(0.0)))
 
 
@@ -58,34 +62,96 @@ def _query(spark, text: str) -> DataFrame:
     return spark.createDataFrame(sorted(Counter(query_tokens(text)).items()), "term string, qtf long")
 
 
-def contributions(indexed_docs: DataFrame, text: str, k1: float = K1, b: float = B) -> DataFrame:
-    """(id, term, tf, df, idf, contribution) of the query's terms, from one scan and without exploding other terms.
+def term_postings(indexed_docs: DataFrame, terms: list[str]) -> DataFrame:
+    """(term, id, tf, dl) of these terms alone, from one scan: no posting of another term is made."""
+    wanted = F.filter("tokens", lambda t: t.isin(terms)) if terms else F.array().cast("array<string>")
+    hits = indexed_docs.select("id", F.size("tokens").cast("long").alias("dl"), F.explode(wanted).alias("term"))
+    return hits.groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
+
 
-    Term frequencies of the query's terms alone are counted in each row, so no posting of another term is made.
+def weigh(found: DataFrame, s: DataFrame, q: DataFrame, k1: float = K1, b: float = B, by: list[str] | None = None) -> DataFrame:
+    """(id, term, tf, df, idf, contribution) of postings (term, id, tf, dl), one row of statistics and the query (term, qtf).
+
+    ``by``: further columns of the query (``qid``), for many queries at once.
     """
     if k1 < 0 or not 0 <= b <= 1:
         raise InvalidRequest("k1 must not be negative, b lies between 0 and 1")
-    spark = indexed_docs.sparkSession
-    q = _query(spark, text)
-    wanted = sorted(set(query_tokens(text)))
-    hits = indexed_docs.select("id", F.size("tokens").cast("long").alias("dl"), F.explode(F.filter("tokens", lambda t: t.isin(wanted)) if wanted else F.array().cast("array<string>")).alias("term"))
-    tf = hits.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    s = stats(indexed_docs)
-    joined = tf.join(F.broadcast(df.join(q, "term")), "term").crossJoin(F.broadcast(s))  # as many rows as the query has terms; one row
+    df = found.groupBy("term").agg(F.count("*").alias("df"))
+    joined = found.join(df, "term").join(q, "term").crossJoin(F.broadcast(s))  # one row
     i = idf(F.col("n_docs"), F.col("df"))
     c = F.col("qtf") * i * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return joined.select("id", "term", "tf", "df", i.alias("idf"), c.alias("contribution"))
+    return joined.select(*(by or []), "id", "term", "tf", "df", i.alias("idf"), c.alias("contribution"))
+
+
+def contributions(indexed_docs: DataFrame, text: str, k1: float = K1, b: float = B) -> DataFrame:
+    """(id, term, tf, df, idf, contribution) of the query's terms."""
+    q = _query(indexed_docs.sparkSession, text)
+    return weigh(term_postings(indexed_docs, sorted(set(query_tokens(text)))), stats(indexed_docs), F.broadcast(q), k1, b)  # as many rows as the query has terms
 
 
 def search(indexed_docs: DataFrame, text: str, k: int, k1: float = K1, b: float = B) -> DataFrame:
     """(id, score, rank) of the k best; ties go to the lower id."""
+    return best(contributions(indexed_docs, text, k1, b), k)
+
+
+def best(contributions: DataFrame, k: int) -> DataFrame:
     if k <= 0:
         raise InvalidRequest("k must be positive")
-    s = contributions(indexed_docs, text, k1, b).groupBy("id").agg(F.round(F.sum("contribution"), 6).alias("score"))
+    s = contributions.groupBy("id").agg(F.round(F.sum("contribution"), 6).alias("score"))
     return numbered(s.orderBy(F.desc("score"), "id").limit(k), [F.desc("score"), F.col("id")])
 
 
+def search_postings(found: DataFrame, s: DataFrame, text: str, k: int, k1: float = K1, b: float = B) -> DataFrame:
+    """(id, score, rank) from stored postings; only those of the query's terms are read."""
+    terms = sorted(set(query_tokens(text)))
+    return best(weigh(of_terms(found, terms), s, F.broadcast(_query(found.sparkSession, text)), k1, b), k)
+
+
+def search_batch(found: DataFrame, s: DataFrame, queries: DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:
+    """(qid, id, score, rank) of many queries (qid, text) over postings; the terms meet the postings in an equi-join."""
+    from pyspark.sql.window import Window
+
+    if k <= 0:
+        raise InvalidRequest("k must be positive")
+    q = queries.select("qid", F.explode(tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
+    some = found.join(q.select("term").distinct(), "term", "left_semi")
+    scored = weigh(some, s, q, k1, b, ["qid"]).groupBy("qid", "id").agg(F.round(F.sum("contribution"), 6).alias("score"))
+    w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
+    return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+
+
+#: Folders that stored postings are spread over by a hash of the term.
+BUCKETS = 64
+
+
+def write_index(docs: DataFrame, path: str) -> None:
+    """Postings of the frame (id, text), by the term's bucket and sorted by term, and the documents' lengths."""
+    d = indexed(docs)
+    p = postings(d).withColumn("bucket", bucket(F.col("term"), BUCKETS))
+    p.repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(f"{path}/postings")
+    lengths(d).write.parquet(f"{path}/lengths")
+
+
+def bucket(term, n: int):
+    return F.pmod(F.xxhash64(term), F.lit(n)).cast("int")
+
+
+def read_postings(spark, path: str) -> DataFrame:
+    return spark.read.schema("term string, id long, dl long, tf long, bucket int").parquet(f"{path}/postings")
+
+
+def read_lengths(spark, path: str) -> DataFrame:
+    return spark.read.schema("id long, dl long").parquet(f"{path}/lengths")
+
+
+def of_terms(found: DataFrame, terms: list[str]) -> DataFrame:
+    """Postings of these terms; stored ones are pruned by folder, then by the sorted files' statistics."""
+    if "bucket" in found.columns:
+        at = [r[0] for r in found.sparkSession.createDataFrame([(t,) for t in terms], "t string").select(bucket(F.col("t"), BUCKETS)).collect()] if terms else []
+        found = found.where(F.col("bucket").isin(at))
+    return found.where(F.col("term").isin(terms)).select("term", "id", "tf", "dl")
+
+
 def numbered(top: DataFrame, order: list, rank: str = "rank") -> DataFrame:
     """Ranks of an already limited frame (k rows)."""
     from pyspark.sql.window import Window
@@ -95,10 +161,12 @@ def numbered(top: DataFrame, order: list, rank: str = "rank") -> DataFrame:
 
 def explain(indexed_docs: DataFrame, text: str, doc_id, k1: float = K1, b: float = B) -> DataFrame:
     """(term, tf, df, idf, contribution) of every distinct query term for one document; absent terms have zeros."""
-    spark = indexed_docs.sparkSession
-    all_terms = contributions(indexed_docs, text, k1, b)
+    return explained(contributions(indexed_docs, text, k1, b), text, doc_id)
+
+
+def explained(all_terms: DataFrame, text: str, doc_id) -> DataFrame:
     every = all_terms.groupBy("term").agg(F.max("df").alias("df"), F.max("idf").alias("idf"))
     mine = all_terms.where(F.col("id") == F.lit(doc_id)).select("term", "tf", "contribution")
-    out = _query(spark, text).select("term").join(every, "term", "left").join(mine, "term", "left")
+    out = _query(all_terms.sparkSession, text).select("term").join(every, "term", "left").join(mine, "term", "left")
     zero = lambda c, t: F.coalesce(c, F.lit(0)).cast(t).alias(c)
     return out.select("term", zero("tf", "long"), zero("df", "long"), F.coalesce("idf", F.lit(0.0)).alias("idf"), F.coalesce("contribution", F.lit(0.0)).alias("contribution"))

@@ -40,6 +40,36 @@ def assign(vectors: DataFrame, centroids: DataFrame, metric: Metric | str = Metr
     return vectors.select(F.col("id").cast("long"), F.col("vector").cast("array<double>")).mapInArrow(run, "id long, cid long, distance double")
 
 
+def assigned(vectors: DataFrame, centroids: DataFrame, metric: Metric | str = Metric.L2) -> DataFrame:
+    """(id, vector, cid) of every row, without a join."""
+    metric = Metric.parse(metric)
+    cids, c = _bring(centroids)
+    schema = pa.schema([("id", pa.int64()), ("vector", pa.list_(pa.float64())), ("cid", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                best = np.round(_distances(metric, knn.matrix(batch.column(1)), c), 9).argmin(1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(schema[1].type), pa.array(cids[best])], schema=schema)
+
+    return vectors.select(F.col("id").cast("long"), F.col("vector").cast("array<double>")).mapInArrow(run, "id long, vector array<double>, cid long")
+
+
+def write_lists(vectors: DataFrame, centroids: DataFrame, metric: Metric | str, path: str) -> None:
+    """The rows as packed blocks, a folder a centroid: a search reads the folders that it probes."""
+    rows = assigned(vectors, centroids, metric).repartition("cid").sortWithinPartitions("cid", "id")
+    knn.pack(rows, "x", "cid").write.partitionBy("cid").parquet(path)
+
+
+def read_lists(spark, paths: list[str]) -> DataFrame:
+    """(x_ids, x_vectors, cid) blocks of one or more written lists."""
+    frames = [spark.read.schema("x_ids binary, x_vectors binary, cid long").parquet(p) for p in paths]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.union(f)
+    return out
+
+
 def lloyd_step(vectors: DataFrame, centroids: DataFrame, metric: Metric | str = Metric.L2) -> DataFrame:
     """(cid, vector): the means of the clusters, in one pass; each task sends sums of nlist vectors. Empty ones keep their place."""
     metric = Metric.parse(metric)
@@ -112,29 +142,51 @@ def kmeans(x: np.ndarray, k: int, metric: Metric = Metric.L2, iterations: int =
     return {"centroids": c, "assignments": d.argmin(1), "inertia": float(d.min(1).sum()), "iterations": i, "converged": done}
 
 
+#: Numbers of a training sample that the driver holds at most (400 MB); a larger one is clustered by distributed steps.
+DRIVER_NUMBERS = 50_000_000
+
+
 def train(vectors: DataFrame, nlist: int = NLIST, metric: Metric | str = Metric.L2, iterations: int = ITERATIONS, sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
-    """(cid, vector) centroids learnt on at most ``sample`` rows, drawn by a hash of the id."""
+    """(cid, vector) centroids learnt on at most ``sample`` rows, drawn by a hash of the id.
+
+    The driver seeds and iterates on as many of them as it may hold; what is beyond that takes part in Lloyd steps over the whole sample.
+    """
     metric = Metric.parse(metric)
-    rows = vectors.select("id", "vector").orderBy(F.xxhash64("id"), "id").limit(sample).collect()
-    c = kmeans(np.array([r.vector for r in rows], np.float64), nlist, metric, iterations, seed=seed)["centroids"]
-    return vectors.sparkSession.createDataFrame([(i, v.tolist()) for i, v in enumerate(c)], "cid long, vector array<double>")
+    width = (vectors.select(F.size("vector")).first() or [1])[0] or 1
+    held = max(nlist, min(sample, DRIVER_NUMBERS // width))
+    drawn = vectors.select("id", "vector").orderBy(F.xxhash64("id"), "id")
+    x = knn.matrix(drawn.limit(held).select(F.col("vector").cast("array<double>")).toArrow().column(0).combine_chunks())
+    c = kmeans(x, nlist, metric, iterations, seed=seed)["centroids"]
+    made = vectors.sparkSession.createDataFrame([(i, v.tolist()) for i, v in enumerate(c)], "cid long, vector array<double>")
+    if held < sample:
+        from cairn.session import stored
+
+        rows = stored(drawn.limit(sample), "sample")
+        for _ in range(3):
+            made = stored(lloyd_step(rows, made, metric), "centroids")
+    return made
 
 
 def search(lists: DataFrame, centroids: DataFrame, queries: DataFrame, k: int, nprobe: int | None = NPROBE, metric: Metric | str = Metric.L2, pending: DataFrame | None = None, exclude: DataFrame | None = None) -> DataFrame:
-    """(qid, id, score, rank) from lists (id, vector, cid), probing each query's nearest centroids, and all ``pending`` rows (id, vector).
+    """(qid, id, score, rank) from lists, probing each query's nearest centroids, and all ``pending`` rows (id, vector).
 
+    The lists are written blocks (x_ids, x_vectors, cid), of which only those of probed centroids are read, or rows (id, vector, cid).
     Blocks of lists meet blocks of the queries that probe them in an equi-join on the centroid.
     """
+    from cairn.session import BROADCAST_IDS, by_ids
+
     metric = Metric.parse(metric)
     if k <= 0:
         raise InvalidRequest("k must be positive")
     cids, c = _bring(centroids)
     nprobe = max(1, min(nprobe or NPROBE, len(cids))) if len(cids) else 0
+    packed, dead = "x_ids" in lists.columns, None
     if exclude is not None:
-        from cairn.session import by_ids
-
-        lists = by_ids(lists, exclude, "id", "left_anti")
         pending = by_ids(pending, exclude, "id", "left_anti") if pending is not None else None
+        if packed and exclude.count() <= BROADCAST_IDS:
+            dead = np.sort(np.array([r[0] for r in exclude.collect()], np.int64))  # as many as the bound says
+        else:
+            lists, packed = by_ids(knn.unpack(lists, "x", "cid") if packed else lists, exclude, "id", "left_anti"), False
     schema = pa.schema([("id", pa.int64()), ("vector", pa.list_(pa.float64())), ("cid", pa.int64())])
 
     def probe(batches):
@@ -145,10 +197,12 @@ def search(lists: DataFrame, centroids: DataFrame, queries: DataFrame, k: int, n
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at).cast(schema[1].type), pa.array(cids[order.ravel()])], schema=schema)
 
     probes = queries.select(F.col("id").cast("long"), F.col("vector").cast("array<double>")).mapInArrow(probe, "id long, vector array<double>, cid long")
-    size = (queries.agg(F.sum(F.size("vector"))).first()[0] or 0) * nprobe
+    size = (queries.agg(F.sum(F.size("vector"))).first()[0] or 0) * max(nprobe, 1)
     q = knn.pack(probes, "q", "cid")
-    pairs = knn.pack(lists, "x", "cid").join(F.broadcast(q) if size <= knn.BROADCAST_NUMBERS else q, "cid")
-    found = knn.block_top_k(pairs, k, metric)
+    if packed and nprobe < len(cids):  # as many centroids as there are lists, at most
+        lists = lists.where(F.col("cid").isin([r.cid for r in probes.select("cid").distinct().collect()]))
+    pairs = (lists if packed else knn.pack(lists, "x", "cid")).join(F.broadcast(q) if size <= knn.BROADCAST_NUMBERS else q, "cid")
+    found = knn.block_top_k(pairs, k, metric, dead)
     if pending is not None:
         p = knn.pack(queries, "q")
         found = found.union(knn.block_top_k(knn.pack(pending, "x").crossJoin(F.broadcast(p) if size <= knn.BROADCAST_NUMBERS else p), k, metric))

@@ -46,6 +46,20 @@ def pack(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return df.select(F.col("id").cast("long"), F.col("vector").cast("array<double>"), *([F.col(by).cast("long")] if by else [])).mapInArrow(run, ddl)
 
 
+def unpack(blocks: DataFrame, name: str, by: str) -> DataFrame:
+    """The rows (id, vector, by) of packed blocks."""
+    schema = pa.schema([("id", pa.int64()), ("vector", pa.list_(pa.float64())), (by, pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            for i, v, key in zip(*(batch.column(j).to_pylist() for j in range(3))):
+                ids, x = np.frombuffer(i, np.int64), np.frombuffer(v, np.float64)
+                offs = np.arange(len(ids) + 1, dtype=np.int32) * (len(x) // max(len(ids), 1))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(x)), pa.array(np.full(len(ids), key))], schema=schema)
+
+    return blocks.select(f"{name}_ids", f"{name}_vectors", by).mapInArrow(run, f"id long, vector array<double>, {by} long")
+
+
 def best_of(s: np.ndarray, ids: np.ndarray, k: int, metric: Metric) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of the k best of every row by (score, id)."""
     s = np.round(s, 6)
@@ -61,8 +75,8 @@ def best_of(s: np.ndarray, ids: np.ndarray, k: int, metric: Metric) -> tuple[np.
     return r[place < k], c[place < k]
 
 
-def block_top_k(pairs: DataFrame, k: int, metric: Metric) -> DataFrame:
-    """(qid, id, score): the k best of each query in each pair of packed blocks."""
+def block_top_k(pairs: DataFrame, k: int, metric: Metric, dead: np.ndarray | None = None) -> DataFrame:
+    """(qid, id, score): the k best of each query in each pair of packed blocks. ``dead``: sorted ids that don't count."""
     schema = pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
 
     def run(batches):
@@ -70,6 +84,11 @@ def block_top_k(pairs: DataFrame, k: int, metric: Metric) -> DataFrame:
             for qi, qv, xi, xv in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 qi, xi = np.frombuffer(qi, np.int64), np.frombuffer(xi, np.int64)
                 q, x = np.frombuffer(qv, np.float64).reshape(len(qi), -1), np.frombuffer(xv, np.float64).reshape(len(xi), -1)
+                if dead is not None and len(dead):
+                    lives = dead[np.minimum(np.searchsorted(dead, xi), len(dead) - 1)] != xi
+                    xi, x = xi[lives], x[lives]
+                    if not len(xi):
+                        continue
                 step = max(1, 4_000_000 // len(xi))
                 for a in range(0, len(qi), step):
                     s = scores(metric, q[a : a + step], x)

@@ -1,15 +1,15 @@
 """The engine's queries over the test tables, and DuckDB SQL that gives the same rows.
 
 The collection C is ``embeddings`` left joined with ``documents`` on the id; its metadata are label, lang, source and n_chars.
-Mutations are a derived log: insert all, delete ids that end in 3, upsert ids that end in 7 with the negated vector.
+Mutations are: insert all, delete ids that end in 3, upsert ids that end in 7 with the negated vector.
 
-Queries of many vectors that have SQL take the first ids of the table as query vectors, as their SQL does. Those named ``_all`` are
-the same plans with every row as a query; tests compare them with brute force.
+In queries of many vectors every row of the table is a query, in their SQL too; searches for one vector take that of row 0. Collections and
+stored indexes are made once in an application for each folder of tables, as a service would have them, and asked after that.
 """
 
 from __future__ import annotations
 
-from functools import partial
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +19,7 @@ from cairn.functions import vector as V
 from cairn.functions.text import tokens
 from cairn.model import fetch_size
 from cairn.operators import bm25, evaluate, filters, fusion, hnsw, ivf, knn
-from cairn.session import by_ids, stored, with_ordinals
+from cairn.session import by_ids, stored
 
 K, TEXT, DEPTH = 10, "the license of stupid trash and des", 100
 
@@ -46,13 +46,24 @@ def collection(spark, d) -> DataFrame:
     return vectors(spark, d).join(docs, "id", "left")
 
 
-def first(df: DataFrame, n: int = 1) -> DataFrame:
-    return df.where(F.col("id") < n).select("id", "vector")
+def first(df: DataFrame) -> DataFrame:
+    """The one query vector of single searches."""
+    return df.where("id = 0").select("id", "vector")
 
 
-def asking(v: DataFrame, n: int | None) -> DataFrame:
-    """The query vectors: those of ids below n, or every row."""
-    return v.select("id", "vector") if n is None else first(v, n)
+def asking(v: DataFrame) -> DataFrame:
+    return v.select("id", "vector")
+
+
+_made: dict[tuple, object] = {}
+
+
+def prepared(spark: SparkSession, d: str, name: str, make):
+    """What ``make`` gives, made once in an application for the folder."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _made:
+        _made[key] = make()
+    return _made[key]
 
 
 def _hits(df: DataFrame, one: bool = True) -> DataFrame:
@@ -67,9 +78,9 @@ def normalize(spark, d):
     return v.select("id", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x"))
 
 
-def pairwise_distance(spark, d, n=20):
+def pairwise_distance(spark, d):
     v = scaled(spark, d)
-    return knn.pairwise(asking(v, n), v.select("id", "vector"), "l2").select("qid", F.col("id").alias("internal_id"), F.col("score").alias("distance"))
+    return knn.pairwise(asking(v), asking(v), "l2").select("qid", F.col("id").alias("internal_id"), F.col("score").alias("distance"))
 
 
 def _flat(metric):
@@ -98,7 +109,7 @@ def _score(metric, a="v.vector", b="q.vector"):
     return _SCORE[metric].format(a=a, b=b)
 
 
-def _knn_sql(metric, source=_V, where="TRUE", k=K, queries="id < 1", columns="id AS internal_id, score, rank"):
+def _knn_sql(metric, source=_V, where="TRUE", k=K, queries="id = 0", columns="id AS internal_id, score, rank"):
     order = "score" if metric == "l2" else "score DESC"
     return f"""WITH {source}, q AS (SELECT id AS qid, vector FROM v WHERE {queries}),
 s AS (SELECT qid, v.id, {_score(metric)} + 0.0 AS score FROM v, q WHERE {where}),
@@ -111,9 +122,29 @@ SELECT {columns} FROM r WHERE rank <= {k}"""
 _MD = "c AS (SELECT e.vec_id AS id, e.embedding::DOUBLE[] AS vector, e.label, d.text, d.lang, d.source, d.n_chars FROM embeddings e LEFT JOIN documents d ON e.vec_id = d.doc_id)"
 
 
+def made_collection(spark, d, **options):
+    """A checkpointed collection of the whole table C, with its metadata as JSON."""
+    from cairn.session import shared_dir
+    from cairn.sources.collection import Collection
+
+    def make():
+        c = Collection.create(spark, f"{shared_dir(spark)}/collection-{uuid.uuid4().hex}", 64, text_field="text", **options)
+        meta = F.to_json(F.struct("label", "lang", "source", "n_chars", "text"))
+        c.insert(collection(spark, d).orderBy("id").select(F.col("id").cast("string").alias("id"), "vector", meta.alias("metadata")))
+        c.checkpoint()
+        return c
+
+    return prepared(spark, d, f"collection {sorted(options.items())}", make)
+
+
+def _of(metadata: str, kind: str):
+    return F.get_json_object("metadata", f"$.{metadata}").cast(kind).alias(metadata)
+
+
 def _filter(criteria):
     def query(spark, d):
-        return collection(spark, d).where(filters.on_columns(criteria)).select(F.col("id").alias("internal_id"), "label", "lang")
+        rows = made_collection(spark, d, metric="l2").live().where(filters.on_json(F.col("metadata"), criteria))
+        return rows.select(F.col("id").cast("long").alias("internal_id"), _of("label", "int"), _of("lang", "string"))
 
     return query
 
@@ -146,24 +177,26 @@ def knn_tombstones(spark, d):
     return _hits(knn.knn(v, first(v), K, "cosine", exclude=dead_ids(spark, d)))
 
 
-def log(spark, d) -> DataFrame:
-    v = vectors(spark, d)
-    n = v.count()
-    add = v.select(F.lit(1).alias("seq"), F.lit("INSERT").alias("op"), F.col("id").cast("string").alias("id"), F.col("id").alias("internal_id"), V.doubles(F.col("vector")).alias("vector"))
-    gone = add.where("internal_id % 10 = 3").select(F.lit(2).alias("seq"), F.lit("DELETE").alias("op"), "id", "internal_id", "vector")
-    ups = with_ordinals(v.where("id % 10 = 7"), ["id"], "internal_id", n)
-    ups = ups.select(F.lit(3).alias("seq"), F.lit("INSERT").alias("op"), F.col("id").cast("string").alias("id"), "internal_id", F.transform(V.doubles(F.col("vector")), lambda x: -x).alias("vector"))
-    return add.union(gone).union(ups)
+def mutated(spark, d):
+    """A collection after: insert all, delete the ids that end in 3, upsert those that end in 7 with the negated vector."""
+    from cairn.session import shared_dir
+    from cairn.sources.collection import Collection
 
+    def make():
+        v = vectors(spark, d).select(F.col("id"), F.col("vector")).orderBy("id")
+        c = Collection.create(spark, f"{shared_dir(spark)}/mutated-{uuid.uuid4().hex}", 64, metric="l2")
+        named = lambda df: df.select(F.col("id").cast("string").alias("id"), "vector")
+        c.insert(named(v))
+        c.checkpoint()
+        c.delete_all(dead_ids(spark, d))
+        c.insert(named(v.where("id % 10 = 7").withColumn("vector", F.transform("vector", lambda x: -x))), upsert=True)
+        return c
 
-def live(ops: DataFrame) -> DataFrame:
-    """Latest operation of each id, if it is an insert; of equal numbers the one with the higher internal id."""
-    last = ops.groupBy("id").agg(F.max_by(F.struct("op", "internal_id", "vector"), F.struct("seq", "internal_id")).alias("o"))
-    return last.where("o.op = 'INSERT'").select("id", "o.internal_id", "o.vector")
+    return prepared(spark, d, "mutated", make)
 
 
 def upsert_latest(spark, d):
-    return live(log(spark, d)).select("id", "internal_id", F.round(F.element_at("vector", 1), 6).alias("x0"))
+    return mutated(spark, d).live().select("id", "internal_id", F.round(F.element_at("vector", 1).cast("double"), 6).alias("x0"))
 
 
 def delete_view(spark, d):
@@ -172,37 +205,42 @@ def delete_view(spark, d):
 
 
 def optimize_renumber(spark, d):
-    rows = live(log(spark, d)).withColumnRenamed("internal_id", "old_internal_id")
-    return with_ordinals(rows.select("id", "old_internal_id"), ["old_internal_id"], "internal_id").select("id", "old_internal_id", "internal_id")
+    from cairn.sources.collection import Collection
+
+    c = Collection.open(spark, mutated(spark, d).snapshot())
+    before = c.live().select("id", F.col("internal_id").alias("old_internal_id"))
+    c.optimize()
+    return before.join(c.live().select("id", "internal_id"), "id").select("id", "old_internal_id", "internal_id")
 
 
 def insert_conflicts(spark, d):
-    batch = vectors(spark, d).select((F.col("id") * 3).alias("id"))
-    return batch.join(delete_view(spark, d).select(F.col("internal_id").alias("id")), "id", "left_semi").select("id")
+    batch = vectors(spark, d).select((F.col("id") * 3).cast("string").alias("id"))
+    return mutated(spark, d).known(batch).select(F.col("id").cast("long").alias("id"))
 
 
 def collection_counts(spark, d):
-    ops = log(spark, d)
-    return ops.agg(F.count_if(F.col("op") == "INSERT").alias("inserted")).crossJoin(live(ops).agg(F.count("*").alias("num_vectors"))).select("num_vectors", (F.col("inserted") - F.col("num_vectors")).alias("num_deleted"))
+    s = mutated(spark, d).stats()
+    return spark.createDataFrame([(s["num_vectors"], s["num_deleted"])], "num_vectors long, num_deleted long")
 
 
 def point_lookup(spark, d):
-    return collection(spark, d).where("id = 42").select(F.col("id").cast("string").alias("id"), "label", "lang", "source", "n_chars", F.round(F.element_at("vector", 1).cast("double"), 6).alias("x0"))
+    r = made_collection(spark, d, metric="l2").get("42")
+    m = r["metadata"]
+    return spark.createDataFrame([(r["id"], m.get("label"), m.get("lang"), m.get("source"), m.get("n_chars"), round(r["vector"][0], 6))], "id string, label int, lang string, source string, n_chars long, x0 double")
 
 
 def contains(spark, d):
-    probe = spark.createDataFrame([("42",), ("43",), ("nothing",)], "id string")
-    there = live(log(spark, d)).select("id").withColumn("found", F.lit(True))
-    return probe.join(there, "id", "left").select("id", F.coalesce("found", F.lit(False)).alias("found"))
+    c = mutated(spark, d)
+    return spark.createDataFrame([(i, c.contains(i)) for i in ("42", "43", "nothing")], "id string, found boolean")
 
 
 def live_ids(spark, d):
-    return live(log(spark, d)).select("id")
+    return mutated(spark, d).iter_ids()
 
 
 def collection_summary(spark, d):
-    n = collection_counts(spark, d)
-    return n.select(F.lit("C").alias("name"), F.lit(64).cast("long").alias("dimension"), F.lit("cosine").alias("metric"), "num_vectors", "num_deleted")
+    s = mutated(spark, d).stats()
+    return spark.createDataFrame([(s["dimension"], s["metric"], s["num_vectors"], s["num_deleted"])], "dimension long, metric string, num_vectors long, num_deleted long")
 
 
 _LOG = """e AS (SELECT vec_id, embedding::DOUBLE[] AS vector FROM embeddings),
@@ -239,14 +277,37 @@ def bm25_vocab(spark, d):
     return bm25.vocabulary(_idx(spark, d))
 
 
+def text_index(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Stored postings of the documents, and their lengths."""
+    from cairn.session import shared_dir
+
+    def make():
+        path = f"{shared_dir(spark)}/postings-{uuid.uuid4().hex}"
+        bm25.write_index(texts(spark, d), path)
+        return path
+
+    path = prepared(spark, d, "postings", make)
+    return bm25.read_postings(spark, path), bm25.read_lengths(spark, path)
+
+
 def _bm25(text, dead=False):
     def query(spark, d):
-        t = texts(spark, d)
-        return _hits(bm25.search(bm25.indexed(t, t.where("id % 10 = 3").select("id") if dead else None), text, K))
+        found, sizes = text_index(spark, d)
+        if dead:
+            gone = texts(spark, d).where("id % 10 = 3").select("id")
+            found, sizes = by_ids(found, gone, "id", "left_anti"), by_ids(sizes, gone, "id", "left_anti")
+        return _hits(bm25.search_postings(found, bm25.summed(sizes), text, K))
 
     return query
 
 
+def bm25_batch(spark, d):
+    """The first words of every benchmark passage, searched for in all documents."""
+    found, sizes = text_index(spark, d)
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.array_join(F.slice(tokens(F.col("text")), 1, 4), " ").alias("text"))
+    return bm25.search_batch(found.select("term", "id", "tf", "dl"), bm25.summed(sizes), q, K).select("qid", F.col("id").alias("internal_id"), "score", "rank")
+
+
 def bm25_explain(spark, d):
     i = _idx(spark, d)
     return bm25.explain(i, TEXT + " zzzunknown", 1).select("term", "tf", "df", F.round("idf", 6).alias("idf"), F.round("contribution", 6).alias("contribution"))
@@ -269,14 +330,25 @@ def _bm25_rank(k):
     return f"bm AS (SELECT id, round(sum(c), 6) AS score, row_number() OVER (ORDER BY round(sum(c), 6) DESC, id) AS rank FROM co GROUP BY id QUALIFY rank <= {k})"
 
 
+def _explain_sql():
+    """Only the query's terms are counted, and only document 1 is weighed."""
+    words = ", ".join(f"('{w}')" for w in (TEXT + " zzzunknown").split())
+    return f"""WITH {_TOK}, st AS (SELECT count(*) AS n_docs, sum(len(tokens)) / count(*)::DOUBLE AS avgdl FROM t),
+qt AS (SELECT term, count(*) AS qtf FROM (VALUES {words}) w(term) GROUP BY term),
+hit AS (SELECT qt.term, t.id, len(list_filter(t.tokens, lambda x: x = qt.term)) AS tf FROM t, qt),
+df AS (SELECT term, count(*) AS df, ln(((SELECT n_docs FROM st) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE) + 1) AS idf FROM hit WHERE tf > 0 GROUP BY term),
+co AS (SELECT hit.term, tf, qtf * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len(t.tokens) / avgdl)) AS c FROM hit JOIN qt USING (term) JOIN df USING (term) JOIN t ON t.id = hit.id, st WHERE hit.id = 1 AND tf > 0)
+SELECT qt.term, coalesce(co.tf, 0) AS tf, coalesce(df.df, 0) AS df, round(coalesce(df.idf, 0), 6) AS idf, round(coalesce(co.c, 0), 6) AS contribution FROM qt LEFT JOIN df USING (term) LEFT JOIN co USING (term)"""
+
+
 # -- fusion
 
 
-def _rankings(spark, d, depth=DEPTH, dense_from=None):
+def _rankings(spark, d, depth=DEPTH):
     c = collection(spark, d)
     dense = knn.knn(c, first(c), depth, "cosine").select("id", "rank")
-    sparse = bm25.search(bm25.indexed(c.select("id", "text")), TEXT, depth).select("id", "rank")
-    return {"dense": dense, "sparse": sparse}
+    found, stats = made_collection(spark, d, metric="l2").postings()
+    return {"dense": dense, "sparse": bm25.search_postings(found, stats, TEXT, depth).select("id", "rank")}
 
 
 def _fused(df: DataFrame) -> DataFrame:
@@ -323,9 +395,17 @@ def label_centroids(spark, d) -> DataFrame:
     return stored(m.groupBy(F.col("label").cast("long").alias("cid")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("vector")), "centroids")
 
 
-def _lists(spark, d, centroids):
-    v = vectors(spark, d)
-    return v.select("id", "vector").join(ivf.assign(v, centroids, "l2").select("id", "cid"), "id")
+def _stored_lists(spark, d, name: str, where: str = "true") -> tuple[DataFrame, DataFrame]:
+    """Written lists of the rows, and the centroids."""
+    from cairn.session import shared_dir
+
+    def make():
+        path, c = f"{shared_dir(spark)}/lists-{uuid.uuid4().hex}", label_centroids(spark, d)
+        ivf.write_lists(vectors(spark, d).where(where), c, "l2", path)
+        return path, c
+
+    path, c = prepared(spark, d, f"lists {name}", make)
+    return ivf.read_lists(spark, [path]), c
 
 
 def kmeans_step(spark, d):
@@ -351,13 +431,14 @@ def ivf_bucket_stats(spark, d):
     return s.select("n_buckets", "min_size", "max_size", F.round("mean_size", 6).alias("mean_size"))
 
 
-def _ivf(nprobe, pending=False, n=50):
+def _ivf(nprobe, pending=False):
     def query(spark, d):
-        v, c = vectors(spark, d), label_centroids(spark, d)
-        lists, extra = _lists(spark, d, c), None
+        v, extra = vectors(spark, d), None
         if pending:  # rows that no list has yet
-            lists, extra = lists.where("id % 5 != 0"), v.where("id % 5 = 0").select("id", "vector")
-        return _hits(ivf.search(lists, c, asking(v, n), K, nprobe, "l2", pending=extra), one=False)
+            (lists, c), extra = _stored_lists(spark, d, "some", "id % 5 != 0"), asking(v.where("id % 5 = 0"))
+        else:
+            lists, c = _stored_lists(spark, d, "all")
+        return _hits(ivf.search(lists, c, asking(v), K, nprobe, "l2", pending=extra), one=False)
 
     return query
 
@@ -378,7 +459,7 @@ def _ivf_sql(nprobe, pending=False, tail="SELECT qid, id AS internal_id, score,
     cand = "SELECT p.qid, p.vector AS qv, v.id, v.vector FROM p JOIN asg ON asg.cid = p.cid JOIN v ON v.id = asg.id"
     if pending:
         cand += " WHERE v.id % 5 <> 0 UNION ALL SELECT q.qid, q.vector, v.id, v.vector FROM q, v WHERE v.id % 5 = 0"
-    return f"""WITH {_V}, {_CENT}, {_ASSIGN}, q AS (SELECT id AS qid, vector FROM v WHERE id < 50),
+    return f"""WITH {_V}, {_CENT}, {_ASSIGN}, q AS (SELECT id AS qid, vector FROM v),
 p AS (SELECT qid, q.vector, ce.cid, row_number() OVER (PARTITION BY qid ORDER BY {_d2('q.vector', 'ce.vector')}, ce.cid) AS pr FROM q, ce QUALIFY pr <= {nprobe}),
 cand AS ({cand}), s AS (SELECT qid, id, {_score('l2', 'cand.vector', 'cand.qv')} AS score FROM cand),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score, id) AS rank FROM s){head} {tail}"""
@@ -399,47 +480,33 @@ c{i + 1} AS (SELECT c.cid, coalesce(n.vector, c.vector) AS vector FROM c{i} c LE
 # -- quality
 
 
-def _retrieved(spark, d, n=50):
-    v, c = vectors(spark, d), label_centroids(spark, d)
-    q = asking(v, n)
-    return ivf.search(_lists(spark, d, c), c, q, K, 2, "l2"), knn.knn(v, q, K, "l2")
+def _retrieved(spark, d) -> DataFrame:
+    lists, c = _stored_lists(spark, d, "all")
+    return ivf.search(lists, c, asking(vectors(spark, d)), K, 2, "l2")
 
 
-def recall_at_k(spark, d, n=50):
-    return evaluate.recall_at_k(*_retrieved(spark, d, n), K).select("qid", F.round("recall", 6).alias("recall"))
-
-
-def _relevant(spark, d):
-    v = vectors(spark, d).select("id", "label")
-    q = v.where("id < 50").select(F.col("id").alias("qid"), "label")
-    return v.join(F.broadcast(q), "label").select("qid", "id", F.lit(1.0).alias("gain"))
-
-
-def ndcg_at_k(spark, d):
-    return evaluate.ndcg_at_k(_retrieved(spark, d)[0], _relevant(spark, d), K).select("qid", F.round("ndcg", 6).alias("ndcg"))
-
-
-def mrr_at_k(spark, d):
-    return evaluate.mrr_at_k(_retrieved(spark, d)[0], _relevant(spark, d), K).select("qid", F.round("rr", 6).alias("rr"))
+def recall_at_k(spark, d):
+    v = vectors(spark, d)
+    return evaluate.recall_at_k(_retrieved(spark, d), knn.knn(v, asking(v), K, "l2"), K).select("qid", F.round("recall", 6).alias("recall"))
 
 
-def _relevant_all(spark, d, retrieved) -> DataFrame:
+def _relevant(spark, d, retrieved) -> DataFrame:
     """Relevance of what was retrieved, and K relevant rows of each query for the ideal: all gains are 1, so others change nothing."""
     v = vectors(spark, d).select("id", "label")
     q = v.select(F.col("id").alias("qid"), "label")
     hits = retrieved.select("qid", "id").join(v, "id").join(q, ["qid", "label"]).select("qid", "id")
     some = v.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("id"))).where(F.col("r") <= K)
-    return hits.union(q.join(F.broadcast(some), "label").select("qid", "id")).distinct().withColumn("gain", F.lit(1.0))
+    return hits.union(q.join(some, "label").select("qid", "id")).distinct().withColumn("gain", F.lit(1.0))
 
 
-def ndcg_at_k_all(spark, d):
-    found = stored(_retrieved(spark, d, None)[0], "retrieved")
-    return evaluate.ndcg_at_k(found, _relevant_all(spark, d, found), K).select("qid", F.round("ndcg", 6).alias("ndcg"))
+def ndcg_at_k(spark, d):
+    found = stored(_retrieved(spark, d), "retrieved")
+    return evaluate.ndcg_at_k(found, _relevant(spark, d, found), K).select("qid", F.round("ndcg", 6).alias("ndcg"))
 
 
-def mrr_at_k_all(spark, d):
-    found = stored(_retrieved(spark, d, None)[0], "retrieved")
-    return evaluate.mrr_at_k(found, _relevant_all(spark, d, found), K).select("qid", F.round("rr", 6).alias("rr"))
+def mrr_at_k(spark, d):
+    found = stored(_retrieved(spark, d), "retrieved")
+    return evaluate.mrr_at_k(found, _relevant(spark, d, found), K).select("qid", F.round("rr", 6).alias("rr"))
 
 
 def latency_percentiles(spark, d):
@@ -452,12 +519,26 @@ def pareto_front(spark, d):
     return evaluate.pareto_front(points, "qps", "recall").select("label", "qps", "recall")
 
 
-def hnsw_search(spark, d, asked=20):
+def _graphs(spark, d, ef, shards):
+    return prepared(spark, d, f"graphs {ef} {shards}", lambda: stored(hnsw.build(vectors(spark, d), "cosine", 16, ef, shards=shards), "graph"))
+
+
+def hnsw_search(spark, d):
     """A beam as wide as the shard makes the walk of a connected graph exact."""
     v = vectors(spark, d)
     n = v.count()
-    index = stored(hnsw.build(v, "cosine", 16, 64, shards=max(1, n // 500)), "graph")
-    return _hits(hnsw.search(index, asking(v, asked), K, "cosine", ef_search=n), one=False)
+    return _hits(hnsw.search(_graphs(spark, d, 64, max(1, n // 500)), asking(v), K, "cosine", ef_search=n), one=False)
+
+
+def hnsw_ef64(spark, d):
+    """The default beam, on shards of the default size."""
+    return _hits(hnsw.search(_graphs(spark, d, 200, None), asking(vectors(spark, d)), K, "cosine", ef_search=64), one=False)
+
+
+def hnsw_recall(spark, d):
+    """Whether the default beam finds 95 % of the true neighbours."""
+    found, true = hnsw_ef64(spark, d).withColumnRenamed("internal_id", "id"), knn_batch(spark, d).withColumnRenamed("internal_id", "id")
+    return evaluate.recall_at_k(found, true, K).agg(F.count("*").alias("queries"), (F.avg("recall") >= 0.95).alias("floor_met"))
 
 
 def hnsw_levels(spark, d):
@@ -465,8 +546,6 @@ def hnsw_levels(spark, d):
 
 
 def _copy(spark, d, **options):
-    import uuid
-
     from cairn.session import shared_dir
     from cairn.sources.collection import Collection
 
@@ -497,9 +576,33 @@ def stream_ingest(spark, d):
     return c.live().select("id")
 
 
+def stream_replay(spark, d):
+    """Every micro-batch twice, with a checkpoint between: the second time nothing happens."""
+    c, rows = _copy(spark, d)
+    parts = [rows.where(f"cast(id as long) % 2 = {i}") for i in (0, 1)]
+    for i, part in enumerate(parts):
+        c.insert(part, upsert=True, batch=("s", i))
+    c.checkpoint()
+    for i, part in enumerate(parts):
+        c.insert(part, upsert=True, batch=("s", i))
+    s = c.stats()
+    return spark.createDataFrame([(s["num_vectors"], s["num_deleted"])], "num_vectors long, num_deleted long")
+
+
+def two_writers(spark, d):
+    """Two handles of one collection insert in turn; no batch is lost."""
+    from cairn.sources.collection import Collection
+
+    c, rows = _copy(spark, d)
+    other = Collection.open(spark, c.path)
+    c.insert(rows.where("cast(id as long) % 2 = 0"))
+    other.insert(rows.where("cast(id as long) % 2 = 1"))
+    return Collection.open(spark, c.path).iter_ids()
+
+
 _PAIRS: dict[str, tuple] = {
     "normalize": (normalize, f"WITH {_S} SELECT id, unnest(range(0, len(vector))) AS pos, round(unnest(vector) / greatest(sqrt(list_inner_product(vector, vector)), 1e-12), 6) AS x FROM v"),
-    "pairwise_distance": (pairwise_distance, f"WITH {_S} SELECT q.id AS qid, v.id AS internal_id, {_score('l2')} AS distance FROM v, v q WHERE q.id < 20"),
+    "pairwise_distance": (pairwise_distance, f"WITH {_S} SELECT q.id AS qid, v.id AS internal_id, {_score('l2')} AS distance FROM v, v q"),
     **{f"flat_knn_{m}": (_flat(m), _knn_sql(m, _S)) for m in ("cosine", "dot", "l2")},
     "knn_batch": (knn_batch, _knn_sql("cosine", queries="TRUE", columns="qid, id AS internal_id, score, rank")),
     "filter_eq": (_filter({"lang": "de"}), _filter_sql("lang = 'de'")),
@@ -515,7 +618,7 @@ _PAIRS: dict[str, tuple] = {
     "optimize_renumber": (optimize_renumber, f"WITH {_LOG} SELECT id, internal_id AS old_internal_id, row_number() OVER (ORDER BY internal_id) - 1 AS internal_id FROM live"),
     "insert_conflicts": (insert_conflicts, "SELECT vec_id * 3 AS id FROM embeddings WHERE vec_id * 3 IN (SELECT vec_id FROM embeddings WHERE vec_id % 10 <> 3)"),
     "collection_counts": (collection_counts, f"WITH {_LOG} SELECT {_COUNTS}"),
-    "collection_summary": (collection_summary, f"WITH {_LOG} SELECT 'C' AS name, 64::BIGINT AS dimension, 'cosine' AS metric, {_COUNTS}"),
+    "collection_summary": (collection_summary, f"WITH {_LOG} SELECT (SELECT max(len(vector)) FROM e)::BIGINT AS dimension, 'l2' AS metric, {_COUNTS}"),
     "point_lookup": (point_lookup, f"WITH {_MD} SELECT CAST(id AS VARCHAR) AS id, label, lang, source, n_chars, round(vector[1], 6) AS x0 FROM c WHERE id = 42"),
     "contains": (contains, f"WITH {_LOG} SELECT p.id, p.id IN (SELECT id FROM live) AS found FROM (VALUES ('42'), ('43'), ('nothing')) p(id)"),
     "live_ids": (live_ids, f"WITH {_LOG} SELECT id FROM live"),
@@ -527,7 +630,11 @@ _PAIRS: dict[str, tuple] = {
     "bm25_search": (_bm25(TEXT), f"WITH {_bm25_cte(TEXT)}, {_bm25_rank(K)} SELECT id AS internal_id, score, rank FROM bm"),
     "bm25_repeated_terms": (_bm25("trash trash license"), f"WITH {_bm25_cte('trash trash license')}, {_bm25_rank(K)} SELECT id AS internal_id, score, rank FROM bm"),
     "bm25_tombstones": (_bm25(TEXT, dead=True), f"WITH {_bm25_cte(TEXT, _TOK[:-1] + ' AND doc_id % 10 <> 3)')}, {_bm25_rank(K)} SELECT id AS internal_id, score, rank FROM bm"),
-    "bm25_explain": (bm25_explain, f"WITH {_bm25_cte(TEXT + ' zzzunknown')} SELECT qt.term, coalesce(co.tf, 0) AS tf, coalesce(df.df, 0) AS df, round(coalesce(df.idf, 0), 6) AS idf, round(coalesce(co.c, 0), 6) AS contribution FROM qt LEFT JOIN df USING (term) LEFT JOIN co ON co.term = qt.term AND co.id = 1"),
+    "bm25_explain": (bm25_explain, _explain_sql()),
+    "bm25_batch": (bm25_batch, f"""WITH {_TOK}, {_POST}, q AS (SELECT item_id AS qid, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')[1:4] AS ws FROM benchmark),
+qt AS (SELECT qid, term, count(*) AS qtf FROM (SELECT qid, unnest(ws) AS term FROM q) GROUP BY ALL), dl AS (SELECT id, len(tokens) AS n FROM t),
+co AS (SELECT qid, tf.id, qtf * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl.n / avgdl)) AS c FROM qt JOIN tf USING (term) JOIN df USING (term) JOIN dl ON dl.id = tf.id, st)
+SELECT qid, id AS internal_id, round(sum(c), 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(sum(c), 6) DESC, id) AS rank FROM co GROUP BY qid, id QUALIFY rank <= {K}"""),
     "rrf_fuse": (rrf_fuse, _fusion_sql(_FUSED)),
     "weighted_rrf": (weighted_rrf, _fusion_sql(_FUSED + f" WHERE rank <= {K}", (0.7, 0.3), "")),
     "hybrid_search": (hybrid_search, _fusion_sql(_FUSED + f" WHERE rank <= {K}")),
@@ -538,29 +645,21 @@ _PAIRS: dict[str, tuple] = {
     "ivf_bucket_stats": (ivf_bucket_stats, f"WITH {_V}, {_CENT}, {_ASSIGN}, n AS (SELECT ce.cid, count(asg.id) AS n FROM ce LEFT JOIN asg USING (cid) GROUP BY ce.cid) SELECT count(*) AS n_buckets, min(n) AS min_size, max(n) AS max_size, round(avg(n), 6) AS mean_size FROM n"),
     "ivf_search": (_ivf(2), _ivf_sql(2)),
     "ivf_pending": (_ivf(2, True), _ivf_sql(2, True)),
-    "ivf_full_probe": (_ivf(10_000), _knn_sql("l2", queries="id < 50", columns="qid, id AS internal_id, score, rank")),
+    "ivf_full_probe": (_ivf(10_000), _knn_sql("l2", queries="TRUE", columns="qid, id AS internal_id, score, rank")),
     "recall_at_k": (recall_at_k, _ivf_sql(2, head=f", tr AS (SELECT q.qid, v.id, row_number() OVER (PARTITION BY q.qid ORDER BY {_score('l2')}, v.id) AS rank FROM v, q QUALIFY rank <= 10)", tail="SELECT tr.qid, round(count(r.id) / 10.0::DOUBLE, 6) AS recall FROM tr LEFT JOIN r ON r.qid = tr.qid AND r.id = tr.id AND r.rank <= 10 GROUP BY tr.qid")),
-    "ndcg_at_k": (ndcg_at_k, _ivf_sql(2, head=", rel AS (SELECT a.vec_id AS qid, b.vec_id AS id FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id < 50), ideal AS (SELECT qid, sum(1 / log2(i + 1)) AS idcg FROM (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY id) AS i FROM rel QUALIFY i <= 10) GROUP BY qid)", tail="SELECT r.qid, round(coalesce(sum(CASE WHEN rel.id IS NOT NULL THEN 1 / log2(rank + 1) END), 0) / max(idcg), 6) AS ndcg FROM r JOIN ideal USING (qid) LEFT JOIN rel ON rel.qid = r.qid AND rel.id = r.id WHERE rank <= 10 GROUP BY r.qid")),
-    "mrr_at_k": (mrr_at_k, _ivf_sql(2, head=", rel AS (SELECT a.vec_id AS qid, b.vec_id AS id FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id < 50)", tail="SELECT r.qid, round(coalesce(1.0::DOUBLE / min(CASE WHEN rel.id IS NOT NULL THEN rank END), 0), 6) AS rr FROM r LEFT JOIN rel ON rel.qid = r.qid AND rel.id = r.id WHERE rank <= 10 GROUP BY r.qid")),
+    "ndcg_at_k": (ndcg_at_k, _ivf_sql(2, head=", rel AS (SELECT a.vec_id AS qid, b.vec_id AS id FROM embeddings a JOIN embeddings b USING (label)), ideal AS (SELECT qid, sum(1 / log2(i + 1)) AS idcg FROM (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY id) AS i FROM rel QUALIFY i <= 10) GROUP BY qid)", tail="SELECT r.qid, round(coalesce(sum(CASE WHEN rel.id IS NOT NULL THEN 1 / log2(rank + 1) END), 0) / max(idcg), 6) AS ndcg FROM r JOIN ideal USING (qid) LEFT JOIN rel ON rel.qid = r.qid AND rel.id = r.id WHERE rank <= 10 GROUP BY r.qid")),
+    "mrr_at_k": (mrr_at_k, _ivf_sql(2, head=", rel AS (SELECT a.vec_id AS qid, b.vec_id AS id FROM embeddings a JOIN embeddings b USING (label))", tail="SELECT r.qid, round(coalesce(1.0::DOUBLE / min(CASE WHEN rel.id IS NOT NULL THEN rank END), 0), 6) AS rr FROM r LEFT JOIN rel ON rel.qid = r.qid AND rel.id = r.id WHERE rank <= 10 GROUP BY r.qid")),
     "latency_percentiles": (latency_percentiles, "WITH s AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM events WHERE value IS NOT NULL) SELECT p::DOUBLE AS p, value FROM s, (VALUES (50.0), (95.0), (99.0), (99.9)) w(p) WHERE i = least(greatest(CAST(round_even(p::DOUBLE / 100 * n + 0.5, 0) AS BIGINT) - 1, 0), n - 1)"),
     "pareto_front": (pareto_front, "WITH pt AS (SELECT label, count(*) AS qps, round(avg(embedding[1]::DOUBLE), 6) AS recall FROM embeddings GROUP BY label), b AS (SELECT *, max(recall) OVER (ORDER BY qps DESC, recall DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM pt) SELECT label, qps, recall FROM b WHERE best IS NULL OR recall > best"),
-    "hnsw_search": (hnsw_search, _knn_sql("cosine", queries="id < 20", columns="qid, id AS internal_id, score, rank")),
+    "hnsw_search": (hnsw_search, _knn_sql("cosine", queries="TRUE", columns="qid, id AS internal_id, score, rank")),
+    "hnsw_ef64": (hnsw_ef64, None),
+    "hnsw_recall": (hnsw_recall, "SELECT count(*) AS queries, TRUE AS floor_met FROM embeddings"),
     "hnsw_levels": (hnsw_levels, None),
     "checkpoint_reopen": (checkpoint_reopen, "SELECT CAST(vec_id AS VARCHAR) AS id FROM embeddings WHERE vec_id <> 3"),
+    "stream_replay": (stream_replay, "SELECT count(*) AS num_vectors, 0::BIGINT AS num_deleted FROM embeddings"),
+    "two_writers": (two_writers, "SELECT CAST(vec_id AS VARCHAR) AS id FROM embeddings"),
     "stream_ingest": (stream_ingest, "SELECT CAST(vec_id AS VARCHAR) AS id FROM embeddings"),
 }
 
-#: Every row is a query.
-_ALL = {
-    "pairwise_distance_all": partial(pairwise_distance, n=None),
-    "ivf_search_all": _ivf(2, n=None),
-    "ivf_pending_all": _ivf(2, True, n=None),
-    "ivf_full_probe_all": _ivf(10_000, n=None),
-    "recall_at_k_all": partial(recall_at_k, n=None),
-    "ndcg_at_k_all": ndcg_at_k_all,
-    "mrr_at_k_all": mrr_at_k_all,
-    "hnsw_search_all": partial(hnsw_search, asked=None),
-}
-
-QUERIES = {name: q for name, (q, _) in _PAIRS.items()} | _ALL
+QUERIES = {name: q for name, (q, _) in _PAIRS.items()}
 SQL = {name: s for name, (_, s) in _PAIRS.items() if s}

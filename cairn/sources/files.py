@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -41,9 +44,28 @@ class Files:
         options[0] = rename.OVERWRITE
         context.rename(fs.makeQualified(temp), fs.makeQualified(p), options)
 
+    def create(self, path: str, text: str) -> bool:
+        """Write a file that doesn't exist yet, whole or not at all; false if another writer was first."""
+        fs, p = self._path(path)
+        fs.mkdirs(p.getParent())
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri() if p.isAbsolute() and p.toUri().getScheme() else fs.getUri(), self.conf)
+        temp = self.jvm.org.apache.hadoop.fs.Path(p.getParent(), f".{uuid.uuid4().hex}")
+        out = fs.create(temp, True)
+        out.write(bytearray(text.encode("utf-8")))
+        out.hsync()
+        out.close()
+        try:
+            context.rename(fs.makeQualified(temp), fs.makeQualified(p), self.spark.sparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 0))
+            return True
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" not in e.java_exception.getClass().getName():
+                raise
+            fs.delete(temp, False)
+            return False
+
     def children(self, path: str) -> list[str]:
         fs, p = self._path(path)
-        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+        return sorted(n for n in (s.getPath().getName() for s in fs.listStatus(p)) if not n.startswith(".")) if fs.exists(p) else []
 
     def size(self, path: str) -> int:
         fs, p = self._path(path)

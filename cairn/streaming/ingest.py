@@ -13,7 +13,7 @@ from cairn.sources.collection import Collection
 def ingest(stream: DataFrame, collection: Collection, checkpoint: str, name: str = "stream", checkpoint_every: int = 20, once: bool = True) -> StreamingQuery:
     """Upsert the stream's records (id, vector, metadata). Of an id that a micro-batch holds twice, one row is applied.
 
-    The number of the micro-batch names the batch in the manifest, so one that is replayed after a failure does nothing.
+    The manifest keeps the last number of each stream, so a micro-batch that is replayed does nothing, also after a checkpoint.
     After ``checkpoint_every`` batches in the log the collection is checkpointed, which also brings its index up to date.
     """
 
@@ -21,7 +21,7 @@ def ingest(stream: DataFrame, collection: Collection, checkpoint: str, name: str
         w = Window.partitionBy("id").orderBy(F.xxhash64("vector", "metadata"))
         rows = batch.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
         if not rows.isEmpty():
-            collection.insert(rows, upsert=True, batch=f"{name}-{number}")
+            collection.insert(rows, upsert=True, batch=(name, number))
         if len(collection.m["ops"]) >= checkpoint_every:
             collection.checkpoint()
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import os
 import re
 
 import numpy as np
 import pytest
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 from cairn.llm import htmltext, langid, licenses, media, quality, sptok, textops, toxicity, urls
 
@@ -42,16 +45,49 @@ def test_char_grams_equal_a_loop():
 # -- 6 toxicity
 
 
-def test_toxicity_on_labels(spark, docs, labels, sf_dir):
+def test_toxicity_held_out(spark, docs, labels, sf_dir):
+    """Rows with even hashes are labelled; the others are what is judged."""
     larger = os.path.join(os.path.dirname(sf_dir), "sf0.1")  # the smallest table has eleven toxic rows
     if os.path.isdir(larger):
         docs, labels = (spark.read.parquet(f"{larger}/{t}.parquet") for t in ("documents", "labels"))
-    got = by_id(toxicity.toxicity(docs, labels))
+    known = labels.where("xxhash64(doc_id) % 2 = 0")
+    got = by_id(toxicity.toxicity(docs, known))
     assert len(got) == docs.count()
-    rows = labels.collect()
+    rows = labels.join(known, "doc_id", "left_anti").collect()
     caught = [got[r.doc_id].toxic for r in rows if r.toxic == 1]
     clean = [got[r.doc_id].toxic for r in rows if r.toxic == 0]
-    assert np.mean(caught) >= 0.9 and np.mean(clean) <= 0.01
+    assert np.mean(caught) >= 0.85 and np.mean(clean) <= 0.01
+
+
+def test_votes_and_scores_equal_brute_force(spark, docs, labels):
+    """Who votes, and the classifier's probabilities, by plain loops over words."""
+    m = toxicity.fit(docs, labels)
+    rows = docs.orderBy("doc_id").limit(60).collect() + [docs.where("text rlike '(?i)stupid|trash'").first()]
+    entries = {int(h): [int(m["voters"].owner[i]) for i in np.flatnonzero(m["voters"].hashes == h)] for h in m["voters"].hashes}
+    got = by_id(docs.select("doc_id", toxicity.scorer(m["weights"])(F.col("text")).alias("p")))
+    for r in rows:
+        words = re.findall(r"[^\W_]+", r.text.lower())
+        found = {textops.word_hash(w) for w in words} | {int(textops.salted(np.array([textops.word_hash(w[:n])], np.uint64), n)[0]) for w in words for n in toxicity.PREFIXES if len(w) > n}
+        want = {o for h in found for o in entries.get(h, ())} | {m["voters"].n - len(toxicity.PATTERNS) + k for k in toxicity.Voters.patterns(r.text)}
+        hashes, at = textops.word_features([r.text], toxicity.PREFIXES)
+        assert set(m["voters"].fired([toxicity.Voters.patterns(r.text)], hashes, at)[1].tolist()) == want
+        z = m["weights"][-1] + sum(m["weights"][b] for b in {h % toxicity.DIMS for h in found})
+        assert abs(got[r.doc_id].p - 1 / (1 + np.exp(-z))) < 1e-5
+
+
+def test_shouting_is_linear_and_equals_the_pattern():
+    import random
+    import time
+
+    pattern = re.compile(r"[A-ZÄÖÜÉÈÊÇÑÁÍÓÚ]{4,}[^\n]{0,40}!{2,}")
+    rng = random.Random(3)
+    for _ in range(3000):
+        t = "".join(rng.choice(["A", "B", "STOP", "x", " ", "!", "!!", "\n", "y" * rng.randrange(30)]) for _ in range(rng.randrange(25)))
+        assert toxicity.shouts(t) == (pattern.search(t) is not None), t
+    began = time.process_time()
+    for t in ("A" * 200_000, "A!" * 100_000, "AAAA!" * 50_000, "a!! " * 50_000):
+        toxicity.shouts(t)
+    assert time.process_time() - began < 3
 
 
 def test_label_model_finds_accuracies():
@@ -146,7 +182,25 @@ def test_sentencepiece_odd(odd, none):
     texts = {r.doc_id: r.text for r in odd.collect()}
     back = {r.doc_id: r.t for r in got.select("doc_id", sptok.decode_column()("ids").alias("t")).collect()}
     assert all(back[k] == texts[k] for k in texts if texts[k] is not None) and back[1] is None
-    assert all(r.round_trip for r in rows.values() if r.ids is not None)
+    assert all(r.round_trip and r.parity for r in rows.values() if r.ids is not None)
+
+
+def test_decoding_equals_the_back_end(docs):
+    c = sptok.codec(sptok.MODEL)
+    texts = [r.text for r in docs.select("text").limit(50).collect()] + ["a  b", "☃\U0001f389", ""]
+    ids, ok, same = c.encode(texts)
+    assert all(ok) and all(same)
+    assert [t.replace(" ", sptok.MARK) for t in c.decode(ids)] == [c.back.decode(i.tolist(), skip_special_tokens=False)[1:] for i in ids]
+
+
+def test_wrong_ids_are_noticed(docs):
+    """A word whose ids are wrong fails the round trip of its rows, one that the library encodes otherwise the parity."""
+    c = sptok.Codec()
+    c.encode(["one two", "three"])
+    c.table[sptok.MARK + "two"] = c.table[sptok.MARK + "three"]
+    c.bad.add(sptok.MARK + "three")
+    _, ok, same = c.encode(["one two", "three", None])
+    assert ok == [False, True, None] and same == [True, False, None]
 
 
 # -- 2 HTML
@@ -163,6 +217,59 @@ def test_html_extracts_articles(spark, sf_dir):
     assert np.mean(right) > 0.97
 
 
+def test_html_labels_do_not_leak(spark, sf_dir):
+    """Pages that the trees haven't seen, with every tag that labels them renamed, give the same text."""
+    pages = [r for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect() if r.html]
+    half = len(pages) // 2
+    model = htmltext.fit(spark.createDataFrame([(r.page_id, r.html) for r in pages[:half]], "page_id long, html string"))
+    right = []
+    for r in pages[half:]:
+        m = re.search(r"<article>(.*?)(?:</article>|<footer>|\Z)", r.html, re.S)
+        want = html.unescape(re.sub(r"<[^>]*>", " ", m[1]))
+        page = htmltext.Page(re.sub(r"(</?)(article|main|nav|footer|aside|header|form)\b", r"\1div", r.html))
+        got = page.text(page.decode(htmltext.predict(model, page.features())))
+        right.append("".join(want.split()) == "".join(got.split()))
+    assert np.mean(right) >= 0.9
+
+
+def test_trees_equal_brute_force():
+    """The first split is the best of all, and predictions are the sums of the leaves that a plain walk finds."""
+    rng = np.random.default_rng(9)
+    x = np.round(rng.normal(size=(60, 4)), 1)
+    y = ((x[:, 2] > 0.3) ^ (rng.random(60) < 0.1)).astype(float)
+    m = htmltext.boost(x, y, trees=5, depth=2)
+    g, h = y - y.mean(), np.full(60, y.mean() * (1 - y.mean()))
+
+    def gain(j, t):
+        a = x[:, j] <= t
+        return sum(g[s].sum() ** 2 / (h[s].sum() + 1) for s in (a, ~a)) - g.sum() ** 2 / (h.sum() + 1)
+
+    best = max((gain(j, t), j, t) for j in range(4) for t in np.unique(np.quantile(x[:, j], np.linspace(0, 1, htmltext.BINS + 1)[1:-1])))
+    assert abs(gain(m["trees"][0][0][0], m["trees"][0][1][0]) - best[0]) < 1e-9
+
+    def walk(row):
+        f = m["base"]
+        for feature, threshold, value in m["trees"]:
+            node = 0
+            while node < len(feature):
+                node = 2 * node + 1 + (row[feature[node]] > threshold[node])
+            f += value[node - len(feature)]
+        return 1 / (1 + np.exp(-f))
+
+    assert np.allclose(htmltext.predict(m, x), [walk(r) for r in x])
+    assert ((htmltext.predict(m, x) > 0.5) == y).mean() > 0.85
+
+
+def test_parsing_is_linear():
+    import time
+
+    for bad in ("<div>" * 16_000, "<div>" * 8_000 + "</p>" * 8_000, '<a x="' * 20_000, '<a">"' * 20_000, "<" * 100_000, "<a " * 50_000, "<ul>" + "<div>" * 8_000 + "<li/>" * 8_000):
+        began = time.process_time()
+        page = htmltext.Page(bad)
+        page.decode(htmltext.predict(None, page.features()))
+        assert time.process_time() - began < 5
+
+
 def test_decoding_equals_brute_force():
     page = htmltext.Page("<div><p>some words</p><p>x<b>yy</b></p></div><ul><li>menu</li></ul>")
     rng, n = np.random.default_rng(3), len(page.tag)
@@ -199,9 +306,12 @@ def test_html_odd(spark):
 # -- 7 media
 
 
-def test_chunks_equal_a_loop():
+def test_chunks_equal_a_loop(monkeypatch):
     rng = np.random.default_rng(5)
     data = [rng.integers(0, 256, n).astype(np.uint8).tobytes() for n in (0, 1, 700, 50_000)] + [b"a" * 70_000]
+    whole = media.chunk_ends(data)
+    monkeypatch.setattr(media, "BLOCK", 4096)  # long payloads go in blocks
+    assert media.chunk_ends(data) == whole
     for p, ends in zip(data, media.chunk_ends(data)):
         want, last, h = [], 0, 0
         hashes = []
@@ -225,12 +335,39 @@ def test_media_store(spark):
     got = {r.id: r for r in media.media_chunks(df, "page_id", "html").collect()}
     assert got[1].new_bytes == len(a) and got[2].new_bytes == 0 and got[3].new_bytes < 30_000 and got[4].chunks == [] and got[5].chunks is None
     assert all(r.verified for r in got.values() if r.bytes is not None)
-    store, lists, words = media.chunk(df, "page_id", "html")
-    back = {r.id: bytes(r.payload) for r in media.reconstruct(store, lists, words).collect()}
-    assert back == {i: p for i, p in rows if p is not None}
+    store, lists = media.chunk(df, "page_id", "html")
+    back = {r.id: (bytes(r.payload), r.verified) for r in media.reconstruct(store, lists).collect()}
+    assert back == {i: (p, True) for i, p in rows if p is not None}
     assert media.media_chunks(df.limit(0), "page_id", "html").count() == 0
-    lost = {r.id: r.verified for r in media.verified(store.limit(0), lists, words).collect()}
+    lost = {r.id: r.verified for r in media.assembled(store.limit(0), lists).collect()}
     assert not lost[1] and lost[4]
+    swapped = lists.withColumn("place", F.expr("if(place in (0, 1), 1 - place, place)"))  # right chunks in the wrong order
+    assert not {r.id: r.verified for r in media.assembled(store, swapped).collect()}[1]
+    other = store.withColumn("data", F.first("data").over(W.partitionBy(F.lit(1)).orderBy("digest")))  # another chunk's bytes
+    assert not {r.id: r.verified for r in media.assembled(other, lists).collect()}[1]
+
+
+def test_media_equals_brute_force(spark, sf_dir):
+    """The whole query against chunking in plain Python, owners included."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    rows = sorted((r.page_id, r.html.encode()) for r in pages.select("page_id", "html").collect() if r.html is not None)
+    owner, want = set(), {}
+    for i, p in rows:
+        new, names, last = 0, [], 0
+        for e in media.chunk_ends([p])[0]:
+            names.append(hashlib.sha256(p[last:e]).hexdigest())
+            if names[-1] not in owner:
+                owner.add(names[-1])
+                new += e - last
+            last = e
+        want[i] = (len(p), len(names), new, names, True)
+    got = {r.page_id: (r.bytes, r.n_chunks, r.new_bytes, r.chunks, r.verified) for r in media.query(spark, sf_dir).collect() if r.bytes is not None}
+    assert got == want
+
+
+def test_fingerprints_join():
+    a, b = b"some bytes" * 50, b"and others"
+    assert media.fingerprint(a + b) == media.joined(media.fingerprint(a), media.fingerprint(b), len(b)) != media.fingerprint(b + a)
 
 
 # -- 8 URLs
@@ -260,6 +397,53 @@ def test_url_filter(spark):
     assert urls.filter_urls(df.limit(0)).count() == 0
 
 
+def test_bayes_equals_brute_force(spark):
+    """The distributed fit against the same rounds in plain Python; and path words are learnt from rows."""
+    rng = np.random.default_rng(4)
+    hosts = ["casinobonus", "newslibrary", "plainhost", "freebets", "museumweather"]
+    rows = []
+    for i in range(400):
+        h = hosts[rng.integers(5)]
+        path = "/".join(rng.choice(["spinarama", "jackpotville"] if "casino" in h or "bets" in h else ["exhibits", "catalogue"], 2))
+        rows.append((i, f"http://{h}.example.org/{path}/common"))
+    rows += [(1000, "http://plainhost.example.org/spinarama/jackpotville"), (1001, "http://plainhost.example.org/exhibits")]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    got = by_id(urls.filter_urls(df), "page_id")
+    tokens = {i: list(got[i].words) + urls.path_tokens(u.split(".org", 1)[1]) for i, u in rows}
+    bad, good = urls.seeds()
+    words = set(bad) | set(good)
+    mass, extra = (sum(bad.values()), sum(good.values())), ({}, {})
+
+    def model(extra):
+        total = [sum(x.values()) for x in extra]
+        share = min(1.0, sum(total) / sum(mass))
+        scaled = [{t: c * share * m / max(n, 1e-9) for t, c in x.items()} for x, m, n in zip(extra, mass, total)]
+        n = len(words) + len(set(scaled[0]) | set(scaled[1])) + 1
+        sums = [m + sum(x.values()) + urls.SMOOTH * n for m, x in zip(mass, scaled)]
+
+        def score(ts):
+            z = np.log(urls.PRIOR / (1 - urls.PRIOR))
+            for t in ts:
+                if t in words or t in scaled[0] or t in scaled[1]:
+                    z += np.log((bad[t] + scaled[0].get(t, 0) + urls.SMOOTH) / sums[0]) - np.log((good[t] + scaled[1].get(t, 0) + urls.SMOOTH) / sums[1])
+            return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+        return score
+
+    score = model(extra)
+    for _ in range(urls.ROUNDS):
+        new = ({}, {})
+        for ts in tokens.values():
+            p = score(ts)
+            for t in ts:
+                new[0][t] = new[0].get(t, 0) + p
+                new[1][t] = new[1].get(t, 0) + 1 - p
+        score = model(new)
+    for i, ts in tokens.items():
+        assert abs(got[i].score - score(ts)) < 1e-5
+    assert got[1000].score > 0.5 > 0.1 > got[1001].score
+
+
 def test_every_counted_label_is_a_word(spark):
     """Labels behind the 50,000 most frequent ones, and long labels of one host, stay whole."""
     many = spark.range(50_010).selectExpr("id", "concat('http://', translate(cast(id + 100000 as string), '0123456789', 'abcdefghij'), '.example.org/') as url")
@@ -311,6 +495,38 @@ def test_matches_equal_brute_force():
             assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_chains_equal_brute_force():
+    """The best chain through a template's matches, against all increasing sequences of them."""
+    rng = np.random.default_rng(10)
+    text = "a b c d e f g h"
+    for _ in range(60):
+        s = licenses.Scanner({"t": text}, 1, 2, 0.0)
+        m = sorted({(int(x), int(y), int(n)) for x, y, n in zip(rng.integers(0, 14, 6), rng.integers(0, 7, 6), rng.integers(1, 4, 6)) if y + n <= 8})
+
+        def best(j):
+            x, y, n = m[j]
+            top = n
+            for i in range(j):
+                px, py, pn = m[i]
+                cut = max(0, px + pn - x, py + pn - y)
+                if px < x and py < y and cut < n and x + cut - px - pn <= 2 and y + cut - py - pn <= 2:
+                    top = max(top, best(i) + n - cut)
+            return top
+
+        found = s._chains(0, m)
+        want = max((best(j) for j in range(len(m))), default=0)
+        assert (max((c for *_, c in found), default=0) == want) or want < s.least
+        spans = sorted((b, e) for _, b, e, _ in found)
+        assert all(e <= b2 for (_, e), (b2, _) in zip(spans, spans[1:]))
+
+
+def test_scan_repeats_and_ties(spark):
+    notice = licenses.TEMPLATES["MIT-notice"]
+    rows = [(1, f"{notice} x {notice}", "l"), (1, f"{notice} x {notice}", "l"), (2, licenses.TEMPLATES["MIT"], "l"), (3, "All rights reserved. " * 2, "l")]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, license string")).collect()
+    assert sorted((r.doc_id, r.license, r.first_token) for r in got) == [(1, "MIT-notice", 0), (1, "MIT-notice", 0), (1, "MIT-notice", 6), (1, "MIT-notice", 6), (2, "MIT", 0), (3, "all-rights-reserved", 0), (3, "all-rights-reserved", 3)]
+
+
 def test_scan_finds_edited_notices(spark):
     rows = [(1, "This work is licensed under the terms of Apache License, Version 2.0", "l"), (2, "This work is licensed under the permissive BSD 3-Clause License", "l")]
     got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, license string")).collect()

@@ -22,6 +22,9 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--metric", default="cosine")
     c.add_argument("--index", default="flat")
     c.add_argument("--text-field")
+    p_serve = sub.add_parser("serve")
+    p_serve.add_argument("--host", default="127.0.0.1")
+    p_serve.add_argument("--port", type=int, default=8080)
     for name in ("ls", "metrics", "health"):
         sub.add_parser(name)
     for name in ("describe", "rm", "optimize", "snapshot", "checkpoint"):
@@ -59,7 +62,18 @@ def run(m: CollectionManager, a: argparse.Namespace):
     }[a.command]()
 
 
+def table(rows: list[dict]) -> str:
+    """Columns under their names, as wide as their widest value."""
+    names = list(dict.fromkeys(k for r in rows for k in r))
+    cells = [names, *([str(r.get(k, "")) for k in names] for r in rows)]
+    wide = [max(len(c[i]) for c in cells) for i in range(len(names))]
+    return "\n".join("  ".join(x.ljust(w) for x, w in zip(c, wide)).rstrip() for c in cells)
+
+
 def show(value, as_json: bool) -> None:
+    if isinstance(value, list) and value and not as_json and all(isinstance(v, dict) for v in value):
+        print(table(value))
+        return
     for v in value if isinstance(value, list) else [] if value is None else [value]:
         print(json.dumps(v) if as_json or not isinstance(v, dict) and not isinstance(v, str) else v if isinstance(v, str) else "  ".join(f"{k}={x}" for k, x in v.items()))
 
@@ -70,6 +84,10 @@ def main(args: list[str] | None = None) -> int:
     a = parser().parse_args(args)
     spark = SparkSession.builder.appName("cairn").getOrCreate()
     try:
+        if a.command == "serve":
+            from cairn.server import serve
+
+            serve(spark, a.root, a.host, a.port).serve_forever()
         show(run(CollectionManager(spark, a.root), a), a.json)
         return 0
     except model.EngineError as e:

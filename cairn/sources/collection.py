@@ -284,6 +284,16 @@ class Collection:
             raise model.IdNotFound(str(id))
         return {"id": rows[0].id, "vector": list(rows[0].vector), "metadata": json.loads(rows[0].metadata)}
 
+    def gather(self, ids: list[str]) -> list[dict]:
+        """The rows of up to MAX_BATCH ids, in the order asked for; an unknown id is an error."""
+        if len(ids) > MAX_BATCH:
+            raise model.BatchTooLarge(f"{len(ids)} ids, {MAX_BATCH} at most")
+        rows = {r.id: r for r in self.live().where(F.col("id").isin([str(i) for i in ids])).collect()}
+        for i in ids:
+            if str(i) not in rows:
+                raise model.IdNotFound(str(i))
+        return [{"id": rows[str(i)].id, "vector": list(rows[str(i)].vector), "metadata": json.loads(rows[str(i)].metadata)} for i in ids]
+
     def contains(self, id: str) -> bool:
         return bool(self.live().where(F.col("id") == str(id)).select("id").limit(1).collect())
 
@@ -307,13 +317,20 @@ class Collection:
                 raise model.InvalidRequest("the query holds NaN or infinity")
         return self.spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "id long, vector array<double>")
 
-    def _candidates(self, live: DataFrame, queries: DataFrame, k: int, params: dict | None) -> DataFrame:
-        params, x, idx = params or {}, self._corpus(live), self.m["index"]
+    def _candidates(self, live: DataFrame, queries: DataFrame, k: int, params: dict | None, exclude: DataFrame | None = None) -> DataFrame:
+        """``exclude``: internal ids that don't count, beside what is dead."""
+        params, idx = params or {}, self.m["index"]
+        x = self._corpus(live)
+        if exclude is not None:
+            x = by_ids(x, exclude, "id", "left_anti")
         if idx is None or self.m["index_type"] == "flat":
             return knn.knn(x, queries, k, self.metric)
         dead = self._dead()
         dead = dead.select(F.col("internal_id").alias("id")) if dead is not None else None
         fresh = self._corpus(self._fresh()) if self.m["ops"] else None
+        if exclude is not None:
+            dead = exclude if dead is None else dead.union(exclude).distinct()
+            fresh = by_ids(fresh, exclude, "id", "left_anti") if fresh is not None else None
         if self.m["index_type"] == "ivf":
             lists = ivf.read_lists(self.spark, [f"{self.path}/{p}" for p in idx["lists"]])
             return ivf.search(lists, self.spark.read.parquet(f"{self.path}/{idx['centroids']}"), queries, k, params.get("nprobe"), self.metric, fresh, dead)
@@ -329,13 +346,19 @@ class Collection:
     def _hydrate(hits: DataFrame, live: DataFrame) -> DataFrame:
         return hits.join(live.select(F.col("internal_id").alias("id"), F.col("id").alias("ext"), "metadata"), "id").withColumnsRenamed({"id": "internal_id"}).withColumnsRenamed({"ext": "id"})
 
-    def search_batch(self, vectors: list[list[float]] | DataFrame, k: int = 10, filter: dict | None = None, params: dict | None = None) -> DataFrame:
-        """(qid, rank, id, internal_id, score, metadata); a filter is applied after retrieval, so fewer than k rows may remain."""
+    def search_batch(self, vectors: list[list[float]] | DataFrame, k: int = 10, filter: dict | None = None, params: dict | None = None, exclude: DataFrame | None = None) -> DataFrame:
+        """(qid, rank, id, internal_id, score, metadata); a filter is applied after retrieval, so fewer than k rows may remain.
+
+        ``exclude``: ids (first column) that aren't searched.
+        """
         if k <= 0:
             raise model.InvalidRequest("k must be positive")
         self.counters["queries"] += 1
         live = self.live()
-        hits = self._hydrate(self._candidates(live, self._queries(vectors), model.fetch_size(k, bool(filter)), params), live)
+        if exclude is not None:
+            ids = exclude.select(F.col(exclude.columns[0]).cast("string").alias("id")).distinct()
+            exclude = by_ids(live, ids, "id", "left_semi").select(F.col("internal_id").alias("id"))
+        hits = self._hydrate(self._candidates(live, self._queries(vectors), model.fetch_size(k, bool(filter)), params, exclude), live)
         w = Window.partitionBy("qid").orderBy("rank")
         return hits.where(filters.on_json(F.col("metadata"), filter)).withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k).select("qid", "rank", "id", "internal_id", "score", "metadata")
 
@@ -468,14 +491,17 @@ class Collection:
 
     def _grown(self, m: dict, rows: DataFrame, n: int) -> dict | None:
         """The index of manifest ``m`` with a segment of n rows more."""
-        index, p, name = m["index"], m["index_params"], f"index/{uuid.uuid4().hex}"
-        if m["index_type"] == "flat":
-            return None
-        if m["index_type"] == "hnsw":
-            if n == 0:
-                return index
-            hnsw.build(self._corpus(rows), self.metric, p.get("M", hnsw.M), p.get("ef_construction", hnsw.EF_CONSTRUCTION), p.get("seed", hnsw.SEED)).write.parquet(f"{self.path}/{name}/shards")
-            return {"shards": [*(index or {"shards": []})["shards"], f"{name}/shards"]}
+        return _GROW[m["index_type"]](self, m, rows, n, f"index/{uuid.uuid4().hex}")
+
+    def _grow_hnsw(self, m: dict, rows: DataFrame, n: int, name: str) -> dict | None:
+        index, p = m["index"], m["index_params"]
+        if n == 0:
+            return index
+        hnsw.build(self._corpus(rows), self.metric, p.get("M", hnsw.M), p.get("ef_construction", hnsw.EF_CONSTRUCTION), p.get("seed", hnsw.SEED)).write.parquet(f"{self.path}/{name}/shards")
+        return {"shards": [*(index or {"shards": []})["shards"], f"{name}/shards"]}
+
+    def _grow_ivf(self, m: dict, rows: DataFrame, n: int, name: str) -> dict | None:
+        index, p = m["index"], m["index_params"]
         nlist, total = p.get("nlist", ivf.NLIST), m["rows"] - m["gone_rows"]
         if index is None or total >= RETRAIN * index["trained"]:
             if total < nlist:
@@ -536,6 +562,10 @@ class Collection:
         self.files.delete(self.path)
 
 
+#: What makes an index grow by a segment, by its type.
+_GROW = {"flat": lambda *_: None, "ivf": Collection._grow_ivf, "hnsw": Collection._grow_hnsw}
+
+
 def _paths(index: dict | None) -> list[str]:
     """Folders of an index."""
     return [p for v in (index or {}).values() for p in (v if isinstance(v, list) else [v]) if isinstance(p, str)]

@@ -29,6 +29,16 @@ class Files:
         finally:
             stream.close()
 
+    def lines(self, path: str):
+        """The lines of a text file, one at a time."""
+        fs, p = self._path(path)
+        reader = self.jvm.java.io.BufferedReader(self.jvm.java.io.InputStreamReader(fs.open(p), "UTF-8"))
+        try:
+            while (line := reader.readLine()) is not None:
+                yield line
+        finally:
+            reader.close()
+
     def replace(self, path: str, text: str) -> None:
         """Write a temporary file beside it and rename: a reader sees the old text or the new one."""
         fs, p = self._path(path)

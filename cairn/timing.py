@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import csv
+import json
 import math
 import os
+import platform
 import time
 from collections.abc import Callable
 
+import pyspark
+
 
 def percentile(values: list[float], p: float) -> float:
     """The nearest-rank percentile of a non-empty list."""
@@ -35,16 +39,12 @@ def measure(call: Callable[[], object], times: int, warm: int = 1) -> dict:
     return summary(took)
 
 
-def append(path: str, row: dict) -> None:
-    """Add a row to a CSV file of results; a new file begins with the names. Rows must have the file's columns."""
-    new = not os.path.exists(path)
-    if not new:
-        with open(path, newline="") as f:
-            names = next(csv.reader(f))
-        if names != list(row):
-            raise ValueError(f"{path} has the columns {names}")
-    with open(path, "a", newline="") as f:
-        out = csv.DictWriter(f, list(row))
-        if new:
-            out.writeheader()
-        out.writerow(row)
+def write(path: str, rows: list[dict]) -> None:
+    """Rows as CSV under the union of their names, and the environment in a JSON file beside it."""
+    names = list(dict.fromkeys(k for r in rows for k in r))
+    with open(path, "w", newline="") as f:
+        out = csv.DictWriter(f, names, restval="")
+        out.writeheader()
+        out.writerows(rows)
+    with open(os.path.splitext(path)[0] + ".env.json", "w") as f:
+        json.dump({"python": platform.python_version(), "system": platform.platform(), "cpus": os.cpu_count(), "pyspark": pyspark.__version__}, f, indent=1)

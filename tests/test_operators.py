@@ -146,3 +146,30 @@ def test_readers(spark, tmp_path):
 def test_names():
     assert Metric.parse("COSINE") is Metric.COSINE and IndexType.parse("Ivf") is IndexType.IVF
     assert [fetch_size(10, False), fetch_size(5, True), fetch_size(50, True), fetch_size(500, True)] == [10, 100, 500, 1000]
+
+
+def test_bad_lines_are_named(spark, tmp_path):
+    f = tmp_path / "bad.jsonl"
+    f.write_text('{"id": "a", "vector": [1]}\n\n{"id": "b"}\n')
+    with pytest.raises(model.InvalidRequest, match=r"bad\.jsonl:3"):
+        readers.read_items(spark, str(f))
+    f.write_text('{"id": "a", "vector": [1]}\n{torn\n')
+    with pytest.raises(model.InvalidRequest, match=r"bad\.jsonl:2"):
+        readers.read_items(spark, str(f))
+
+
+def test_generators_and_prefix(spark):
+    rows = readers.clustered(spark, 60, 4, clusters=3, spread=0.1).collect()
+    assert rows == readers.clustered(spark, 60, 4, clusters=3, spread=0.1).repartition(7).orderBy("id").collect()
+    by = {label: np.mean([r.vector for r in rows if r.label == label], axis=0) for label in {r.label for r in rows}}
+    assert all(min(by, key=lambda c: np.linalg.norm(by[c] - r.vector)) == r.label for r in rows)
+    found = readers.topical(spark, 300, share=0.3).collect()
+    assert 40 < sum(r.rare is not None for r in found) < 150 and all((f"rare{r.rare}" in r.text.split()) for r in found if r.rare is not None)
+    corpus, queries = readers.prefix(spark.range(50), spark.range(9), 20, 4)
+    assert corpus.count() == 20 and queries.count() == 4
+
+
+def test_ground_truth_is_kept(spark, tmp_path):
+    c, path = frame(spark, [(1, 0), (0, 1), (0.8, 0.6)]), f"{tmp_path}/truth"
+    want = sorted(map(tuple, evaluate.ground_truth(c, c, 2, "l2", path).collect()))
+    assert want == sorted(map(tuple, evaluate.ground_truth(c.limit(0), c, 2, "l2", path).collect())) and len(want) == 6

@@ -77,8 +77,6 @@ def test_timing(tmp_path):
     s = timing.measure(lambda: calls.append(1), 5, warm=2)
     assert len(calls) == 7 and s["n"] == 5 and s["p50"] <= s["p99"] and timing.summary([]) == {"n": 0}
     path = str(tmp_path / "r.csv")
-    timing.append(path, {"a": 1, "b": 2})
-    timing.append(path, {"a": 3, "b": 4})
-    assert open(path).read().split() == ["a,b", "1,2", "3,4"]
-    with pytest.raises(ValueError):
-        timing.append(path, {"c": 1})
+    timing.write(path, [{"a": 1, "b": 2}, {"a": 3, "c": 4}])
+    assert open(path).read().split() == ["a,b,c", "1,2,", "3,,4"]
+    assert json.load(open(tmp_path / "r.env.json"))["cpus"]

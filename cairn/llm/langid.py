@@ -25,6 +25,8 @@ SIZES = (2, 3)
 DIMS = 1 << 12
 #: Labelled rows of a language that its centroids are fitted on, at most; and its centroids.
 SAMPLE_PER_LANGUAGE, CENTROIDS = 1000, 4
+#: Languages that are known, the most frequent labels; labelled rows of all of them together, at most.
+LANGUAGES, SAMPLE = 128, 32_000
 #: A text is rejected beyond this quantile of the training distances (of texts of its length class) plus the margin.
 QUANTILE, MARGIN = 0.999, 0.15
 _CLASSES = np.array([0, 8, 32, 128, 512, 2048])
@@ -97,6 +99,10 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     idf = np.log((1 + n) / (1 + df)).astype(np.float32) + 1
     labelled = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("l")).where(F.col("l").isNotNull() & F.col("t").isNotNull())
 
+    # a column of dirty labels doesn't make the model grow
+    known = [r.l for r in labelled.groupBy("l").count().orderBy(F.desc("count"), "l").limit(LANGUAGES).collect()]
+    labelled, sample = labelled.where(F.col("l").isin(known)), min(sample, SAMPLE // max(1, len(known)))
+
     def sparse(texts: list) -> dict:
         return {"b": [np.flatnonzero(v).astype(np.uint16).tobytes() for _, m in counts(texts) for v in m], "c": [v[v > 0].tobytes() for _, m in counts(texts) for v in m]}
 

@@ -117,11 +117,57 @@ def test_toxicity_odd(odd, none, labels, no_labels):
 # -- 1 language
 
 
-def test_language_on_labels(docs):
+def test_language_held_out(docs, sf_dir, spark):
+    """Centroids of rows with even hashes, judged on the others."""
+    larger = os.path.join(os.path.dirname(sf_dir), "sf0.01")
+    docs = spark.read.parquet(f"{larger}/documents.parquet") if os.path.isdir(larger) else docs
+    found = langid.scorer(langid.fit(docs.where("xxhash64(doc_id) % 2 = 0")))(F.col("text")).alias("f")
+    rows = docs.where("xxhash64(doc_id) % 2 != 0").select("lang", found).collect()
+    assert len(rows) > 20 and np.mean([r.f.language == r.lang for r in rows]) > 0.95
+    assert np.mean([r.f.rejected for r in rows]) < 0.02
+
+
+def gram_bucket(gram: str, dims: int) -> int:
+    h = len(gram) * 0x9E3779B1 & 0xFFFFFFFF
+    for c in gram:
+        h = (h ^ ord(c)) * 0x85EBCA6B & 0xFFFFFFFF
+        h ^= h >> 15
+    return h & (dims - 1)
+
+
+def test_language_equals_brute_force(docs):
+    """Frequencies, vectors, distances, ties and limits by loops over the n-grams."""
+    rows = docs.select("doc_id", "text").orderBy("doc_id").collect()
+
+    def grams(text):
+        s = " " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " "
+        return [gram_bucket(s[i : i + n], langid.DIMS) for n in langid.SIZES for i in range(len(s) - n + 1)] if s.strip() else []
+
+    every = {r.doc_id: grams(r.text or "") for r in rows}
+    df = np.zeros(langid.DIMS)
+    for g in every.values():
+        df[list(set(g))] += 1
+    m = langid.fit(docs)
+    assert np.allclose(m["idf"], np.log((1 + len(rows)) / (1 + df)) + 1, atol=1e-5)
     got = by_id(langid.identify(docs))
-    rows = docs.select("doc_id", "lang").collect()
-    assert np.mean([got[r.doc_id].language == r.lang for r in rows]) > 0.95
-    assert np.mean([got[r.doc_id].rejected for r in rows]) < 0.01
+    for r in rows[:60]:
+        x = np.log1p(np.bincount(every[r.doc_id], minlength=langid.DIMS)) * m["idf"]
+        s = m["centroids"] @ (x / max(np.linalg.norm(x), 1e-12))
+        d = 1 - s.max()
+        assert abs(got[r.doc_id].distance - d) < 1e-4, r.doc_id
+        limit = m["limits"][m["owner"][s.argmax()], np.searchsorted(langid._CLASSES, len(every[r.doc_id]), side="right") - 1]
+        if abs(d - limit) > 1e-4:
+            assert got[r.doc_id].rejected == (d > limit)
+            assert got[r.doc_id].language == ("und" if d > limit else m["names"][m["owner"][s.argmax()]])
+
+
+def test_language_ties_and_dirty_labels(spark, docs, monkeypatch):
+    text = "the same words in both languages " * 5
+    rows = [(i, text, "ab"[i % 2]) for i in range(40)] + [(100 + i, f"odd {i}", f"label{i}") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    assert langid.fit(df)["names"] == ["a", "b"]
+    assert {r.language for r in langid.identify(df).where("doc_id < 40").collect()} == {"a"}  # equal distances: the first in the alphabet
 
 
 def test_language_rejects_noise(spark, docs):
@@ -141,12 +187,44 @@ def test_language_odd(odd, none):
 # -- 3 quality
 
 
-def test_quality_held_out(docs, labels):
-    model = quality.fit(docs, labels)
-    z, good = model["held"]
-    a, b = model["sigmoid"]
-    p = 1 / (1 + np.exp(-(a * z + b)))
+def test_quality_held_out(spark, docs, labels, sf_dir):
+    """Fitted and calibrated on rows with even hashes, judged on the others."""
+    larger = os.path.join(os.path.dirname(sf_dir), "sf0.01")
+    if os.path.isdir(larger):
+        docs, labels = (spark.read.parquet(f"{larger}/{t}.parquet") for t in ("documents", "labels"))
+    known = labels.where("xxhash64(doc_id) % 2 = 0")
+    got = by_id(quality.quality(docs, known))
+    rows = labels.join(known, "doc_id", "left_anti").collect()
+    p, good = np.array([got[r.doc_id].p_good for r in rows]), np.array([r.quality for r in rows])
     assert ((p > 0.5) == good).mean() > 0.9 and abs(p.mean() - good.mean()) < 0.12  # accurate and calibrated
+    verdicts = {v: good[[got[r.doc_id].verdict == v for r in rows]] for v in ("keep", "reject")}
+    assert verdicts["keep"].mean() > 0.9 and verdicts["reject"].mean() < 0.1
+
+
+def test_quality_equals_brute_force(docs, labels):
+    """Features and probabilities by loops over words and characters."""
+    m = quality.fit(docs, labels)
+    (a, b), w = m["sigmoid"], m["weights"].astype(float)
+    got = by_id(quality.quality(docs, labels))
+    for r in docs.orderBy("doc_id").limit(40).collect():
+        text, count = r.text or "", {}
+
+        def add(k):
+            count[k] = count.get(k, 0) + 1
+
+        words = [int(textops.words([x], lower=False, kind="space")[0][0]) for x in re.findall(r"[^\W_]+", text)]
+        for h in words:
+            add(h % quality.WORD_DIMS)
+        for x, y in zip(words, words[1:]):
+            two = np.array([x], np.uint64) * np.uint64(0x9DDFEA08EB382D69) ^ np.array([y], np.uint64)
+            add(int(textops.mix(two)[0]) % quality.WORD_DIMS)
+        for k, n in enumerate((3, 4)):
+            for i in range(len(text) - n + 1):
+                add(gram_bucket(text[i : i + n], quality.CHAR_DIMS) + quality.WORD_DIMS + k * quality.CHAR_DIMS)
+        v = {k: np.log1p(c) for k, c in count.items()}
+        norm = np.sqrt(sum(x * x for x in v.values()))
+        z = sum(w[k] * x / norm for k, x in v.items()) + w[-1]
+        assert abs(got[r.doc_id].p_good - 1 / (1 + np.exp(-(a * z + b)))) < 1e-5, r.doc_id
 
 
 def test_quality_odd(odd, none, labels, no_labels):

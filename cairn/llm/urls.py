@@ -7,7 +7,7 @@ a fixed cost and more for each letter. All counted labels are words, however man
 substrings.
 
 Naive Bayes is fitted on all rows of the table by expectation and maximisation: seed words of unwanted and of ordinary hosts give the first
-model; it says how likely each row is unwanted; the rows' tokens, counted with these probabilities, and the seeds make the next
+model; it says how likely each row is unwanted; the rows' other tokens, counted with these probabilities, and the seeds make the next
 model. Counts from rows are scaled, for each class, to the mass of its seeds (or to less if the table has fewer tokens than the seeds
 count), so a large table and many copies of it give the same model. Counts of rows are kept by hash bucket, so the model's size is fixed.
 Tokens that stand in rows of both kinds alike decide nothing.
@@ -144,7 +144,8 @@ class Bayes:
             if len(self.known) > 200_000:
                 self.known.clear()
             b = bucket(token)
-            x, y = ((s[token] + r[b] + self.smooth) / n for s, r, n in zip(self.seeds, self.rows, self.total))
+            seed = token in self.seeds[0] or token in self.seeds[1]
+            x, y = ((s[token] + (0 if seed else r[b]) + self.smooth) / n for s, r, n in zip(self.seeds, self.rows, self.total))
             self.known[token] = math.log(x) - math.log(y)
         return self.known[token]
 
@@ -186,6 +187,8 @@ def fit(rows: DataFrame, rounds: int = ROUNDS) -> Bayes:
                     tokens = tokens_of(given)
                     p = model.score(tokens)
                     for t in tokens:
+                        if t in model.seeds[0] or t in model.seeds[1]:  # what they say is given
+                            continue
                         b = bucket(t)
                         sums[0, b] += p
                         sums[1, b] += 1 - p

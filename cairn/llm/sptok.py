@@ -34,7 +34,7 @@ from cairn.llm import common
 MODEL = os.environ.get("SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 MARK = "▁"
 #: Distinct words of a generation, of which a task keeps two; words that go to the back end at once.
-KNOWN, AT_ONCE = 100_000, 4_000
+KNOWN, AT_ONCE = 50_000, 4_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 

@@ -188,6 +188,8 @@ def records(schemes: Schemes, sketch: np.ndarray, g: np.ndarray, at: np.ndarray,
     larger = np.minimum(schemes.high[nxt], np.floor(size[some] / schemes.t + 1e-9).astype(np.int64))
     cross = (nxt > band) & (larger >= schemes.low[nxt])
     keys, metas, sigs = [], [], []
+    mean = float(sketch.mean())
+    chance = int(mean + 2 * mean**0.5)  # what keys share by chance in a large corpus
 
     def add(k: np.ndarray, rows: np.ndarray, meta: np.ndarray) -> None:
         keys.append(k)
@@ -204,7 +206,7 @@ def records(schemes: Schemes, sketch: np.ndarray, g: np.ndarray, at: np.ndarray,
         cost = np.zeros(len(s["row"]), np.int64)
         cost[s["count"] == 0] = _DEAR
         short, counter = short_keys(s)
-        cost[short] = sketch[counter]
+        cost[short] = np.maximum(sketch[counter] - chance, 0)
         v = allocate(s["row"], s["number"], s["count"], cost, need, schemes.m[scheme], schemes.deletable[scheme])
         k = schemes.keys(s["total"], s["where"], False)
         maps, probe = s["maps"], s["maps"] | np.uint64(PROBE)
@@ -279,6 +281,17 @@ def joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = label[label]
 
 
+def answered(r: np.ndarray) -> np.ndarray:
+    """The records of the keys that have a probe, an index entry and more than one record; no other key has a candidate."""
+    order = np.argsort(r["key"])
+    key = r["key"][order]
+    run = np.cumsum(np.concatenate(([False], key[1:] != key[:-1])))[: len(key)]
+    role = (r["rest"] >> np.uint64(8))[order]
+    many = np.bincount(run) > 1
+    asked, held = (np.bincount(run, (role & np.uint64(bit)) > 0) > 0 for bit in (PROBE, INDEX))
+    return r[order[(many & asked & held)[run]]]
+
+
 def matches(r: np.ndarray, share: float = DENSE) -> list[np.ndarray]:
     """Distinct groups of references among the records of a bucket that hold all candidates.
 
@@ -286,6 +299,7 @@ def matches(r: np.ndarray, share: float = DENSE) -> list[np.ndarray]:
     maps are one unit, since what one of them matches all do. Of connected units the members are one group if most of their pairs match;
     else each pair that matches is a group of two.
     """
+    r = answered(r)
     sig, every, rest = refs(r).astype(np.int64), r["key"], r["rest"] >> np.uint64(8)
     order = np.lexsort((sig, rest, every))
     sig, every, rest = sig[order], every[order], rest[order]
@@ -300,27 +314,24 @@ def matches(r: np.ndarray, share: float = DENSE) -> list[np.ndarray]:
     maps = meta >> np.uint64(MAPS)
     index, probing = (meta & np.uint64(INDEX)) > 0, (meta & np.uint64(PROBE)) > 0
     both = index & probing
-    start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    length = np.diff(np.append(start, len(key)))
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    # runs of one key are shifted against themselves: one array operation for each distance that occurs
-    distance, live = 1, np.flatnonzero(length > 1)
-    begin, n = start[live], length[live]
-    while len(begin):
-        reps = n - distance
-        every = np.repeat(begin - (np.cumsum(reps) - reps), reps) + np.arange(reps.sum())
-        for i in range(0, len(every), PAIRS_HELD):
-            a = every[i : i + PAIRS_HELD]
-            b = a + distance
-            near = np.flatnonzero(np.bitwise_count((maps[a] ^ maps[b]) & np.uint64(127)) < 4)  # no threshold is larger
-            a, b = a[near], b[near]
-            ok = index[a] & probing[b] & _follows(maps[a], maps[b], meta[b]) | index[b] & probing[a] & _follows(maps[a], maps[b], meta[a])
-            left.append(a[ok])
-            right.append(b[ok])
-        distance += 1
-        keep = n > distance
-        begin, n = begin[keep], n[keep]
-    a, b = np.concatenate(left), np.concatenate(right)
+    # each probe with the index entries of its key; those that nothing looks up are never compared with each other
+    asks, holds = np.flatnonzero(probing), np.flatnonzero(index)
+    begin = np.searchsorted(key[holds], key[asks])
+    n = np.searchsorted(key[holds], key[asks], side="right") - begin
+    upto, found, i = np.cumsum(n), [np.zeros(0, np.int64)], 0
+    while i < len(asks):
+        j = max(i + 1, int(np.searchsorted(upto, upto[i] - n[i] + PAIRS_HELD, side="right")))
+        reps = n[i:j]
+        x = np.repeat(asks[i:j], reps)
+        y = holds[np.repeat(begin[i:j] - (np.cumsum(reps) - reps), reps) + np.arange(reps.sum())]
+        near = np.flatnonzero((np.bitwise_count((maps[x] ^ maps[y]) & np.uint64(127)) < 4) & (x != y))  # no threshold is larger
+        x, y = x[near], y[near]
+        ok = _follows(maps[y], maps[x], meta[x])
+        x, y = x[ok], y[ok]
+        found.append(np.minimum(x, y) * len(key) + np.maximum(x, y))
+        i = j
+    both_ways = np.unique(np.concatenate(found))
+    a, b = both_ways // max(1, len(key)), both_ways % max(1, len(key))
     unit = joined(len(key), a, b)
     # how many members and matching pairs each connected set has; a unit with both roles matches itself
     inside = np.where(both, size * (size - 1) // 2, 0)

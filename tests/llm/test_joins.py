@@ -131,6 +131,31 @@ def test_shared_references_lose_nothing(spark, monkeypatch):
     assert {(r.doc_a, r.doc_b): r.jaccard for r in njaccard.pairs(df).collect()} == between_classes(brute(rows, 2, 0.75))[0]
 
 
+def test_index_entries_are_not_compared_with_each_other(monkeypatch):
+    """A key that very many sets have and few look up costs what the lookups do."""
+    n, compared = 6000, []
+    r = np.zeros(n, njaccard._RECORD)
+    r["low"] = np.arange(n)
+    maps = np.random.default_rng(1).integers(0, 1 << 41, n).astype(np.uint64) << np.uint64(njaccard.MAPS)
+    r["rest"] = (maps | np.uint64(njaccard.INDEX)) << np.uint64(8)
+    follows = njaccard._follows
+    monkeypatch.setattr(njaccard, "_follows", lambda x, y, probe: compared.append(len(x)) or follows(x, y, probe))
+    assert njaccard.matches(r) == [] and sum(compared) == 0
+    r["rest"][7] |= np.uint64(njaccard.PROBE << 8)
+    maps[9] = maps[7]
+    r["rest"][9] = r["rest"][9] & np.uint64(255) | (maps[9] | np.uint64(njaccard.INDEX)) << np.uint64(8)
+    assert [7, 9] in [g.tolist() for g in njaccard.matches(r)] and sum(compared) < n
+
+
+def test_cost_of_keys_is_free_of_chance():
+    """A sketch that is full of other keys' counts, as that of a large corpus is, changes no threshold."""
+    g, at = njaccard.gram_sets([t for _, t in family(5)], 2)
+    s, sig = njaccard.Schemes(0.75, 1 << 20), np.arange(1, len(at)).astype(np.uint64) << np.uint64(24)
+    empty, full = (njaccard.records(s, np.full(njaccard.SKETCH, c), g, at, sig) for c in (0, 100))
+    assert len(empty[0]) == len(full[0]) and (empty[0] == full[0]).all()
+    assert all((empty[1][c] == full[1][c]).all() for c in ("low", "rest"))  # keys are filled in later
+
+
 @settings(max_examples=60, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.integers(0, 10**6), st.integers(4, 120), st.integers(0, 30))
 def test_candidates_hold_every_pair(seed, size, changes):

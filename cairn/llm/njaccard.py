@@ -43,6 +43,10 @@ SKETCH, BUCKET, HELD = 1 << 21, 250_000, 500_000
 HOT = 20_000
 #: Pairs that a task holds before it drops those that occur again.
 PAIRS_HELD = 500_000
+#: Cells of the matrix of wanted pairs that are held at once.
+WANTED = 4 << 20
+#: Elements of a matrix product that take the time of one element looked up; least number of sets; rows and columns at once.
+PRODUCT, PRODUCT_LEAST, PRODUCT_ROWS, PRODUCT_COLUMNS = 40, 64, 128, 512
 #: Elements, and sets, in a cell in which candidates are verified.
 CELL_ELEMENTS, CELL = 1 << 20, 4096
 #: Share of its pairs that must match for matching texts to be sent as a group.
@@ -385,12 +389,15 @@ def _profile(docs: DataFrame, n: int, schemes: Schemes) -> tuple[DataFrame, np.n
 
     made = common.stored(docs.select("id", "text").mapInArrow(run, "id long, sig long, sig2 long, size int, part int, counts binary"), "sets")
 
-    def add(table: pa.Table) -> pa.Table:
-        total = sum((np.frombuffer(x, np.int32).astype(np.int64) for x in table.column("counts").to_pylist()), np.zeros(width, np.int64))
-        return pa.table({"part": [table.column("part")[0].as_py()], "counts": [np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()]}, schema=pa.schema([("part", pa.int32()), ("counts", pa.binary())]))
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+                total[part] = total.get(part, 0) + np.frombuffer(x.as_buffer(), np.int32).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.minimum(x, 2**31 - 1).astype(np.int32).tobytes() for x in total.values()], pa.binary())], schema=pa.schema([("part", pa.int32()), ("counts", pa.binary())]))
 
     sketch = np.zeros(SKETCH, np.int64)
-    for r in made.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(add, "part int, counts binary").collect():  # SKETCH counters in all
+    for r in made.where("part is not null").select("part", "counts").repartition("part").mapInArrow(add, "part int, counts binary").collect():  # SKETCH counters in all
         sketch[r.part * width : (r.part + 1) * width] = np.frombuffer(r.counts, np.int32)
     return made.where("sig is not null").select("id", "sig", "sig2", "size"), sketch
 
@@ -454,40 +461,94 @@ def _candidates(docs: DataFrame, n: int, schemes: Schemes, sketch: np.ndarray, e
     return made
 
 
-def verified(sigs: list[int], sets: list[np.ndarray], blocks: list[int], groups: list[list[int]], cross: bool, threshold: float):
-    """(i, j, jaccard) of the pairs of the sets that stand in one of the groups and are similar; if ``cross``, pairs of different blocks only."""
-    place: dict[int, list[int]] = {}
-    for i, x in enumerate(sigs):
-        place.setdefault(x, []).append(i)
-    wanted = np.zeros((len(sigs), len(sigs)), bool)
-    for g in groups:
-        at = np.array([i for x in g for i in place.get(x, ())], np.int64)
-        wanted[np.ix_(at, at)] = True
+def verified(sigs: np.ndarray, sets: list[np.ndarray], blocks: np.ndarray, groups: list[np.ndarray], cross: bool, threshold: float):
+    """Arrays (i, j, jaccard) of the pairs of the sets (in order of ``sigs``) that stand in a group and are similar; if ``cross``, of the pairs of different blocks only.
+
+    If the groups ask for most pairs of sets that have most elements in common, all pairs are compared by products of matrices; every
+    similar pair stands in a group, so the results are the same.
+    """
     size = np.array([len(x) for x in sets], np.int64)
-    block = np.array(blocks)
-    begin, values = np.cumsum(size) - size, np.unique(np.concatenate(sets), return_inverse=True)[1]
-    mark = np.zeros(values.max() + 1, bool)
-    for i in range(len(sigs)):
-        ok = wanted[i] & (np.minimum(size, size[i]) >= threshold * np.maximum(size, size[i]) - 1e-9)
-        ok[: i + 1] = False
-        if cross:
-            ok &= block != block[i]
-        j = np.flatnonzero(ok)
-        if not len(j):
-            continue
-        mine = values[begin[i] : begin[i] + size[i]]
-        mark[mine] = True
-        n = size[j]
-        where = np.repeat(begin[j] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        same = np.add.reduceat(mark[values[where]].astype(np.int64), np.cumsum(n) - n)
-        mark[mine] = False
-        similar = same / (size[i] + n - same)
-        for k in np.flatnonzero(similar >= threshold - 1e-12).tolist():
-            yield i, int(j[k]), round(float(similar[k]), 6)
-
-
-def class_pairs(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Of the frame (id, text): members (id, node), node being the least id of the rows with an equal set; and the stored pairs (a, b, jaccard) of nodes, a < b."""
+    values = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    n, asked = len(sets), sum(len(g) ** 2 for g in groups)
+    shared = np.bincount(values) > 1  # other elements are in no intersection
+    if min(asked, n * n) * float(size.mean()) * PRODUCT > float(n) * n * int(shared.sum()) and n >= PRODUCT_LEAST:
+        yield from _by_products(size, np.where(shared, np.cumsum(shared) - 1, -1)[values], int(shared.sum()), blocks, cross, threshold)
+        return
+    begin, mark = np.cumsum(size) - size, np.zeros(len(shared), bool)
+    members = []
+    for g in groups:
+        low, high = np.searchsorted(sigs, g), np.searchsorted(sigs, g, side="right")
+        members.append(np.repeat(low, high - low) + np.arange((high - low).sum()) - np.repeat(np.cumsum(high - low) - (high - low), high - low))
+    found, held = [], 0
+    step = max(1, WANTED // n)
+    for top in range(0, n, step):
+        wanted = np.zeros((min(step, n - top), n), bool)
+        for at in members:
+            mine = at[np.searchsorted(at, top) : np.searchsorted(at, top + step)]
+            if len(mine):
+                wanted[np.ix_(mine - top, at)] = True
+        for i in range(top, top + len(wanted)):
+            ok = wanted[i - top] & (np.minimum(size, size[i]) >= threshold * np.maximum(size, size[i]) - 1e-9)
+            ok[: i + 1] = False
+            if cross:
+                ok &= blocks != blocks[i]
+            j = np.flatnonzero(ok)
+            if not len(j):
+                continue
+            mine = values[begin[i] : begin[i] + size[i]]
+            mark[mine] = True
+            k = size[j]
+            where = np.repeat(begin[j] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+            same = np.add.reduceat(mark[values[where]].astype(np.int64), np.cumsum(k) - k)
+            mark[mine] = False
+            similar = same / (size[i] + k - same)
+            ok = similar >= threshold - 1e-12
+            if ok.any():
+                found.append((np.full(int(ok.sum()), i), j[ok], similar[ok]))
+                held += len(found[-1][0])
+            if held >= PAIRS_HELD:
+                yield tuple(map(np.concatenate, zip(*found)))
+                found, held = [], 0
+    if found:
+        yield tuple(map(np.concatenate, zip(*found)))
+
+
+def _by_products(size: np.ndarray, column: np.ndarray, width: int, blocks: np.ndarray, cross: bool, threshold: float):
+    """As ``verified``, of all pairs: the sets' rows over the elements that several have, some rows and columns at a time."""
+    n = len(size)
+    order = np.argsort(blocks, kind="stable") if cross else np.arange(n)  # the first block's sets with the others'
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    row = np.repeat(place, size)[column >= 0]
+    column = column[column >= 0]
+    by = np.argsort(column, kind="stable")
+    row, column = row[by], column[by]
+    cuts = np.searchsorted(column, np.arange(0, width + PRODUCT_COLUMNS, PRODUCT_COLUMNS))
+    first = int((blocks[order] == blocks[order[0]]).sum()) if cross else n
+    large = size[order]
+    for top in range(0, first, PRODUCT_ROWS):
+        end, left = min(first, top + PRODUCT_ROWS), first if cross else top
+        same = np.zeros((end - top, n - left), np.float32)  # exact: counts stay below 2^24
+        for c, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            x = np.zeros((n, PRODUCT_COLUMNS), np.float32)
+            x[row[a:b], column[a:b] - c * PRODUCT_COLUMNS] = 1
+            same += x[top:end] @ x[left:].T
+        similar = same.astype(np.float64)
+        similar /= large[top:end, None] + large[None, left:] - similar
+        i, j = np.nonzero(similar >= threshold - 1e-12)
+        ok = np.flatnonzero(j + left > i + top)
+        i, j = i[ok], j[ok]
+        if len(i):
+            x, y = order[i + top], order[j + left]
+            yield np.minimum(x, y), np.maximum(x, y), similar[i, j]
+
+
+def class_pairs(docs: DataFrame, n: int, threshold: float, counted: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Of the frame (id, text): members (id, node), node being the least id of the rows with an equal set; and the stored pairs (a, b, jaccard) of nodes, a < b.
+
+    If ``counted``, instead of the pairs (of which n near copies have n^2 / 2) links (a, b, n): without b, n links of a; without n, a pair as above,
+    once or several times; with both, nodes that pairs connect which are counted already.
+    """
     common.bounded_batches()
     schemes = Schemes(threshold, 1 << 31)  # bands cost nothing until a set falls into them
     sets, sketch = _profile(docs, n, schemes)
@@ -496,13 +557,15 @@ def class_pairs(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, D
     named = sets.where("id is not null and size > 0")
     classes = named.groupBy("sig", "sig2").agg(F.min("id").alias("node"), F.min("size").alias("size"))
     classes = common.stored(classes.withColumn("ref", F.shiftrightunsigned("sig", 64 - schemes.ref)), "classes")
+    # nodes of several sets: their pairs can occur repeatedly and aren't counted in cells
+    many = classes.groupBy("node").count().where("count > 1").select("node", F.lit(True).alias("many"))
     # Groups are verified in cells: what is connected is in one, and small connected sets share cells; a large one is cut into blocks, of
     # which each two meet in a cell. A set is sent once to each cell that needs it, not once for each of its pairs.
     twins = common.stored(classes.groupBy("ref").count().where("count > 1").select("ref"), "twins")  # different sets with one reference
     root = common.components(groups.select(F.explode("m").alias("u"), F.col("m")[0].alias("v")).where("u != v")).select(F.col("node").alias("ref"), "root")
     root = root.union(twins.join(root, "ref", "left_anti").select("ref", F.col("ref").alias("root")))
     groups = groups.union(twins.select(F.array("ref").alias("m")))
-    used = classes.join(root, "ref")
+    used = classes.join(root, "ref").join(many, "node", "left")
     sums = used.groupBy("root").agg(F.sum("size").alias("elements"), F.count("*").alias("sets"))
     sides = common.stored(sums.select("root", F.greatest(F.ceil(F.col("elements") / CELL_ELEMENTS), F.ceil(F.col("sets") / CELL)).cast("int").alias("p"), "elements"), "sides")
     cells = max(1, (sides.agg(F.sum("elements")).first()[0] or 0) // CELL_ELEMENTS)
@@ -510,15 +573,15 @@ def class_pairs(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, D
     block = "cast(pmod(xxhash64(ref), p) as int)"
     needed = used.join(sides.select("root", "p"), "root").withColumn("block", F.expr(block))
     every = F.expr("transform(sequence(0, p - 1), i -> xxhash64(root, least(i, block), greatest(i, block)))")
-    needed = common.stored(needed.select(F.col("node").alias("id"), "sig", "ref", "block", F.when(F.col("p") > 1, every).otherwise(F.array(alone)).alias("cells")), "needed")
+    needed = common.stored(needed.select(F.col("node").alias("id"), "sig", "ref", "block", F.coalesce("many", F.lit(False)).alias("many"), F.when(F.col("p") > 1, every).otherwise(F.array(alone)).alias("cells")), "needed")
     small = (needed.agg(F.sum(F.size("cells") + 4)).first()[0] or 0) <= common.BROADCAST_IDS
 
     def grams(texts: list) -> dict:
         g, at = gram_sets(texts, n)
         return {"own": signatures(g, at).view(np.int64), "grams": [g[at[i] : at[i + 1]].tobytes() for i in range(len(texts))]}
 
-    of = docs.join(F.broadcast(needed) if small else needed, "id").select("id", "sig", "ref", "block", "cells", common.text_udf("own long, grams binary", grams)("text").alias("x"))
-    of = of.where("x.own = sig").select(F.explode("cells").alias("at"), "id", "ref", "block", "x.grams")  # an id has several sets if its rows have different texts
+    of = docs.join(F.broadcast(needed) if small else needed, "id").select("id", "sig", "ref", "block", "many", "cells", common.text_udf("own long, grams binary", grams)("text").alias("x"))
+    of = of.where("x.own = sig").select(F.explode("cells").alias("at"), "id", "ref", "block", "many", "x.grams")  # an id has several sets if its rows have different texts
     sent = groups.join(root.select(F.col("ref").alias("first"), "root"), F.col("m")[0] == F.col("first")).join(sides.select("root", "p"), "root")
     near_blocks = F.expr(f"array_distinct(transform(m, ref -> {block}))")
     two = "filter(m, ref -> cast(pmod(xxhash64(ref), p) as int) in (i, j))"
@@ -527,25 +590,47 @@ def class_pairs(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, D
     placed = sent.withColumn("b", F.when(F.col("p") > 1, near_blocks)).select("root", F.explode(F.when(F.col("p") > 1, several).otherwise(one)).alias("x")).select("root", "x.*")
 
     def verify(left: pa.Table, right: pa.Table) -> pa.Table:
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("jaccard", pa.float64())])
-        ids, sigs, blocks = (right.column(c).to_pylist() for c in ("id", "ref", "block"))
-        data, rows = right.column("grams").to_pylist(), {}
-        for i, (k, x) in enumerate(zip(ids, sigs)):
-            rows.setdefault(x, {})[k, data[i]] = i  # repeated rows once
-        by: dict[tuple[int, bool], dict] = {}
-        for root, cross, m in zip(*(left.column(c).to_pylist() for c in ("root", "cross", "m"))):
-            by.setdefault((root, cross), {})[tuple(m)] = None
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n" if counted else "jaccard", pa.int64() if counted else pa.float64())])
+        ids, sigs, blocks, many = (right.column(c).to_numpy() for c in ("id", "ref", "block", "many"))
+        data = right.column("grams").to_pylist()
+        rows = np.array(list({(k, x): i for i, (k, x) in enumerate(zip(ids.tolist(), data))}.values()), np.int64)  # repeated rows once
+        rows = rows[np.argsort(sigs[rows], kind="stable")]
+        known = sigs[rows]
+        m = left.column("m").combine_chunks()
+        members, ends = m.flatten().to_numpy(), np.cumsum(np.concatenate(([0], m.value_lengths().to_numpy())))
+        by: dict[tuple[int, bool], list[int]] = {}
+        for k, of in enumerate(zip(left.column("root").to_pylist(), left.column("cross").to_pylist())):
+            by.setdefault(of, []).append(k)
         out = []
         for (_, cross), some in by.items():
-            use = [i for x in sorted({x for m in some for x in m}) for i in rows.get(x, {}).values()]
-            if len(use) > 1:
-                found = verified([sigs[i] for i in use], [np.frombuffer(data[i], np.uint64) for i in use], [blocks[i] for i in use], list(some), cross, threshold)
-                out += [(*sorted((ids[use[i]], ids[use[j]])), s) for i, j, s in found]
+            groups = list({members[ends[k] : ends[k + 1]].tobytes(): np.sort(members[ends[k] : ends[k + 1]]) for k in some}.values())
+            use = rows[np.isin(known, np.concatenate(groups))]
+            if len(use) < 2:
+                continue
+            name, label, links = ids[use], np.arange(len(use)), np.zeros(len(use), np.int64)
+            for i, j, similar in verified(sigs[use], [np.frombuffer(data[k], np.uint64) for k in use.tolist()], blocks[use], groups, cross, threshold):
+                other = name[i] != name[j]
+                if counted:
+                    each = other & (many[use[i]] | many[use[j]])
+                    plain = other & ~each
+                    links += np.bincount(i[plain], minlength=len(use)) + np.bincount(j[plain], minlength=len(use))
+                    new = np.flatnonzero(plain & (label[i] != label[j]))
+                    if len(new):
+                        label = joined(len(use), np.concatenate((np.arange(len(use)), i[new])), np.concatenate((label, j[new])))
+                    i, j = i[each], j[each]
+                else:
+                    i, j, similar = i[other], j[other], similar[other]
+                x, y = name[i], name[j]
+                out.append((pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.nulls(len(x), pa.int64()) if counted else pa.array(np.round(similar, 6))))
+            if counted:
+                has, tied = np.flatnonzero(links), np.flatnonzero(label != np.arange(len(use)))
+                out.append((pa.array(name[has]), pa.nulls(len(has), pa.int64()), pa.array(links[has])))
+                out.append((pa.array(name[tied]), pa.array(name[label[tied]]), pa.array(np.zeros(len(tied), np.int64))))
         textops.tidy()
-        return pa.table([pa.array([r[i] for r in out if r[0] != r[1]], f.type) for i, f in enumerate(schema)], schema=schema)
+        return pa.table([pa.concat_arrays([pa.array([], f.type), *(x[i] for x in out)]) for i, f in enumerate(schema)], schema=schema)
 
-    found = placed.groupBy("cell").cogroup(of.groupBy("at")).applyInArrow(verify, "a long, b long, jaccard double")
-    near = common.stored(found.groupBy("a", "b").agg(F.max("jaccard").alias("jaccard")), "pairs")
+    found = placed.groupBy("cell").cogroup(of.groupBy("at")).applyInArrow(verify, "a long, b long, n long" if counted else "a long, b long, jaccard double")
+    near = common.stored(found if counted else found.groupBy("a", "b").agg(F.max("jaccard").alias("jaccard")), "pairs")
     for done in (matched, twins, sides, needed):
         common.discard(done)
     members = named.select("id", "sig", "sig2").join(classes.select("sig", "sig2", "node"), ["sig", "sig2"]).select("id", "node")
@@ -567,12 +652,13 @@ def classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, key: str
     ``class_id``: the least doc_id that it is connected with by links; ``copy_of``: the least doc_id with an equal set; ``n_links``: how
     many other sets are similar to its own. A document without partners is a class of its own.
     """
-    members, near = class_pairs(_as_input(docs, key, text), n, threshold)
+    members, near = class_pairs(_as_input(docs, key, text), n, threshold, counted=True)
     members = common.stored(members.groupBy("id").agg(F.collect_set("node").alias("nodes")), "members")
     same = members.where(F.size("nodes") > 1).select(F.array_min("nodes").alias("u"), F.explode("nodes").alias("v")).where("u != v")  # texts of one document
-    root = common.components(near.select(F.col("a").alias("u"), F.col("b").alias("v")).union(same))
-    links = near.select(F.col("a").alias("node")).union(near.select("b")).groupBy("node").count()
-    by = common.stored(root.join(links, "node", "left").select("node", "root", F.coalesce("count", F.lit(0)).alias("n")), "linked")
+    root = common.components(near.where("b is not null").select(F.col("a").alias("u"), F.col("b").alias("v")).union(same))
+    each = near.where("n is null").select("a", "b").distinct()
+    links = near.where("b is null").select(F.col("a").alias("node"), "n").union(each.select("a", F.lit(1))).union(each.select("b", F.lit(1))).groupBy("node").agg(F.sum("n").alias("n"))
+    by = common.stored(root.join(links, "node", "left").select("node", "root", F.coalesce("n", F.lit(0)).alias("n")), "linked")
     found = members.select("id", F.explode("nodes").alias("node")).join(by, "node", "left")
     found = found.groupBy("id").agg(F.min(F.coalesce("root", "node")).alias("class_id"), F.min("node").alias("copy_of"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_links"))
     return found.withColumnRenamed("id", "doc_id")

@@ -156,6 +156,35 @@ def test_cost_of_keys_is_free_of_chance():
     assert all((empty[1][c] == full[1][c]).all() for c in ("low", "rest"))  # keys are filled in later
 
 
+@pytest.mark.parametrize("cross", [False, True])
+def test_products_equal_lookups(monkeypatch, cross):
+    sets = [np.unique(np.random.default_rng(i).permutation(40)[: 30 + i % 9]).astype(np.uint64) for i in range(90)] + [np.arange(900, 930, dtype=np.uint64)]
+    sigs, blocks = np.sort(np.arange(91) // 2 * 2), np.arange(91) % 2 + 3
+    monkeypatch.setattr(njaccard, "PRODUCT_ROWS", 7)
+    monkeypatch.setattr(njaccard, "PRODUCT_COLUMNS", 11)
+    found = []
+    for product, wanted in ((0, 1 << 20), (0, 500), (10**9, 1)):
+        monkeypatch.setattr(njaccard, "PRODUCT", product)
+        monkeypatch.setattr(njaccard, "WANTED", wanted)
+        found.append(sorted((i, j, s) for part in njaccard.verified(sigs, sets, blocks, [np.unique(sigs)], cross, 0.6) for i, j, s in zip(*(x.tolist() for x in part))))
+    assert found[0] == found[1] == found[2] and len(found[0]) > 100
+    assert all(i < j and (not cross or blocks[i] != blocks[j]) for i, j, _ in found[0])
+
+
+def test_links_grow_with_the_sets(spark):
+    """Many near copies, one document with two of the texts among them: links are counted where they are found, not written pair by pair."""
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(w if (j * 7 + i) % 61 else f"x{i}" for j, w in enumerate(words))) for i in range(120)]
+    rows += [(0, rows[50][1]), (0, rows[0][1] + " more"), (130, rows[3][1])]
+    df = spark.createDataFrame(rows, "id long, text string")
+    assert njaccard.class_pairs(df, 2, 0.75)[1].count() > 5000
+    assert njaccard.class_pairs(df, 2, 0.75, counted=True)[1].count() < 5 * len(rows)
+    near = {(r.a, r.b) for r in njaccard.class_pairs(df, 2, 0.75)[1].collect()}
+    got = {r.doc_id: r for r in njaccard.classes(df, key="id").collect()}
+    assert {r.class_id for r in got.values()} == {0} and got[50].copy_of == 0
+    assert all(got[i].n_links == sum(i in p for p in near) for i in range(1, 120) if got[i].copy_of == i)
+
+
 @settings(max_examples=60, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.integers(0, 10**6), st.integers(4, 120), st.integers(0, 30))
 def test_candidates_hold_every_pair(seed, size, changes):

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +36,20 @@ def sample_rows(df: DataFrame, key: str, bound: int, per: str | None = None) ->
     return df.join(F.broadcast(ids.select(F.col("__k").alias(key)).distinct()), key, "left_semi")
 
 
+def placed(docs: DataFrame, name: str) -> DataFrame:
+    """The key, text and place (as ``name``, ascending in the frame's order) of every row.
+
+    Spark reads a table's files in any order and in parts, so for rows of files the place is that in the table as written: the
+    number of the file's task, the file's number in it, the row's in the file. Other frames are numbered as they come.
+    """
+    try:
+        file, row = docs["_metadata.file_name"], docs["_metadata.row_index"]
+        part, more = (F.coalesce(F.regexp_extract(file, x, 1).try_cast("long"), F.lit(0)) for x in ("^part-([0-9]+)", "-c([0-9]+)[^-]*$"))
+        return docs.select("doc_id", "text", (F.shiftleft(part, 42) + F.shiftleft(more, 32) + row).alias(name))
+    except AnalysisException:
+        return docs.select("doc_id", "text", F.monotonically_increasing_id().alias(name))
+
+
 def minimise(fun: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, steps: int = 100, memory: int = 8) -> np.ndarray:
     """Limited-memory BFGS with backtracking for a smooth convex function."""
     f, g = fun(x)

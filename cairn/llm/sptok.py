@@ -287,10 +287,10 @@ def decode_column(path: str = MODEL):
     return F.arrow_udf(run, "string")
 
 
-def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
-    """(doc_id, n_tokens, round_trip, parity, ids) of every row."""
+def encode(docs: DataFrame, path: str = MODEL, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_tokens, round_trip, parity, ids) of every row, behind doc_id the columns ``keep``."""
     x = encode_column(path)(F.col("text").cast("string"))
-    return docs.select("doc_id", x.alias("x")).select("doc_id", "x.n_tokens", "x.round_trip", "x.parity", "x.ids")
+    return docs.select("doc_id", *keep, x.alias("x")).select("doc_id", *keep, "x.n_tokens", "x.round_trip", "x.parity", "x.ids")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

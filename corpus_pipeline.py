@@ -30,13 +30,13 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the curriculum's order."""
+    """All documents, in the curriculum's order, which the encoding keeps as ``place``."""
     return mixing.mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document."""
-    return sptok.encode(docs)
+    """Token ids of every document, and its ``place``: rows ordered by it are the curriculum."""
+    return sptok.encode(common.placed(docs, "place"), keep=("place",))
 
 
 STAGES = [

@@ -316,6 +316,15 @@ def test_pipeline(spark, sf_dir, tmp_path):
     assert again == {r.doc_id: r.n_tokens for r in seen["encoding"].collect()}
 
 
+def test_encoding_keeps_the_order_of_the_mix(spark, docs, sf_dir, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    corpus_pipeline.mix_sources(spark, docs, sf_dir).repartitionByRange(5, "n_chars").write.parquet(f"{tmp_path}/other")
+    corpus_pipeline.mix_sources(spark, docs, sf_dir).write.option("maxRecordsPerFile", 30).parquet(f"{tmp_path}/mixed")
+    order = [r.doc_id for r in mixing.positions(docs, whole=True).collect()]
+    mixed, other = ([r.doc_id for r in corpus_pipeline.encode(spark, spark.read.parquet(f"{tmp_path}/{x}"), sf_dir).orderBy("place").collect()] for x in ("mixed", "other"))
+    assert mixed == order and other != order and sorted(other) == sorted(order)
+
+
 @pytest.mark.parametrize("which", [0, 1, 2, 3, 4])
 def test_stages_odd(spark, odd, none, sf_dir, which):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")

@@ -6,10 +6,9 @@ equal passages give equal chunks wherever they stand. Chunks are named by their
 chunk is the least (id, digest of the payload, place) that has it; the store keeps each chunk once, compressed. A payload is its ordered
 list of chunks. ``reconstruct`` joins the lists with the store, expands, concatenates and compares the digest of the whole.
 
-``media_chunks`` verifies the reconstruction of every payload while the bytes cross the network once: each stored chunk is expanded,
-its digest is compared with its name, and its fingerprint is taken (its bytes as one number modulo a prime of 127 bits); the
-fingerprint of a concatenation follows from those of its parts, so the lists' chunks, in order, must give the payload's own fingerprint,
-which was taken from the payload itself.
+``media_chunks`` puts every payload together as well: each stored chunk goes to the payloads whose lists name it, is expanded and
+joined with the others in order, and the digest of the whole is compared. So the bytes cross the network twice, to be deduplicated and
+to be put together.
 
 A null payload has a null list; an empty one has an empty list and is verified by its digest. Rows with equal ids are one
 medium each only if the ids are distinct: repeated ids are told apart by the payload's digest, so exact repeats count once
@@ -99,8 +98,8 @@ def joined(x: int, y: int, length: int) -> int:
     return (x * pow(256, length, PRIME) + y) % PRIME
 
 
-_LIST = pa.schema([("id", pa.int64()), ("whole", pa.binary()), ("print", pa.binary()), ("size", pa.int64()), ("place", pa.int32()), ("digest", pa.binary()), ("length", pa.int32())])
-_LIST_DDL = "id long, whole binary, print binary, size long, place int, digest binary, length int"
+_LIST = pa.schema([("id", pa.int64()), ("whole", pa.binary()), ("size", pa.int64()), ("place", pa.int32()), ("digest", pa.binary()), ("length", pa.int32())])
+_LIST_DDL = "id long, whole binary, size long, place int, digest binary, length int"
 
 
 def _media(media: DataFrame, key: str, payload: str) -> DataFrame:
@@ -120,17 +119,17 @@ def _record(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def chunk_lists(media: DataFrame, key: str, payload: str, bits: int = AVERAGE_BITS) -> DataFrame:
-    """One row a chunk: id, digest, fingerprint and size of the payload, place, digest and length of the chunk; place -1 for empty payloads."""
+    """One row a chunk: id, digest and size of the payload, place, digest and length of the chunk; place -1 for empty payloads."""
 
     def run(batches):
         for part in _payloads(batches, bits):
             rows = []
             for i, p, ends in part:
-                whole, mark = hashlib.sha256(p).digest(), fingerprint(p).to_bytes(16, "big")
+                whole = hashlib.sha256(p).digest()
                 for k, (a, b) in enumerate(zip([0, *ends], ends)):
-                    rows.append((i, whole, mark, len(p), k, hashlib.sha256(p[a:b]).digest(), b - a))
+                    rows.append((i, whole, len(p), k, hashlib.sha256(p[a:b]).digest(), b - a))
                 if not ends:
-                    rows.append((i, whole, mark, 0, -1, None, 0))
+                    rows.append((i, whole, 0, -1, None, 0))
             yield _record(rows, _LIST)
 
     return _media(media, key, payload).mapInArrow(run, _LIST_DDL)
@@ -185,64 +184,49 @@ def reconstruct(store: DataFrame, lists: DataFrame) -> DataFrame:
     return lists.select("id", "whole", "place", "digest").join(store.select("digest", "data"), "digest", "left").groupBy("id", "whole").applyInArrow(put, "id long, whole binary, payload binary, verified boolean")
 
 
-def checked(store: DataFrame) -> DataFrame:
-    """(digest, owner, sound, stored_length, part): each chunk expanded once; sound if its digest is its name, ``part`` is its fingerprint."""
-
-    def work(digest: pa.Array, data: pa.Array) -> pa.Array:
-        expand, rows = zstandard.ZstdDecompressor().decompress, []
-        for name, x in zip(digest.to_pylist(), data.to_pylist()):
-            try:
-                c = expand(x) if x is not None else b""
-            except zstandard.ZstdError:
-                c = b""
-            rows.append({"sound": hashlib.sha256(c).digest() == name, "stored_length": len(c), "part": fingerprint(c).to_bytes(16, "big")})
-        return pa.array(rows, pa.struct([("sound", pa.bool_()), ("stored_length", pa.int64()), ("part", pa.binary())]))
-
-    work.__annotations__ = {"digest": pa.Array, "data": pa.Array, "return": pa.Array}
-    return store.select("digest", "owner", F.arrow_udf(work, "sound boolean, stored_length long, part binary")("digest", "data").alias("c")).select("digest", "owner", "c.*")
-
-
 def assembled(store: DataFrame, lists: DataFrame) -> DataFrame:
-    """(id, whole, bytes, n_chunks, new_bytes, chunks, verified) of all media: lists and checked chunks joined, a medium's rows in order.
+    """(id, whole, bytes, n_chunks, new_bytes, chunks, verified) of all media, put together from the store's chunks.
 
-    A task streams its media; only the list of the current one is held.
+    ``verified``: the payload that the chunks give in order has the size and the digest that the list names. A task streams its media; only the
+    current one is held.
     """
     schema = pa.schema([("id", pa.int64()), ("whole", pa.binary()), ("bytes", pa.int64()), ("n_chunks", pa.int64()), ("new_bytes", pa.int64()), ("chunks", pa.list_(pa.string())), ("verified", pa.bool_())])
 
     def put(batches):
-        now, row, mark, at = None, None, None, -2
+        expand = zstandard.ZstdDecompressor().decompress
+        now, head, names, parts, new, at = None, None, [], [], 0, -2
 
         def close():
-            chunks, (i, whole, size, new), (length, found, sound) = row[0], row[1], row[2]
-            return (i, whole, size, len(chunks), new, chunks, sound and length == size and found.to_bytes(16, "big") == mark and (size > 0 or whole == hashlib.sha256(b"").digest()))
+            i, whole, size = head
+            p = b"".join(parts)
+            return (i, whole, size, len(names), new, names, len(p) == size and hashlib.sha256(p).digest() == whole)
 
         for batch in batches:
             out: list[tuple] = []
-            for i, k, whole, p, size, place, digest, length, mine, sound, stored_length, part in zip(*(batch.column(j).to_pylist() for j in range(12))):
+            for i, k, whole, size, place, digest, length, mine, data in zip(*(batch.column(j).to_pylist() for j in range(9))):
                 if (i, k) != now:
                     if now is not None:
                         out.append(close())
-                    now, mark, at = (i, k), p, -2
-                    row = [[], (i, whole, size, 0), (0, 0, True)]
+                    now, head, names, parts, new, at = (i, k), (i, whole, size), [], [], 0, -2
                 if place >= 0 and place != at:  # repeated rows count once
-                    row[0].append(digest.hex())
-                    row[1] = (*row[1][:3], row[1][3] + (length if mine else 0))
-                    total, found, good = row[2]
-                    if sound and stored_length == length:
-                        row[2] = (total + length, joined(found, int.from_bytes(part, "big"), length), good)
-                    else:
-                        row[2] = (total, found, False)
+                    names.append(digest.hex())
+                    new += length if mine else 0
+                    try:
+                        parts.append(expand(data) if data is not None else b"")
+                    except zstandard.ZstdError:
+                        parts.append(b"")
                 at = place
             yield _record(out, schema)
         if now is not None:
             yield _record([close()], schema)
+        textops.tidy()
 
     # what belongs to the payload travels with its first chunk only
     key, head = F.xxhash64("whole").alias("key"), F.col("place") <= 0
-    slim = lists.select("id", key, F.when(head, F.col("whole")).alias("whole"), F.when(head, F.col("print")).alias("print"), "size", "place", "digest", "length")
-    both = slim.join(checked(store), "digest", "left")
+    slim = lists.select("id", key, F.when(head, F.col("whole")).alias("whole"), "size", "place", "digest", "length")
+    both = slim.join(store.select("digest", "data", "owner"), "digest", "left")
     mine = F.col("owner.id").eqNullSafe(F.col("id")) & (F.xxhash64("owner.whole") == F.col("key")) & (F.col("owner.place") == F.col("place"))
-    both = both.select("id", "key", "whole", "print", "size", "place", "digest", "length", F.coalesce(mine, F.lit(False)).alias("mine"), "sound", "stored_length", "part")
+    both = both.select("id", "key", "whole", "size", "place", "digest", "length", F.coalesce(mine, F.lit(False)).alias("mine"), "data")
     return both.repartition("id", "key").sortWithinPartitions("id", "key", "place").mapInArrow(put, "id long, whole binary, bytes long, n_chunks long, new_bytes long, chunks array<string>, verified boolean")
 
 

@@ -443,6 +443,16 @@ def test_media_equals_brute_force(spark, sf_dir):
     assert got == want
 
 
+def test_payloads_are_put_together(spark):
+    """What is verified is the digest of the payload that the stored chunks give."""
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(i, bytearray(rng.integers(0, 256, 9_000 * i).astype(np.uint8).tobytes())) for i in (1, 2, 3)], "page_id long, html binary")
+    store, lists = media.chunk(df, "page_id", "html")
+    wrong = lists.withColumn("whole", F.expr("if(id = 2, unhex(sha2('another payload', 256)), whole)"))
+    assert {r.id: r.verified for r in media.assembled(store, wrong).collect()} == {1: True, 2: False, 3: True}
+    assert all(r.verified for r in media.assembled(store, lists).collect())
+
+
 def test_fingerprints_join():
     a, b = b"some bytes" * 50, b"and others"
     assert media.fingerprint(a + b) == media.joined(media.fingerprint(a), media.fingerprint(b), len(b)) != media.fingerprint(b + a)

@@ -49,8 +49,10 @@ def counts(texts: list[str | None]):
 
 def vectors(m: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Rows of unit length (zero rows stay)."""
-    x = np.log1p(m) * idf
-    return x / np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-12)[:, None]
+    x = np.log1p(m)
+    x *= idf
+    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-12)[:, None]
+    return x
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -130,6 +132,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
         cs.append(c)
         owner += [j] * len(c)
         limits.append(np.maximum.accumulate(np.array(limit)[::-1])[::-1])
+    m = x = rows = None
+    textops.tidy()  # the driver has little memory beside its JVM
     if not cs:
         return None
     return {"idf": idf, "centroids": np.concatenate(cs), "owner": np.array(owner), "names": names, "limits": np.array(limits, np.float64)}

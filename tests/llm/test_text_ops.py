@@ -170,6 +170,16 @@ def test_language_ties_and_dirty_labels(spark, docs, monkeypatch):
     assert {r.language for r in langid.identify(df).where("doc_id < 40").collect()} == {"a"}  # equal distances: the first in the alphabet
 
 
+def test_fits_give_memory_back(docs, labels, monkeypatch):
+    """The driver's Python shares its memory with the JVM: what a fit held is released."""
+    calls = []
+    monkeypatch.setattr(textops, "tidy", lambda: calls.append(1))
+    for fit in (lambda: langid.fit(docs), lambda: toxicity.fit(docs, labels)):
+        calls.clear()
+        fit()
+        assert calls
+
+
 def test_language_rejects_noise(spark, docs):
     noise = spark.createDataFrame([(10**9, "zxq jqv wkz xqj vzk qwx " * 60, None, "s", 1)], docs.schema)
     got = by_id(langid.identify(docs.union(noise)))

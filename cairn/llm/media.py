@@ -6,9 +6,10 @@ equal passages give equal chunks wherever they stand. Chunks are named by their
 chunk is the least (id, digest of the payload, place) that has it; the store keeps each chunk once, compressed. A payload is its ordered
 list of chunks. ``reconstruct`` joins the lists with the store, expands, concatenates and compares the digest of the whole.
 
-``media_chunks`` puts every payload together as well: each stored chunk goes to the payloads whose lists name it, is expanded and
-joined with the others in order, and the digest of the whole is compared. So the bytes cross the network twice, to be deduplicated and
-to be put together.
+``media_chunks`` puts every payload together as well: the store's chunks go to the payloads whose lists name them, are expanded,
+compared with their names and joined in order, and the digest of the whole is compared. Which row owns a chunk is found from the lists
+alone, and a chunk is stored where its owner is put together; so the bytes cross the network once, and only chunks that occur again
+go from their owner to the other places that name them.
 
 A null payload has a null list; an empty one has an empty list and is verified by its digest. Rows with equal ids are one
 medium each only if the ids are distinct: repeated ids are told apart by the payload's digest, so exact repeats count once
@@ -25,16 +26,19 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairn.llm import common, textops
-from cairn.session import stored
+from cairn.session import by_ids, stored
 
 LEAST, AVERAGE_BITS, GREATEST = 512, 11, 16_384
 WINDOW = 32
 #: Bytes that are hashed in one pass; compression level of chunks.
 BLOCK, LEVEL = 1 << 20, 9
 PRIME = (1 << 127) - 1
+#: Rows that meet where a payload is put together: its list, chunks that it owns, chunks of others.
+LISTED, OWN, OTHERS = 0, 1, 2
 _GEAR = np.append(textops.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) & np.uint64(0xFFFFFFFF), 0).astype(np.uint32)
 
 
@@ -135,11 +139,17 @@ def chunk_lists(media: DataFrame, key: str, payload: str, bits: int = AVERAGE_BI
     return _media(media, key, payload).mapInArrow(run, _LIST_DDL)
 
 
-def chunk_store(media: DataFrame, key: str, payload: str, bits: int = AVERAGE_BITS) -> DataFrame:
-    """(digest, data, owner): each chunk once, compressed. The owner is (id, whole, place).
+def owned(lists: DataFrame) -> DataFrame:
+    """The lists with ``mine``: whether the row is the chunk's owner, the least (id, whole, place) of those with its digest."""
+    place = F.struct("id", "whole", "place")
+    return lists.withColumn("mine", F.col("digest").isNotNull() & (F.min(place).over(W.partitionBy("digest")) == place))
+
 
-    A task sends the bytes of a chunk once, and its row again only if a lesser owner turns up; so a chunk that very many media share
-    is reduced before the one shuffle of the bytes.
+def chunk_rows(media: DataFrame, key: str, payload: str, bits: int = AVERAGE_BITS) -> DataFrame:
+    """(digest, data, owner): chunks, compressed, with the least (id, whole, place) that a task has seen.
+
+    A task sends a chunk once, and again only if a lesser owner turns up. So the row of the least owner of all is among them, and a
+    chunk that very many media share is reduced before any shuffle.
     """
     schema = pa.schema([("digest", pa.binary()), ("data", pa.binary()), ("id", pa.int64()), ("whole", pa.binary()), ("place", pa.int32())])
 
@@ -148,7 +158,7 @@ def chunk_store(media: DataFrame, key: str, payload: str, bits: int = AVERAGE_BI
         least: dict[bytes, tuple] = {}
         for part in _payloads(batches, bits):
             rows = []
-            for i, p, ends in part:
+            for i, p, ends in sorted(part, key=lambda r: (r[0] is not None, r[0] or 0)):
                 whole = hashlib.sha256(p).digest()
                 for k, (a, b) in enumerate(zip([0, *ends], ends)):
                     c = p[a:b]
@@ -156,18 +166,28 @@ def chunk_store(media: DataFrame, key: str, payload: str, bits: int = AVERAGE_BI
                     known = least.get(digest)
                     if known is None or mine < known:
                         least[digest] = mine
-                        rows.append((digest, compress(c) if known is None else None, i, whole, k))
+                        rows.append((digest, compress(c), i, whole, k))
             yield _record(rows, schema)
         textops.tidy()
 
     found = _media(media, key, payload).mapInArrow(run, "digest binary, data binary, id long, whole binary, place int")
-    return found.groupBy("digest").agg(F.first("data", ignorenulls=True).alias("data"), F.min(F.struct("id", "whole", "place")).alias("owner"))
+    return found.select("digest", "data", F.struct("id", "whole", "place").alias("owner"))
+
+
+def chunk_store(media: DataFrame, key: str, payload: str, bits: int = AVERAGE_BITS) -> DataFrame:
+    """(digest, data, owner): each chunk once, compressed. The owner is (id, whole, place)."""
+    return chunk_rows(media, key, payload, bits).groupBy("digest").agg(F.first("data").alias("data"), F.min("owner").alias("owner"))
+
+
+def _lists(media: DataFrame, key: str, payload: str, bits: int) -> DataFrame:
+    common.bounded_batches()
+    return stored(owned(chunk_lists(media, key, payload, bits)), "lists")
 
 
 def chunk(media: DataFrame, key: str, payload: str, bits: int = AVERAGE_BITS) -> tuple[DataFrame, DataFrame]:
     """The store (a plan: write it as a table to keep it), and the stored lists."""
-    common.bounded_batches()
-    return chunk_store(media, key, payload, bits), stored(chunk_lists(media, key, payload, bits), "lists")
+    lists = _lists(media, key, payload, bits)
+    return chunk_store(media, key, payload, bits), lists
 
 
 def reconstruct(store: DataFrame, lists: DataFrame) -> DataFrame:
@@ -187,47 +207,65 @@ def reconstruct(store: DataFrame, lists: DataFrame) -> DataFrame:
 def assembled(store: DataFrame, lists: DataFrame) -> DataFrame:
     """(id, whole, bytes, n_chunks, new_bytes, chunks, verified) of all media, put together from the store's chunks.
 
-    ``verified``: the payload that the chunks give in order has the size and the digest that the list names. A task streams its media; only the
-    current one is held.
+    A chunk goes from the store to its owner, and to the other places that name it by a join of these few by digest; the store may be
+    ``chunk_rows``, of which a list takes its owner's. ``verified``: every chunk has the digest that the list names, and the payload that
+    they give in order has the list's size and digest. A task streams its media; only the current one is held.
     """
     schema = pa.schema([("id", pa.int64()), ("whole", pa.binary()), ("bytes", pa.int64()), ("n_chunks", pa.int64()), ("new_bytes", pa.int64()), ("chunks", pa.list_(pa.string())), ("verified", pa.bool_())])
 
     def put(batches):
         expand = zstandard.ZstdDecompressor().decompress
-        now, head, names, parts, new, at = None, None, [], [], 0, -2
+        now, head, names, parts, new, at, wanted = None, None, [], [], 0, -2, None
 
-        def close():
+        def close() -> list[tuple]:
+            if head is None:  # chunks of a medium that has no list
+                return []
             i, whole, size = head
             p = b"".join(parts)
-            return (i, whole, size, len(names), new, names, len(p) == size and hashlib.sha256(p).digest() == whole)
+            return [(i, whole, size, len(names), new, names, len(p) == size and hashlib.sha256(p).digest() == whole)]
 
         for batch in batches:
             out: list[tuple] = []
-            for i, k, whole, size, place, digest, length, mine, data in zip(*(batch.column(j).to_pylist() for j in range(9))):
+            for i, k, place, kind, whole, size, digest, length, mine, data in zip(*(batch.column(j).to_pylist() for j in range(10))):
                 if (i, k) != now:
                     if now is not None:
-                        out.append(close())
-                    now, head, names, parts, new, at = (i, k), (i, whole, size), [], [], 0, -2
-                if place >= 0 and place != at:  # repeated rows count once
-                    names.append(digest.hex())
-                    new += length if mine else 0
+                        out += close()
+                    now, head, names, parts, new, at, wanted = (i, k), None, [], [], 0, -2, None
+                if kind == LISTED:
+                    if head is None:
+                        head = (i, whole, size)
+                    if place >= 0 and place != at:  # repeated rows count once
+                        names.append(digest.hex())
+                        parts.append(b"")
+                        new += length if mine else 0
+                        wanted = (OWN if mine else OTHERS, digest)
+                    at = place
+                elif place == at and wanted is not None and kind == wanted[0]:  # the store's chunk for this place
                     try:
-                        parts.append(expand(data) if data is not None else b"")
+                        c = expand(data)
                     except zstandard.ZstdError:
-                        parts.append(b"")
-                at = place
+                        continue
+                    if hashlib.sha256(c).digest() == wanted[1]:
+                        parts[-1], wanted = c, None
             yield _record(out, schema)
         if now is not None:
-            yield _record([close()], schema)
+            yield _record(close(), schema)
         textops.tidy()
 
-    # what belongs to the payload travels with its first chunk only
-    key, head = F.xxhash64("whole").alias("key"), F.col("place") <= 0
-    slim = lists.select("id", key, F.when(head, F.col("whole")).alias("whole"), "size", "place", "digest", "length")
-    both = slim.join(store.select("digest", "data", "owner"), "digest", "left")
-    mine = F.col("owner.id").eqNullSafe(F.col("id")) & (F.xxhash64("owner.whole") == F.col("key")) & (F.col("owner.place") == F.col("place"))
-    both = both.select("id", "key", "whole", "size", "place", "digest", "length", F.coalesce(mine, F.lit(False)).alias("mine"), "data")
-    return both.repartition("id", "key").sortWithinPartitions("id", "key", "place").mapInArrow(put, "id long, whole binary, bytes long, n_chunks long, new_bytes long, chunks array<string>, verified boolean")
+    def rows(df: DataFrame, kind: int, data) -> DataFrame:
+        """Rows of one kind; what belongs to the payload travels with its first chunk only, names with the lists only."""
+        head = F.lit(kind == LISTED) & (F.col("place") <= 0)
+        listed = [F.when(head, F.col(c)).alias(c) for c in ("whole", "size")] + [F.col(c) for c in ("digest", "length", "mine")]
+        none = [F.lit(None).cast(t).alias(c) for c, t in (("whole", "binary"), ("size", "long"), ("digest", "binary"), ("length", "int"), ("mine", "boolean"))]
+        return df.select("id", F.xxhash64("whole").alias("key"), "place", F.lit(kind).alias("kind"), *(listed if kind == LISTED else none), data.alias("data"))
+
+    name = F.xxhash64("digest").alias("name")
+    again = lists.where(~F.col("mine") & F.col("digest").isNotNull())
+    # a superset by the names' hashes, then by the digests themselves
+    shared = by_ids(store.select("digest", "data", name), again.select(name).distinct(), "name", "left_semi").groupBy("digest").agg(F.first("data").alias("data"))
+    own = store.select("owner.*", "data")
+    parts = rows(lists, LISTED, F.lit(None).cast("binary")).union(rows(own, OWN, F.col("data"))).union(rows(again.join(shared, "digest"), OTHERS, F.col("data")))
+    return parts.repartition("id", "key").sortWithinPartitions("id", "key", "place", "kind").mapInArrow(put, "id long, whole binary, bytes long, n_chunks long, new_bytes long, chunks array<string>, verified boolean")
 
 
 def media_chunks(media: DataFrame, key: str, payload: str, bits: int = AVERAGE_BITS) -> DataFrame:
@@ -235,8 +273,8 @@ def media_chunks(media: DataFrame, key: str, payload: str, bits: int = AVERAGE_B
 
     ``new_bytes``: of the chunks whose owner it is; ``chunks``: hexadecimal digests in order. A null payload has nulls.
     """
-    store, lists = chunk(media, key, payload, bits)
-    done = assembled(store, lists).drop("whole")
+    lists = _lists(media, key, payload, bits)
+    done = assembled(chunk_rows(media, key, payload, bits), lists).drop("whole")
     nulls = media.where(F.col(payload).isNull()).select(F.col(key).cast("long").alias("id"), *[F.lit(None).cast(t).alias(c) for c, t in (("bytes", "long"), ("n_chunks", "long"), ("new_bytes", "long"), ("chunks", "array<string>"), ("verified", "boolean"))])
     return done.union(nulls)
 

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cairn import session
 from cairn.llm import htmltext, langid, licenses, media, quality, sptok, textops, toxicity, urls
 
 
@@ -463,6 +464,35 @@ def test_payloads_are_put_together(spark):
     assert all(r.verified for r in media.assembled(store, lists).collect())
 
 
+def test_bytes_cross_once(spark, monkeypatch):
+    """Payloads, ids in any order over many tasks, meet their chunks in one shuffle; chunks that occur again come from their owner."""
+    rng = np.random.default_rng(9)
+    shared = rng.integers(0, 256, 20_000).astype(np.uint8).tobytes()
+    rows = {i: rng.integers(0, 256, 60_000).astype(np.uint8).tobytes() + (shared if i % 10 == 0 else b"") for i in range(60, 0, -1)}
+    df = spark.createDataFrame([(i, bytearray(p)) for i, p in rows.items()], "page_id long, html binary")
+    sc = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        sc.listenerBus().waitUntilEmpty(60_000)
+        found = sc.statusStore().executorList(False)
+        return sum(found.apply(k).totalShuffleWrite() for k in range(found.size()))
+
+    before = shuffled()
+    got = {r.id: r for r in media.media_chunks(df, "page_id", "html").collect()}
+    assert shuffled() - before < 1.3 * sum(map(len, rows.values()))
+    owner, new = set(), dict.fromkeys(rows, 0)
+    for i, p in sorted(rows.items()):
+        ends = media.chunk_ends([p])[0]
+        names = [hashlib.sha256(p[a:b]).hexdigest() for a, b in zip([0, *ends], ends)]
+        assert got[i].chunks == names and got[i].verified and got[i].bytes == len(p)
+        for name, a, b in zip(names, [0, *ends], ends):
+            new[i] += 0 if name in owner else b - a
+            owner.add(name)
+    assert {i: r.new_bytes for i, r in got.items()} == new and len({new[i] < len(rows[i]) for i in rows}) == 2
+    monkeypatch.setattr(session, "BROADCAST_IDS", 0)  # too many chunks that occur again
+    assert {r.id: r for r in media.media_chunks(df, "page_id", "html").collect()} == got
+
+
 def test_fingerprints_join():
     a, b = b"some bytes" * 50, b"and others"
     assert media.fingerprint(a + b) == media.joined(media.fingerprint(a), media.fingerprint(b), len(b)) != media.fingerprint(b + a)

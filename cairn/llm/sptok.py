@@ -6,6 +6,7 @@ metaspace marker. Where no piece has the marker behind another character, words
 are encoded one by one without changing the result, so every distinct word of a task is encoded once: new words go to the
 back end in multithreaded batches; known ones come from a table of bounded size. Each new word with one marker in front (nearly all) is
 encoded by the sentencepiece library as well: ``parity`` is false for rows with a word on which the two differ.
+Such words are encoded many in one text, on both sides; the words of a text on which the two differ are encoded again one by one.
 Every row's ids are decoded again, by one gather of the pieces' bytes for a whole batch, and ``round_trip`` says whether they give the
 normalised text.
 
@@ -35,6 +36,8 @@ MODEL = os.environ.get("SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.mod
 MARK = "▁"
 #: Distinct words of a generation, of which a task keeps two; words that go to the back end at once.
 KNOWN, AT_ONCE = 50_000, 4_000
+#: New words that make one text for the back end and the library.
+JOINED = 64
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -151,6 +154,7 @@ class Codec:
         raw = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else p.encode("utf-8", "surrogateescape") for p, k in zip(self.pieces, self.kinds)]
         self.bytes, self.sizes = np.frombuffer(b"".join(raw), np.uint8), np.array([len(r) for r in raw], np.int64)
         self.begins = np.cumsum(self.sizes) - self.sizes
+        self.marked = np.array([p.startswith(MARK) for p in self.pieces], bool)
         inner = any(MARK in p.lstrip(MARK) for p, _, k in self.model["pieces"] if k in (NORMAL, USER))
         self.split = None if inner or model_needs_whole(self.model) else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
         self.normaliser = None
@@ -178,18 +182,48 @@ class Codec:
         self.table, self.older = {}, {}
 
     def _learn(self, words: list[str]) -> None:
-        for i in range(0, len(words), AT_ONCE):
-            some = words[i : i + AT_ONCE]
-            found = [e.ids for e in self.back.encode_batch_fast(some, add_special_tokens=False)]
-            self.table.update((w, array("i", ids).tobytes()) for w, ids in zip(some, found))
-            plain = [k for k, w in enumerate(some) if w[0] == MARK and MARK not in w[1:] and len(w) > 1] if self.split and self.model["prefix"] else []
-            if plain:
-                if self.library is None:
-                    import sentencepiece
-
-                    self.library = sentencepiece.SentencePieceProcessor(model_file=self.path)
-                theirs = self.library.encode([some[k][1:] for k in plain], num_threads=2)
-                self.bad.update(some[k] for k, t in zip(plain, theirs) if t != found[k] and self.normalise(some[k][1:]) == some[k])
+        """Encode new words with the back end and, if plain (one marker, in front), with the library; note those on which they differ."""
+        plain, other = [], words
+        if self.split and self.model["prefix"]:
+            plain = [w for w in words if w[0] == MARK and len(w) > 1 and MARK not in w[1:]]
+            other = [w for w in words if w[0] != MARK or len(w) == 1 or MARK in w[1:]] if len(plain) < len(words) else []
+        for i in range(0, len(plain), AT_ONCE):
+            if rest := self._learn_joined(plain[i : i + AT_ONCE]):
+                self._learn_each(rest, True)
+        for i in range(0, len(other), AT_ONCE):
+            self._learn_each(other[i : i + AT_ONCE], False)
+
+    def _learn_each(self, words: list[str], plain: bool) -> None:
+        found = [e.ids for e in self.back.encode_batch_fast(words, add_special_tokens=False)]
+        self.table.update((w, array("i", ids).tobytes()) for w, ids in zip(words, found))
+        if plain:
+            theirs = self._theirs([w[1:] for w in words])
+            self.bad.update(w for w, t, ids in zip(words, theirs, found) if t != ids and self.normalise(w[1:]) == w)
+
+    def _learn_joined(self, words: list[str]) -> list[str]:
+        """Learn plain words in texts of many; the words of texts on which the two differ, or whose words can't be told apart, are returned.
+
+        No piece has a marker behind another character, so the pieces of a text are those of its words, and each word begins with its marker.
+        """
+        parts = [words[k : k + JOINED] for k in range(0, len(words), JOINED)]
+        texts = ["".join(ws) for ws in parts]
+        found = [e.ids for e in self.back.encode_batch_fast(texts, add_special_tokens=False)]
+        same = [t == ids for t, ids in zip(self._theirs([t[1:].replace(MARK, " ") for t in texts]), found)]
+        known = words if all(same) else [w for ws, ok in zip(parts, same) if ok for w in ws]
+        ids = np.array([x for f, ok in zip(found, same) if ok for x in f], np.int32)
+        first = np.flatnonzero(self.marked[ids])
+        if len(first) != len(known):
+            return words
+        flat, ends = ids.tobytes(), (4 * np.append(first, len(ids))).tolist()
+        self.table.update(zip(known, [flat[a:b] for a, b in zip(ends, ends[1:])]))
+        return [w for ws, ok in zip(parts, same) if not ok for w in ws]
+
+    def _theirs(self, texts: list[str]) -> list[list[int]]:
+        if self.library is None:
+            import sentencepiece
+
+            self.library = sentencepiece.SentencePieceProcessor(model_file=self.path)
+        return self.library.encode(texts, num_threads=2)
 
     def text_bytes(self, ids: np.ndarray, at: np.ndarray) -> tuple[bytes, np.ndarray]:
         """The bytes of all pieces, one text after another; where each text begins (its ids begin at ``at``), and the end."""

@@ -292,6 +292,33 @@ def test_wrong_ids_are_noticed(docs):
     assert ok == [False, True, None] and same == [True, False, None]
 
 
+def test_new_words_go_in_texts_of_many(docs, monkeypatch):
+    """Words are learnt many at a time with the ids that each has on its own; where the library differs, one by one, and only the word is bad."""
+    c = sptok.Codec()
+    words = sorted({w for r in docs.select("text").limit(50).collect() for w in c.split.findall(c.normalise(r.text)) if len(w) > 1 and sptok.MARK not in w[1:]} | {"▁é", "▁日本語", "▁\U0001f389☃", "▁a\tb\nc", "▁\x00", "▁" + "x" * 5000})
+    sent, encode = [], c.back.encode_batch_fast
+
+    class Back:
+        def encode_batch_fast(self, texts, **kw):
+            sent.extend(texts)
+            return encode(texts, **kw)
+
+    monkeypatch.setattr(c, "back", Back())
+    c._learn([*words, "▁▁two", "▁", "none"])
+    alone = {w: np.array(e.ids, np.int32).tobytes() for w, e in zip(words, encode(words, add_special_tokens=False))}
+    assert {w: c.table[w] for w in words} == alone and not c.bad and {"▁▁two", "▁", "none"} < set(c.table)
+    assert len(sent) < len(words) / 10
+    ours, theirs = c._theirs, c._theirs(["two"])[0]
+
+    def differs(texts):
+        return [[*t, 5] if "two" in x.split(" ") else t for x, t in zip(texts, ours(texts))]
+
+    monkeypatch.setattr(c, "_theirs", differs)
+    c.forget()
+    c._learn(["▁two", *[w for w in words if w != "▁two"]])
+    assert c.bad == {"▁two"} and {w: c.table[w] for w in words} == alone and c.table["▁two"] == np.array(theirs, np.int32).tobytes()
+
+
 # -- 2 HTML
 
 

@@ -171,7 +171,8 @@ def search(lists: DataFrame, centroids: DataFrame, queries: DataFrame, k: int, n
     """(qid, id, score, rank) from lists, probing each query's nearest centroids, and all ``pending`` rows (id, vector).
 
     The lists are written blocks (x_ids, x_vectors, cid), of which only those of probed centroids are read, or rows (id, vector, cid).
-    Blocks of lists meet blocks of the queries that probe them in an equi-join on the centroid.
+    A few queries are packed and meet the blocks of the lists that they probe in an equi-join on the centroid; many are spread over cells (``knn.cells``),
+    so no task has a whole list's work. A search that probes every list is an exact one over their rows.
     """
     from cairn.session import BROADCAST_IDS, by_ids
 
@@ -181,6 +182,11 @@ def search(lists: DataFrame, centroids: DataFrame, queries: DataFrame, k: int, n
     cids, c = _bring(centroids)
     nprobe = max(1, min(nprobe or NPROBE, len(cids))) if len(cids) else 0
     packed, dead = "x_ids" in lists.columns, None
+    if nprobe == len(cids):
+        rows = (knn.unpack(lists, "x", "cid") if packed else lists).select(F.col("id").cast("long"), F.col("vector").cast("array<double>"))
+        if pending is not None:
+            rows = rows.union(pending.select(F.col("id").cast("long"), F.col("vector").cast("array<double>")))
+        return knn.knn(rows, queries, k, metric, exclude)
     if exclude is not None:
         pending = by_ids(pending, exclude, "id", "left_anti") if pending is not None else None
         if packed and exclude.count() <= BROADCAST_IDS:
@@ -197,15 +203,26 @@ def search(lists: DataFrame, centroids: DataFrame, queries: DataFrame, k: int, n
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at).cast(schema[1].type), pa.array(cids[order.ravel()])], schema=schema)
 
     probes = queries.select(F.col("id").cast("long"), F.col("vector").cast("array<double>")).mapInArrow(probe, "id long, vector array<double>, cid long")
-    size = (queries.agg(F.sum(F.size("vector"))).first()[0] or 0) * max(nprobe, 1)
-    q = knn.pack(probes, "q", "cid")
-    if packed and nprobe < len(cids):  # as many centroids as there are lists, at most
-        lists = lists.where(F.col("cid").isin([r.cid for r in probes.select("cid").distinct().collect()]))
-    pairs = (lists if packed else knn.pack(lists, "x", "cid")).join(F.broadcast(q) if size <= knn.BROADCAST_NUMBERS else q, "cid")
-    found = knn.block_top_k(pairs, k, metric, dead)
+    size, n = queries.agg(F.coalesce(F.sum(F.size("vector")), F.lit(0)), F.count("*")).first()
+    asked = {r["cid"]: r["count"] for r in probes.groupBy("cid").count().collect()}  # as many rows as there are lists, at most
+    if packed:
+        lists = lists.where(F.col("cid").isin(list(asked)))
+    sizes, heavy = {}, size * nprobe > knn.LIGHT_WORK // (8 * knn.BLOCK)  # for fewer the lists' rows aren't counted
+    if heavy:
+        rows = lists.groupBy("cid").agg((F.sum(F.length("x_ids")) / 8 if packed else F.count("*")).cast("long").alias("n"))
+        sizes = {r["cid"]: (r["n"], asked[r["cid"]]) for r in rows.collect() if r["cid"] in asked}
+        heavy = sum(a * b for a, b in sizes.values()) * c.shape[1] > knn.LIGHT_WORK or size * nprobe > knn.BROADCAST_NUMBERS
+    if heavy:
+        rows = knn.unpack(lists, "x", "cid") if packed else lists
+        if dead is not None:
+            rows = by_ids(rows, exclude, "id", "left_anti")
+        by = F.col("cid").alias("by")
+        found = knn.cells_top_k(*knn.alike(knn.plain(rows, by), knn.plain(probes, by)), sizes, c.shape[1], k, metric)
+    else:
+        q = F.broadcast(knn.pack(probes, "q", "cid"))
+        found = knn.block_top_k((lists if packed else knn.pack(lists, "x", "cid")).join(q, "cid"), k, metric, dead)
     if pending is not None:
-        p = knn.pack(queries, "q")
-        found = found.union(knn.block_top_k(knn.pack(pending, "x").crossJoin(F.broadcast(p) if size <= knn.BROADCAST_NUMBERS else p), k, metric))
+        found = found.union(knn.knn(pending, queries, k, metric).drop("rank"))
     return knn.ranked(found, k, metric)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions.vector import scores
 from cairn.model import Metric
-from cairn.operators import knn
+from cairn.operators import ivf, knn
 
 
 def frame(spark, x):
@@ -76,3 +76,25 @@ def test_screen_keeps_what_double_precision_finds(metric):
         for q in range(min(40, len(x))):
             order = np.lexsort((ids, w[q] if metric.ascending else -w[q]))[:10]
             assert i[r == q].tolist() == ids[order].tolist() and s[r == q].tolist() == w[q][order].tolist()
+
+
+def test_probing_in_cells(spark, small_cells, tmp_path):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([c + rng.standard_normal((50, 8)) for c in rng.standard_normal((4, 8)) * 3])
+    v = frame(spark, x)
+    c = spark.createDataFrame([(i, x[i * 50].tolist()) for i in range(4)], "cid long, vector array<double>")
+    path = f"file://{tmp_path}/lists"
+    ivf.write_lists(v.where("id % 5 != 0"), c, "l2", path)
+    lists, pending = ivf.read_lists(spark, [path]), v.where("id % 5 = 0")
+    to = {r.id: r.cid for r in ivf.assign(v, c).collect()}
+    d = ((x[:, None] - x[::50][None]) ** 2).sum(2)
+    s = np.round(scores(Metric.L2, x, x), 6)
+    for nprobe in (2, 4):
+        want = set()
+        for q in range(len(x)):
+            probed = set(np.argsort(np.round(d[q], 9), kind="stable")[:nprobe].tolist())
+            may = np.array([i for i in range(len(x)) if i % 5 == 0 or to[i] in probed])
+            want |= {(q, int(i), rank + 1) for rank, i in enumerate(may[np.lexsort((may, s[q][may]))[:10]])}
+        assert got(ivf.search(lists, c, v, 10, nprobe, "l2", pending=pending)) == want
+    dead = v.where("id % 2 = 0").select("id")
+    assert all(r.id % 2 for r in ivf.search(lists, c, v, 5, 2, "l2", exclude=dead).collect())

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions.vector import scores
 from cairn.model import Metric
-from cairn.operators import ivf, knn
+from cairn.operators import hnsw, ivf, knn
 
 
 def frame(spark, x):
@@ -98,3 +98,26 @@ def test_probing_in_cells(spark, small_cells, tmp_path):
         assert got(ivf.search(lists, c, v, 10, nprobe, "l2", pending=pending)) == want
     dead = v.where("id % 2 = 0").select("id")
     assert all(r.id % 2 for r in ivf.search(lists, c, v, 5, 2, "l2", exclude=dead).collect())
+
+
+def test_many_queries_scan_shards(spark):
+    """From SCAN_QUERIES queries on a search of graphs is exact, however narrow its beam; fewer queries walk."""
+    x = np.random.default_rng(8).standard_normal((300, 32))
+    v = frame(spark, x)
+    index = hnsw.build(v, "cosine", 4, 8, shards=2).persist()
+    assert got(hnsw.search(index, v, 10, "cosine", 10)) == brute(x, 10, Metric.COSINE)
+    walked = got(hnsw.search(index, v.where("id < 20"), 10, "cosine", 10))
+    assert len(walked) == 200 and walked != {r for r in brute(x, 10, Metric.COSINE) if r[0] < 20}
+
+
+@pytest.mark.parametrize("metric", list(Metric))
+def test_exact_construction_is_a_walk_with_a_perfect_beam(metric, monkeypatch):
+    """With a beam as wide as the shard, both ways of construction give the same graph."""
+    x = np.random.default_rng(9).standard_normal((120, 6))
+    one = hnsw.Graph(metric, 4, 120).build(x)
+    one.validate()
+    monkeypatch.setattr(hnsw, "EXACT_ROWS", 0)
+    other = hnsw.Graph(metric, 4, 120).build(x)
+    assert one.histogram() == other.histogram() and one.entry == other.entry
+    if metric is not Metric.DOT:  # by dot product not all nodes are reached
+        assert sorted(one.edges()) == sorted(other.edges())

@@ -138,7 +138,7 @@ class Collection:
             cols = items.columns
             meta = F.col("metadata") if "metadata" in cols and dict(items.dtypes)["metadata"] == "string" else F.to_json("metadata") if "metadata" in cols else F.lit(None)
             df = items.select(F.col("id").cast("string"), F.col("vector").cast("array<float>"), F.coalesce(meta.cast("string"), F.lit("{}")).alias("metadata"))
-            return with_ordinals(df, [F.monotonically_increasing_id()], "pos")
+            return with_ordinals(df, [], "pos")
         rows = list(items)
         if not rows:
             raise model.InvalidRequest("an empty batch")
@@ -258,6 +258,8 @@ class Collection:
         return self._read(OPS, [o["path"] for o in self.m["ops"]])
 
     def _last(self) -> DataFrame:
+        if len(self.m["ops"]) == 1:  # a batch has an id once
+            return self.operations()
         w = Window.partitionBy("id").orderBy(F.desc("seq"))
         return self.operations().withColumn("__r", F.row_number().over(w)).where("__r = 1")
 

@@ -151,3 +151,18 @@ def test_postings_are_shuffled_once(spark, tmp_path, monkeypatch, written):
     assert sorted(map(tuple, bm25.read_lengths(spark, path).collect())) == sorted(map(tuple, bm25.lengths(d).collect()))
     assert found.where(F.col("bucket") == bm25.bucket(F.col("term"), bm25.BUCKETS)).count() == found.count()
     assert max(r["count"] for r in found.groupBy("bucket", F.input_file_name()).count().collect()) < found.groupBy("bucket").count().agg(F.max("count")).first()[0]
+
+
+def test_insert_keeps_the_order_without_a_sort(spark, tmp_path, written):
+    """Rows are numbered in the frame's order as they are written; nothing is sorted for that, nor for a log of one batch."""
+    from cairn.session import with_ordinals
+    from cairn.sources.collection import Collection
+
+    df = spark.createDataFrame([(str(100 - i), [float(i), 1.0]) for i in range(40)], "id string, vector array<float>").repartition(5).sortWithinPartitions("id")
+    assert [r.id for r in with_ordinals(df, [], "pos").orderBy("pos").collect()] == [r.id for r in df.collect()]
+    assert "Exchange rangepartitioning" not in written[0]
+    c = Collection.create(spark, f"file://{tmp_path}/c", 2, metric="l2")
+    c.insert(df)
+    assert "Window" not in c.live()._jdf.queryExecution().executedPlan().toString()
+    c.insert(df.where("id = '99'"), upsert=True)
+    assert c.live().count() == 40 and c.live().where("id = '99'").first().internal_id == 40
